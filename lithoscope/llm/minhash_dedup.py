@@ -7,16 +7,20 @@
    similarity of 0.85 the first 32 values of the union hold such a pair, unless no
    two neighbours among them are shared: fewer than one pair in 10^11.  Sets with 32
    values or fewer are always found.
-3. Documents on a list longer than `LONG` also go on lists keyed by four neighbours
-   of the first 96 values (three for sets of seven or fewer), which a common passage
-   fills far less; the chance to miss stays below one in 10^12.
+3. Documents on a list longer than `LONG` are searched again, exactly, among
+   themselves: their whole sets are put in order of how many of these documents hold
+   a shingle, rarest first, and each goes on the lists of its first 15 in 100 places
+   and one more, where a pair that reaches the limit must meet.  A passage that many
+   documents share thus comes last and brings nobody together.  The counts are made
+   by batches of documents and buckets of hashes, packed.
 4. First each member of a list is paired with a few pivots of the list (stars: as many
    pairs as members).  A pair passes if the similarity estimated from the sketch of
    the union can reach the limit; what passes is verified on the full sets, read again
    from the texts, with a pivot's text sent once for some hundred partners.
 5. Verified links give components.  Then all pairs of a list whose components still
-   differ are estimated and verified too; of long lists only what is not linked with
-   the pivots is left for this.  No pair is dropped for the length of its list.
+   differ, and whose places on it allow the limit, are estimated and verified too; of
+   long lists only what is not linked with the pivot is left for this, against all
+   members.  No pair is dropped for the length of its list.
 
 Components are found by passing the smallest id along links and over known roots.
 Nothing but counts comes to the driver.  What is broadcast is at most a thousand
@@ -86,9 +90,7 @@ def _keys(front: int, gram: int):
         for b in batches:
             nodes, sizes, out = b.column("node").to_pylist(), b.column("n").to_pylist(), []
             for sk in b.column("sk").to_pylist():
-                s = np.frombuffer(sk, np.uint64)
-                g = min(gram, 3) if len(s) <= 7 else gram
-                out.append(np.unique(C.rolling(s[:front], g)).view(np.int64))
+                out.append(np.unique(C.rolling(np.frombuffer(sk, np.uint64)[:front], gram)).view(np.int64))
             n = [len(x) for x in out]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), n)), pa.array(np.repeat(np.array(sizes, np.int64), n))], names=["key", "node", "n"])
 
@@ -138,29 +140,92 @@ def _verify(shingle: int, num: int, den: int):
     return run
 
 
+def _counts(shingle: int, buckets: int):
+    """A batch's distinct shingles and how many of its documents hold each, packed by
+    bucket of the hash."""
+
+    def run(key, docs):
+        texts = C.text_bytes(docs.column("_x"))
+        sets = [s for i, j in C.blocks(texts) for s in sets_of(texts[i:j], shingle)]
+        u, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        to = (u % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+        rows = [(b, u[order[s:e]].tobytes(), n[order[s:e]].astype(np.uint32).tobytes()) for b, s, e in zip(range(buckets), cuts[:-1], cuts[1:], strict=True) if s < e]
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([key[0].as_py()] * len(rows), pa.int32()), "values": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+
+    return run
+
+
+def _totals(key, table):
+    """For each batch, those of its shingles that two documents hold, with the total."""
+    vs = [np.frombuffer(x, np.uint64) for x in table.column("values").to_pylist()]
+    u, at = np.unique(np.concatenate(vs), return_inverse=True)
+    total = np.bincount(at, np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]), len(u)).astype(np.uint32)
+    mine = np.split(total[at], np.cumsum([len(v) for v in vs])[:-1])
+    rows = [(b, v[t > 1].tobytes(), t[t > 1].tobytes()) for b, v, t in zip(table.column("batch").to_pylist(), vs, mine, strict=True) if (t > 1).any()]
+    return pa.table({"batch": pa.array([r[0] for r in rows], pa.int32()), "values": pa.array([r[1] for r in rows], pa.binary()), "totals": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _prefixes(shingle: int, num: int, den: int):
+    """(key, node, n, pos) for the first places of each document, rarest first, but for
+    what no other document holds."""
+
+    def run(key, docs, back):
+        known = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in back.column("values").to_pylist()]])
+        total = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(x, np.uint32) for x in back.column("totals").to_pylist()]])
+        order = np.argsort(known)
+        known, total = np.concatenate((known[order], [np.uint64((1 << 64) - 1)])), np.concatenate((total[order], [np.uint32(1)]))
+        texts, ids = C.text_bytes(docs.column("_x")), docs.column("_k").to_numpy()
+        keys, nodes, sizes, places = [], [], [], []
+        for i, j in C.blocks(texts):
+            for k, s in zip(ids[i:j], sets_of(texts[i:j], shingle), strict=True):
+                at = np.searchsorted(known, s)
+                df = np.where(known[at] == s, total[at], 1)
+                front = np.lexsort((s, df))[: len(s) + num * len(s) // -den + 1]
+                place = np.flatnonzero(df[front] > 1)
+                keys.append(s[front[place]].view(np.int64))
+                places.append(place)
+                nodes.append(np.full(len(place), k, np.int64))
+                sizes.append(np.full(len(place), len(s), np.int64))
+        join = lambda xs: pa.array(np.concatenate([np.zeros(0, np.int64), *xs]).astype(np.int64), pa.int64())
+        return pa.table({"key": join(keys), "node": join(nodes), "n": join(sizes), "pos": join(places)})
+
+    return run
+
+
+def _reaches(n, m, i, j, num: int, den: int):
+    """Whether sets of n and m whose first common shingle is at places i and j can be
+    that similar: what follows bounds what they share."""
+    return (num + den) * min(n - i, m - j) >= num * (n + m)
+
+
 def _cross(num: int, den: int):
-    """All pairs of a short list whose components differ.  Rows come sorted by key."""
+    """All pairs of a short list whose components differ and whose places allow the
+    limit.  Rows come sorted by key."""
 
     def run(batches):
         last, rows = None, []
 
         def pairs():
             out = []
-            for i, (a, n, x) in enumerate(rows):
-                out += [(min(a, b), max(a, b)) for b, m, y in rows[i + 1 :] if x != y and den * min(n, m) >= num * max(n, m)]
+            for x, (a, n, i, c) in enumerate(rows):
+                out += [(min(a, b), max(a, b)) for b, m, j, d in rows[x + 1 :] if c != d and den * min(n, m) >= num * max(n, m) and _reaches(n, m, i, j, num, den)]
             return out
 
+        def made(found):
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
         for b in batches:
             found = []
-            for k, a, n, c in zip(*[b.column(x).to_pylist() for x in ("key", "node", "n", "comp")], strict=True):
+            for k, a, n, i, c in zip(*[b.column(x).to_pylist() for x in ("key", "node", "n", "pos", "comp")], strict=True):
                 if k != last:
                     found += pairs()
                     last, rows = k, []
-                rows.append((a, n, c))
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
-        found = pairs()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+                rows.append((a, n, i, c))
+            yield made(found)
+        if found := pairs():
+            yield made(found)
 
     return run
 
@@ -173,14 +238,22 @@ class _Graph:
         self.shingle, self.num, self.den = shingle, num, den
         self.parts = C.n_parts(docs.sparkSession)
 
-    def lists(self, nodes: DataFrame, front: int, gram: int) -> tuple[DataFrame, int]:
-        """Members of each list of two or more, with the list's length and pivots."""
-        keys = nodes.select("node", "n", "sk").mapInArrow(_keys(front, gram), "key long, node long, n long")
-        s = F.struct("n", "node")
-        about = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("p1"), F.max("node").alias("p2"), F.min(s).alias("lo"), F.max(s).alias("hi")).where("size > 1")
-        about = C.stash(about.select("key", "size", "p1", "p2", F.col("lo.node").alias("p3"), F.col("hi.node").alias("p4")), "lists")
+    def lists(self, keys: DataFrame, first) -> DataFrame:
+        """Members of each list of two or more, with the list's length and pivots: the
+        first by an order of members, and the smallest, as a rule another one."""
+        about = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(*first, "node")).alias("f"), F.min("node").alias("p2"), F.max("node").alias("p3")).where("size > 1")
+        about = C.stash(about.select("key", "size", F.col("f.node").alias("p1"), "p2", "p3"), "lists")
         total = about.agg(F.sum("size")).first()[0] or 0
-        return C.stash(C.counted_join(keys, about, ["key"], "size", total).where("size IS NOT NULL"), "members"), total
+        return C.stash(C.counted_join(keys, about, ["key"], "size", total).where("size IS NOT NULL"), "members")
+
+    def prefix_keys(self, crowded: DataFrame, batch_docs: int = 500) -> DataFrame:
+        n = max(1, -(-crowded.count() // batch_docs))
+        buckets = max(24, -(-n // 4))
+        docs = self.docs.join(crowded.withColumnRenamed("node", "_k"), "_k", "left_semi").withColumn("batch", F.pmod(F.xxhash64("_k"), F.lit(n)).cast("int")).repartition("batch")
+        by_batch = docs.groupBy("batch")
+        sent = by_batch.applyInArrow(_counts(self.shingle, buckets), "bucket int, batch int, values binary, counts binary")
+        back = sent.groupBy("bucket").applyInArrow(_totals, "batch int, values binary, totals binary")
+        return by_batch.cogroup(back.groupBy("batch")).applyInArrow(_prefixes(self.shingle, self.num, self.den), "key long, node long, n long, pos long")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b), in any order, that pass the estimate and the full sets."""
@@ -246,31 +319,37 @@ class _Graph:
         return label
 
     def links(self) -> DataFrame:
-        first, _ = self.lists(self.nodes, FRONT, 2)
-        crowded = first.where(F.col("size") > LONG).select("node").distinct()
-        second, _ = self.lists(self.nodes.join(crowded, "node", "left_semi"), SKETCH, 4)
-        short = first.where(F.col("size") <= LONG).unionByName(second.where(F.col("size") <= LONG))
-        long = second.where(F.col("size") > LONG)
-        stars = lambda x: x.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("p1", "p2", "p3", "p4"))).alias("b"))
-        links = self.near(stars(short).union(stars(long)))
+        keys = self.nodes.select("node", "n", "sk").mapInArrow(_keys(FRONT, 2), "key long, node long, n long")
+        first = self.lists(keys.withColumn("pos", F.lit(0).cast("long")), ["n"])
+        short, links_from = first.where(F.col("size") <= LONG), [first.where(F.col("size") <= LONG)]
+        crowded = C.stash(first.where(F.col("size") > LONG).select("node").distinct(), "crowded")
+        long = None
+        if crowded.limit(1).count():
+            prefixes = C.stash(self.prefix_keys(crowded), "prefixes")
+            second = self.lists(prefixes, ["pos"])
+            links_from.append(second)
+            short = short.unionByName(second.where(F.col("size") <= LONG))
+            long = second.where(F.col("size") > LONG)
+        stars = [x.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("b")) for x in links_from]
+        links = self.near(stars[0] if len(stars) == 1 else stars[0].union(stars[1]))
         comps = self.components(links)
-        # Components of list members: a missing one is the node itself.
-        size = comps.groupBy("comp").count()  # noqa: F841
-        members = short.select("key", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        # A member without a component is one of its own.
+        members = short.select("key", "node", "n", "pos").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         members = members.join(mixed, "key", "left_semi").repartition(self.parts, "key").sortWithinPartitions("key")
         more = members.mapInArrow(_cross(self.num, self.den), "a long, b long")
-        # Of long lists: who is not with the pivot, against all members of other components.
-        m = long.select("key", "node", "n", "p1").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        pivot = comps.select(F.col("node").alias("p1"), F.col("comp").alias("p_comp"))
-        weights = m.groupBy("p1").agg(F.count("*").alias("w")).join(pivot, "p1", "left")
-        weights = C.stash(weights.select("p1", "w", F.coalesce("p_comp", "p1").alias("p_comp")), "pivots")
-        total = weights.agg(F.sum("w")).first()[0] or 0
-        if total:
-            m = C.stash(C.counted_join(m, weights, ["p1"], "w", total).select("key", "node", "n", "comp", "p_comp"), "long")
-            apart = m.where("comp <> p_comp").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"))
-            all_m = m.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"))
-            more = more.union(apart.join(all_m, "key").where((F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num)).select("a", "b"))
+        if long is not None:
+            # Of long lists: who is not with the pivot, against all members of other components.
+            m = long.select("key", "node", "n", "pos", "p1").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            pivot = comps.select(F.col("node").alias("p1"), F.col("comp").alias("p_comp"))
+            weights = m.groupBy("p1").agg(F.count("*").alias("w")).join(pivot, "p1", "left")
+            weights = C.stash(weights.select("p1", "w", F.coalesce("p_comp", "p1").alias("p_comp")), "pivots")
+            total = weights.agg(F.sum("w")).first()[0] or 0
+            m = C.stash(C.counted_join(m, weights, ["p1"], "w", total).select("key", "node", "n", "pos", "comp", "p_comp"), "long")
+            side = lambda x, c: x.select("key", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"i_{c}"), F.col("comp").alias(f"c_{c}"))
+            n, k, i, j = F.col("n_a"), F.col("n_b"), F.col("i_a"), F.col("i_b")
+            fits = (F.col("c_a") != F.col("c_b")) & (F.least(n, k) * self.den >= F.greatest(n, k) * self.num) & (F.least(n - i, k - j) * (self.num + self.den) >= (n + k) * self.num)
+            more = more.union(side(m.where("comp <> p_comp"), "a").join(side(m, "b"), "key").where(fits).select("a", "b"))
         return links.union(self.near(more))
 
 
