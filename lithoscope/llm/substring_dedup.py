@@ -94,9 +94,11 @@ def _anchors(buckets: int):
 
 def _recurring(key, table):
     once, often = _u64(table.column("once").to_pylist()), _u64(table.column("often").to_pylist())
-    u, n = np.unique(np.concatenate(once + often), return_counts=True)
-    keep = np.union1d(u[n > 1], np.concatenate(often))
-    found = [(b, np.concatenate((x[np.isin(x, keep)], y))) for b, x, y in zip(table.column("batch").to_pylist(), once, often, strict=True)]
+    u, at, n = np.unique(np.concatenate(once + often), return_inverse=True, return_counts=True)
+    keep = n > 1
+    keep[np.searchsorted(u, np.concatenate(often))] = True
+    mine = np.split(keep[at], np.cumsum([len(x) for x in once]))
+    found = [(b, np.concatenate((x[k], y))) for b, x, y, k in zip(table.column("batch").to_pylist(), once, often, mine, strict=False)]
     found = [(b, x) for b, x in found if len(x)]
     return pa.table({"batch": pa.array([b for b, _ in found], pa.int32()), "anchors": pa.array([x.tobytes() for _, x in found], pa.binary())})
 
@@ -109,7 +111,7 @@ def _pieces(shards: int):
         for i, j in C.blocks(texts) if len(good) else ():
             w = C.Words(texts[i:j])
             a, first, last = places(w)
-            ok = np.flatnonzero(np.isin(a, good))
+            ok = np.flatnonzero(good[np.minimum(np.searchsorted(good, a), len(good) - 1)] == a)
             for h, s, e, k in zip(a[ok].tolist(), w.start[first[ok]].tolist(), w.end[last[ok] + WINDOW - 1].tolist(), ids[i:j][w.doc[first[ok]]].tolist(), strict=True):
                 t = w.text[s:e]
                 x = seen.get(t)
@@ -127,66 +129,89 @@ def _pieces(shards: int):
     return run
 
 
-def compiled(patterns: dict[tuple, int], most: int = 40_000):
-    """Automata over word numbers with at most `most` passages each."""
-    items = list(patterns.items())
-    for i in range(0, len(items), most):
-        a = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for p, lo in items[i : i + most]:
-            a.add_word(p, lo)
+def coded(numbers: np.ndarray, skip: np.ndarray) -> str:
+    """Word numbers as a string: three characters each, of three alphabets, so that
+    nothing matches out of step; a space before each piece."""
+    bits = max(7, -(-int(numbers.max(initial=0)).bit_length() // 3))  # few children a node
+    places = np.empty((len(numbers), 4), np.uint32)
+    places[:, 0] = 32
+    for c in (1, 2, 3):
+        places[:, c] = (c << bits) + 64 + ((numbers >> (bits * (3 - c))) & ((1 << bits) - 1))
+    keep = np.ones(places.shape, bool)
+    keep[:, 0] = skip
+    return places[keep].astype("<u4").tobytes().decode("utf-32-le")
+
+
+def compiled(text: str, starts: np.ndarray, most: int = 40_000):
+    """Automata, of at most `most` passages each, of the coded words at some places;
+    a passage's value is its index."""
+    for i in range(0, len(starts), most):
+        a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for n, s in enumerate(starts[i : i + most].tolist(), i):
+            a.add_word(text[s : s + 3 * WINDOW], n)
         a.make_automaton()
         yield a
 
 
+def _groups(nums: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of the group of equal windows, compared in full."""
+    for seed in range(1, 9):
+        h = C.rolling(C.mix(nums.astype(np.uint64) + np.uint64(seed << 40)), WINDOW)[at]
+        _, first, group = np.unique(h, return_index=True, return_inverse=True)
+        same = at[first][group]
+        if all(np.array_equal(nums[at + k], nums[same + k]) for k in range(WINDOW)):
+            return first, group
+    raise ValueError("windows collide under every seed")
+
+
 def _locate(key, table):
     batches = table.column("batch").to_pylist()
     cols = [[zlib.decompress(x) for x in table.column(c).to_pylist()] for c in ("texts", "lo", "hi", "anchor")]
-    numbers: dict[bytes, int] = {}
-    rows = []  # per piece: row, text, word numbers, lo, hi, anchor
-    for r, (texts, lo, hi, anchor) in enumerate(zip(*cols, strict=True)):
-        for t, x, y, h in zip(texts.split(b"\n"), np.frombuffer(lo, np.int64).tolist(), np.frombuffer(hi, np.int64).tolist(), np.frombuffer(anchor, np.uint64).tolist(), strict=True):
-            rows.append((r, t, tuple([numbers.setdefault(w, len(numbers)) for w in t.split(b" ")]), x, y, h))
+    lo, hi = (np.concatenate([np.frombuffer(x, np.int64) for x in c]) for c in cols[1:3])
+    anchor = np.concatenate([np.frombuffer(x, np.uint64) for x in cols[3]])
+    row = np.repeat(np.arange(len(batches)), [len(x) // 8 for x in cols[1]])
+    texts = [t for x in cols[0] for t in x.split(b"\n")]
     del cols
-    span: dict[tuple, int] = {}  # window: smallest document
-    twice: set[tuple] = set()
-    for _, _, seq, lo, hi, _ in rows:
-        for i in range(len(seq) - WINDOW + 1):
-            p = seq[i : i + WINDOW]
-            x = span.get(p)
-            if x is None:
-                span[p] = lo
-                if lo != hi:
-                    twice.add(p)
-            else:
-                if x != lo or lo != hi:
-                    twice.add(p)
-                if lo < x:
-                    span[p] = lo
-    patterns = {p: span[p] for p in twice}
-    del span, twice
-    hits: list[dict[int, int]] = [{} for _ in rows]
-    for a in compiled(patterns):
-        for x, (_, _, seq, _, _, _) in zip(hits, rows, strict=True):
-            for end, lo in a.iter(seq):
-                x[end - WINDOW + 1] = lo
-    out: dict[int, list] = {}
-    for (r, t, seq, _, hi, h), x in zip(rows, hits, strict=True):
-        if x and min(x.values()) < hi:
-            least = np.full(len(seq) - WINDOW + 1, C.NO_ID, np.int64)
-            least[list(x)] = list(x.values())
-            out.setdefault(r, []).append((h, hashlib.blake2b(t, digest_size=16).digest(), least))
-    made = [(batches[r], np.array([x[0] for x in xs], np.uint64).tobytes(), b"".join(x[1] for x in xs), zlib.compress(np.array([len(x[2]) for x in xs], np.int32).tobytes(), 1), zlib.compress(np.concatenate([x[2] for x in xs]).tobytes(), 1)) for r, xs in out.items()]
+    size = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
+    words = b" ".join(texts).split(b" ")
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    nums = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    del words, number
+    piece = np.repeat(np.arange(len(texts)), size)
+    at = np.flatnonzero(piece[: len(piece) - WINDOW + 1] == piece[WINDOW - 1 :])  # the windows
+    of = piece[at]
+    first, group = _groups(nums, at)
+    least, most = np.full(len(first), C.NO_ID), np.full(len(first), -(1 << 63))
+    np.minimum.at(least, group, lo[of])
+    np.maximum.at(most, group, hi[of])
+    twice = np.flatnonzero(least != most)  # confirmed: in two documents
+    text = coded(nums, np.diff(piece, prepend=-1) != 0)
+    where = 3 * np.arange(len(nums)) + piece + 1  # of each word in the coded text
+    found = np.full(len(nums), C.NO_ID)
+    for a in compiled(text, where[at[first[twice]]]):
+        hits = np.fromiter((x for hit in a.iter(text) for x in hit), np.int64).reshape(-1, 2)
+        found[np.searchsorted(where, hits[:, 0] - (3 * WINDOW - 1))] = least[twice[hits[:, 1]]]
+    g = found[at]
+    cuts = np.concatenate(([0], np.cumsum(size - WINDOW + 1)))
+    useful = np.flatnonzero(np.minimum.reduceat(g, cuts[:-1]) < hi)
+    made = []
+    for r in np.unique(row[useful]):
+        mine = useful[row[useful] == r] if len(batches) < 64 else useful[np.searchsorted(row[useful], r) : np.searchsorted(row[useful], r, side="right")]
+        n = (size[mine] - WINDOW + 1).astype(np.int32)
+        spans = np.concatenate([g[cuts[i] : cuts[i + 1]] for i in mine])
+        made.append((batches[r], anchor[mine].tobytes(), b"".join([hashlib.blake2b(texts[i], digest_size=16).digest() for i in mine.tolist()]), zlib.compress(n.tobytes(), 1), zlib.compress(spans.tobytes(), 1)))
     return pa.table({"batch": pa.array([m[0] for m in made], pa.int32())} | {n: pa.array([m[c] for m in made], pa.binary()) for c, n in enumerate(("anchors", "digests", "sizes", "least"), 1)})
 
 
 def _remove(key, docs, back):
     ids, texts = _texts(docs)
-    least: dict[bytes, np.ndarray] = {}
+    least: dict[bytes, tuple] = {}
     anchors = [np.zeros(0, np.uint64)]
     for a, d, n, g in zip(*[back.column(c).to_pylist() for c in ("anchors", "digests", "sizes", "least")], strict=True):
         anchors.append(np.frombuffer(a, np.uint64))
-        ends = np.cumsum(np.frombuffer(zlib.decompress(n), np.int32))[:-1]
-        least.update(zip([d[i : i + 16] for i in range(0, len(d), 16)], np.split(np.frombuffer(zlib.decompress(g), np.int64), ends), strict=True))
+        g, ends = np.frombuffer(zlib.decompress(g), np.int64), np.concatenate(([0], np.cumsum(np.frombuffer(zlib.decompress(n), np.int32))))
+        lows, tops = np.minimum.reduceat(g, ends[:-1]).tolist(), np.maximum.reduceat(g, ends[:-1]).tolist()
+        least.update(zip([d[i : i + 16] for i in range(0, len(d), 16)], zip(lows, tops, [g] * len(lows), ends[:-1].tolist(), ends[1:].tolist(), strict=True), strict=True))
     good = np.unique(np.concatenate(anchors))
     n_words, gone, kept = [], [], []
     for i, j in C.blocks(texts):
@@ -194,22 +219,29 @@ def _remove(key, docs, back):
         edge = np.zeros(len(w.hash) + 1, np.int32)
         if len(good):
             a, first, last = places(w)
-            ok = np.flatnonzero(np.isin(a, good))
-            for f, s, e, k in zip(first[ok].tolist(), w.start[first[ok]].tolist(), w.end[last[ok] + WINDOW - 1].tolist(), ids[i:j][w.doc[first[ok]]].tolist(), strict=True):
-                g = least.get(hashlib.blake2b(w.text[s:e], digest_size=16).digest())
-                if g is not None:
-                    x = np.flatnonzero(g < k) + f
-                    edge[x] += 1
-                    edge[x + WINDOW] -= 1
+            ok = np.flatnonzero(good[np.minimum(np.searchsorted(good, a), len(good) - 1)] == a)
+            up, down, get, digest, text = [], [], least.get, hashlib.blake2b, w.text
+            for f, z, s, e, k in zip(first[ok].tolist(), last[ok].tolist(), w.start[first[ok]].tolist(), w.end[last[ok] + WINDOW - 1].tolist(), ids[i:j][w.doc[first[ok]]].tolist(), strict=True):
+                g = get(digest(text[s:e], digest_size=16).digest())
+                if g is not None and g[0] < k:
+                    if g[1] < k:  # all windows of the piece
+                        up.append(f)
+                        down.append(z + WINDOW)
+                    else:
+                        x = (np.flatnonzero(g[2][g[3] : g[4]] < k) + f).tolist()
+                        up += x
+                        down += [y + WINDOW for y in x]
+            np.add.at(edge, up, 1)
+            np.add.at(edge, down, -1)
         covered = np.cumsum(edge[:-1]) > 0
+        ends = np.concatenate(([0], np.cumsum(covered)))
+        removed = (ends[w.first[1:]] - ends[w.first[:-1]]).tolist()
         for d in range(j - i):
             s, e = int(w.first[d]), int(w.first[d + 1])
-            n, c = e - s, covered[s:e]
-            t = w.text[int(w.start[s]) : int(w.end[e - 1])] if n else b""
-            r = int(c.sum())
-            n_words.append(n)
-            gone.append(r)
-            kept.append(b" ".join(compress(t.split(b" "), (~c).tolist())) if r else t)
+            t = w.text[int(w.start[s]) : int(w.end[e - 1])] if e > s else b""
+            n_words.append(e - s)
+            gone.append(removed[d])
+            kept.append(b" ".join(compress(t.split(b" "), (~covered[s:e]).tolist())) if removed[d] else t)
     return pa.table([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], schema=_ROW)
 
 
