@@ -13,8 +13,11 @@ packed each on their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,37 +29,55 @@ from . import _common as C
 
 #: What a bin carries of a piece.
 PIECE = np.dtype([("k", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4"), ("offset", "<i4")])
+_PIECE = struct.Struct("<qiqiIi")  # the same
 _OUT = "done boolean, bin long, load int, members binary"
-_BORDER = re.compile(r"(?<=\S) (?=\S)")
-_UNSAFE = re.compile(r"\s |^ | $")
+_RUN = re.compile(r"\s{500}")
+
+
+#: How a byte-level tokenizer of this kind cuts a text; fixed value.
+_PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_of() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Token ids as little-endian bytes.  Texts are cut where a single space stands
-    between two other characters: the space always belongs to the word after it, so
-    each piece is encoded as it would be within the text, and once."""
+    """Token ids as little-endian bytes.
+
+    Where the merges' order is that of their ids, as in byte_bpe_50k.json, whole texts
+    are encoded by tiktoken with the same vocabulary, which returns the same ids in a
+    fraction of the time; texts with a special token, or with a run of white space that
+    its regex engine could refuse, go to tokenizers."""
 
-    def __init__(self, path: str, most_pieces: int = 300_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tool, self.known, self.most = Tokenizer.from_file(path), {}, most_pieces
+        self.tool = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        self.fast = self._fast(json.load(open(path, encoding="utf-8")))
 
-    def pieces(self, text: str) -> list[str]:
-        if any(s in text for s in self.special):
-            return [text]
-        parts = _BORDER.split(text) if _UNSAFE.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+    @staticmethod
+    def _fast(spec: dict):
+        pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+        if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex") or model["type"] != "BPE" or model.get("ignore_merges") or model.get("end_of_word_suffix"):
+            return None
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != sorted(merged):
+            return None
+        import tiktoken
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known = {}
-        split, known = [self.pieces(t) for t in texts], self.known
-        new = list({p for s in split for p in s if p not in known})
-        for i in range(0, len(new), 5000):
-            for p, e in zip(new[i : i + 5000], self.tool.encode_batch(new[i : i + 5000], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in s]) for s in split]
+        added, byte_of = {t["content"] for t in spec["added_tokens"]}, _byte_of()
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
+        return tiktoken.Encoding("texts", pat_str=_PRETOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(self, text: str) -> bytes:
+        if self.fast is None or any(s in text for s in self.special) or _RUN.search(text):
+            return array("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.fast(text)).tobytes()
 
 
 def cut(n: int, most: int):
@@ -95,19 +116,26 @@ def best_fit(loads: np.ndarray, most: int) -> tuple[list[list[int]], list[int]]:
     return bins, full
 
 
+def piece_row(k: int, piece: int, start: int, length: int, crc: int) -> bytes:
+    return _PIECE.pack(k, piece, start, length, crc, 0)
+
+
 def _packed(items: list[tuple[int, bytes]], most: int, slack: int, last: bool, number):
     bins, full = best_fit(np.array([n for n, _ in items], np.int64), most)
     done, ids, loads, members = [], [], [], []
     for b, load in zip(bins, full, strict=True):
-        rows = [np.frombuffer(items[i][1], PIECE).copy() for i in b]
-        at = 0
-        for i, r in zip(b, rows, strict=True):
-            r["offset"] += at
-            at += items[i][0]
+        if len(b) == 1:
+            made = items[b[0]][1]
+        else:
+            lengths = [items[i][0] for i in b]
+            rows = np.frombuffer(b"".join([items[i][1] for i in b]), PIECE).copy()
+            starts = np.cumsum([0, *lengths[:-1]])
+            rows["offset"] += np.repeat(starts, [len(items[i][1]) // PIECE.itemsize for i in b]).astype(np.int32)
+            made = rows.tobytes()
         done.append(last or load >= most - slack)
         ids.append(next(number))
         loads.append(load)
-        members.append(b"".join(r.tobytes() for r in rows))
+        members.append(made)
     return pa.RecordBatch.from_arrays([pa.array(done, pa.bool_()), pa.array(ids, pa.int64()), pa.array(loads, pa.int32()), pa.array(members, pa.binary())], names=["done", "bin", "load", "members"])
 
 
@@ -122,13 +150,10 @@ def _first_round(path: str, end_id: int, most: int, slack: int, most_items: int)
     def run(batches):
         enc, end, number, items = Encoder(path), np.array([end_id], "<u4").tobytes(), _numbers(0), []
         for b in batches:
-            keys, texts = b.column("_k").to_pylist(), C.text_bytes(b.column("_x"))
-            for i, j in C.blocks(texts, 4 << 20):
-                for k, ids in zip(keys[i:j], enc.encode([t.decode("utf-8") for t in texts[i:j]]), strict=True):
-                    ids += end
-                    for piece, (s, n) in enumerate(cut(len(ids) // 4, most)):
-                        row = np.array([(k, piece, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), 0)], PIECE)
-                        items.append((n, row.tobytes()))
+            for k, text in zip(b.column("_k").to_pylist(), C.text_bytes(b.column("_x")), strict=True):
+                ids = enc.encode(text.decode("utf-8")) + end
+                for piece, (s, n) in enumerate(cut(len(ids) // 4, most)):
+                    items.append((n, piece_row(k, piece, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]))))
                 if len(items) >= most_items:
                     yield _packed(items, most, slack, False, number)
                     items = []
