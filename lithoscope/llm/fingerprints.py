@@ -87,13 +87,16 @@ def with_next(x: DataFrame, key: str, tie: str, carry: list[str], rows: int = 40
     dealt = x.repartition("_b")
     w = Window.partitionBy("_b").orderBy(key, tie)
     row = F.struct(*carry)
-    seq = dealt.withColumn("_lead", F.lead(row).over(w))
-    # `_at` null marks the row that ends its bucket.
-    first = dealt.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(F.col("_b").alias("_hb"), F.struct(*carry).alias("_head"))
-    ends = first.join(chain, F.col("_hb") == F.col("_nb")).select(F.col("_b").alias("_eb"), "_head")
-    out = seq.join(ends, F.when(F.col("_lead").isNull(), F.col("_b")) == F.col("_eb"), "left")
-    nxt = F.coalesce("_lead", "_head")
-    return out.select(*[c for c in x.columns if c != "_b"], *[nxt[c].alias(f"next_{c}") for c in carry])
+    keep = [c for c in x.columns if c != "_b"]
+    # All but the last row of each bucket: nothing more is shuffled.
+    most = dealt.withColumn("_next", F.lead(row).over(w)).where("_next IS NOT NULL")
+    # One row a bucket, from either end, meets over the chain of buckets.
+    back = Window.partitionBy("_b").orderBy(F.desc(key), F.desc(tie))
+    tails = dealt.withColumn("_r", F.row_number().over(back)).where("_r = 1")
+    first = dealt.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(F.col("_b").alias("_nb"), row.alias("_next"))
+    ends = tails.join(chain, "_b").join(first, "_nb")
+    out = most.select(*keep, "_next").unionByName(ends.select(*keep, "_next"))
+    return out.select(*keep, *[F.col("_next")[c].alias(f"next_{c}") for c in carry])
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = FRACTION) -> DataFrame:
