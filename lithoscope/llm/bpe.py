@@ -4,13 +4,15 @@ The distinct words of a batch go into a trie of units (byte-level characters, th
 last one of a word marked as its end).  A depth-first walk gives each node its
 last-token state: the last token of the encoding of the prefix that the node
 stands for.  It is the one token that is a suffix of the prefix and that stays
-apart, under the merges, from the last token of what precedes it.  Ancestors'
-states are on the path, so a prefix that words share is computed once; a word's
-tokens are read off its path backwards.
+apart, under the merges, from the last token of what precedes it; an automaton of the
+vocabulary, stepped along with the walk, names the tokens that are suffixes.
+Ancestors' states are on the path, so a prefix that words share is computed once; a
+word's tokens are read off its path backwards.
 
 Every text is cut at `[\\x20\\x09-\\x0D]`, where neither the normaliser nor the
 pre-tokenizer can join anything, and each distinct piece is encoded once.  No row
-is shuffled.  Memory is bounded: the table of pieces starts afresh at `most_pieces`.
+is shuffled.  Memory is bounded: the tables of pieces and words, which a worker keeps
+for its next tasks, start afresh at `most_pieces`.
 
 Defined cases: a null or empty text has no tokens and decodes to an empty text;
 special tokens written in a text become their ids, as in the library; repeated
@@ -33,6 +35,11 @@ from . import _common as C
 _END = 0x1000
 
 
+#: The pre-tokenizer's pattern, as the file has it, and the same for lower-case ASCII.
+_PATTERN = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+
 class TrieBPE:
     """An encoder for a tokenizer file of kind BPE with an end-of-word suffix."""
 
@@ -45,6 +52,7 @@ class TrieBPE:
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in {**self.vocab, **self.added}.items()}
+        self.simple = _PATTERN in json.dumps(spec["pre_tokenizer"], ensure_ascii=False)
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         made = {a + b for a, b in merges}
@@ -62,9 +70,38 @@ class TrieBPE:
         for t, r in self.rank.items():
             outer = t[:-1] + chr(ord(t[-1]) - _END) + self.suffix if ord(t[-1]) >= _END else t
             self.ids[r], self.size[r] = self.vocab[outer], len(t)
-        self.longest = max(self.size)
         self.apart: dict[int, bool] = {}
         self.most_pairs = most_pairs
+        self._automaton()
+        self.known: dict[str, list[int]] = {}
+
+    def _automaton(self):
+        """Of all tokens: children and failure links; `ends` has the tokens that are
+        suffixes of a state, longest first."""
+        down, ends, token = [{}], [()], [None]
+        for t, r in self.rank.items():
+            at = 0
+            for c in t:
+                nxt = down[at].get(c)
+                if nxt is None:
+                    nxt = down[at][c] = len(down)
+                    down.append({})
+                    token.append(None)
+                at = nxt
+            token[at] = (r, len(t))
+        fail = [0] * len(down)
+        ends = [()] * len(down)
+        queue = list(down[0].values())
+        for at in queue:  # by depth
+            ends[at] = ((token[at],) if token[at] else ()) + ends[fail[at]]
+            for c, nxt in down[at].items():
+                f = fail[at]
+                while f and c not in down[f]:
+                    f = fail[f]
+                fail[nxt] = down[f].get(c, 0)
+                queue.append(nxt)
+        self.down, self.fail, self.ends = down, fail, ends
+        self.goto: list[dict[str, int]] = [{} for _ in down]  # steps taken before
 
     def _inner(self, token: str) -> str:
         if self.suffix and token.endswith(self.suffix) and token != self.suffix:
@@ -109,89 +146,125 @@ class TrieBPE:
         for w in words:
             node = root
             for c in w[:-1]:
-                node = node.setdefault(c, {})
-            last = w[-1]
-            node.setdefault(chr(ord(last) + _END) if self.suffix else last, {})[""] = w
-        rank, size, longest, apart = self.rank, self.size, self.longest, self.stays_apart
+                nxt = node.get(c)
+                if nxt is None:
+                    nxt = node[c] = {}
+                node = nxt
+            # A word's end is a unit of its own kind: a leaf.
+            node[chr(ord(w[-1]) + _END) if self.suffix else w[-1] + "\0"] = w
+        down, fail, goto, ends, apart, ids, size = self.down, self.fail, self.goto, self.ends, self.apart, self.ids, self.size
         out: dict[str, list[int]] = {}
-        states: list[int] = [-1]  # of the prefixes on the path
-        units: list[str] = []
-        stack = [(1, c, node) for c, node in root.items()]
+        last = [-1]  # of the prefixes on the path
+        stack = [(1, c, node, 0) for c, node in root.items()]
         while stack:
-            depth, unit, node = stack.pop()
-            del units[depth - 1 :], states[depth:]
-            units.append(unit)
-            tail = "".join(units[-longest:])
-            for n in range(len(tail), 0, -1):
-                t = rank.get(tail[-n:])
-                if t is not None and (n == depth or apart(states[depth - n], t)):
+            depth, unit, node, state = stack.pop()
+            step = goto[state].get(unit)
+            if step is None:
+                step, c = state, unit[0]
+                while step and c not in down[step]:
+                    step = fail[step]
+                step = goto[state][unit] = down[step].get(c, 0)
+            state = step
+            for t, n in ends[state]:
+                if n == depth:
+                    break
+                before = last[depth - n]
+                ok = apart.get(before << 20 | t)
+                if ok if ok is not None else self.stays_apart(before, t):
                     break
             else:
-                raise ValueError(f"no token ends {tail!r}")
-            states.append(t)
-            for c, child in node.items():
-                if c:
-                    stack.append((depth + 1, c, child))
-                else:
-                    ids, at = [], depth
-                    while at:
-                        ids.append(self.ids[states[at]])
-                        at -= size[states[at]]
-                    out[child] = ids[::-1]
+                raise ValueError(f"no token ends a prefix of {node!r}")
+            del last[depth:]
+            last.append(t)
+            if isinstance(node, str):
+                got, at = [], depth
+                while at:
+                    t = last[at]
+                    got.append(ids[t])
+                    at -= size[t]
+                got.reverse()
+                out[node] = got
+            else:
+                depth += 1
+                stack += [(depth, c, child, state) for c, child in node.items()]
         return out
 
     def words(self, piece: str) -> list[str]:
         """Byte-level words of a piece without special tokens."""
-        if not piece.isascii():
-            piece = self.tool.normalizer.normalize_str(piece)
-        else:
+        if piece.isascii():
             piece = piece.lower()
             if piece.isalpha():
                 return [piece]
+            if piece.isprintable() and self.simple:  # what these characters stand for in a byte-level vocabulary
+                return _ASCII.findall(piece)
+        else:
+            piece = self.tool.normalizer.normalize_str(piece)
         return [w for w, _ in self.tool.pre_tokenizer.pre_tokenize_str(piece)]
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         plan: list[list] = []
         for p in pieces:
-            if self.split_added and self.split_added.search(p):
+            if self.split_added and "<" in p and self.split_added.search(p):
                 plan.append([self.added[x] if x in self.added else w for x in self.split_added.split(p) if x for w in ([x] if x in self.added else self.words(x))])
             else:
                 plan.append(self.words(p))
-        known = self.encode_words(list({w for ws in plan for w in ws if isinstance(w, str)}))
-        return [[i for w in ws for i in ([w] if isinstance(w, int) else known[w])] for ws in plan]
+        known = self.known
+        known |= self.encode_words([w for w in {w for ws in plan for w in ws} if isinstance(w, str) and w not in known])
+        return [known[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else [i for w in ws for i in ([w] if isinstance(w, int) else known[w])] for ws in plan]
 
     def decode(self, ids: list[int]) -> str:
         """As a tokenizer without a decoder: the tokens, joined by one space."""
         return " ".join([self.names[i] for i in ids])
 
 
+class _Cache:
+    """An encoder with the pieces that it has met, one for a worker process."""
+
+    of: dict[str, _Cache] = {}
+
+    def __init__(self, path: str):
+        self.bpe = TrieBPE(path)
+        self.clear()
+
+    def clear(self):
+        self.of_piece: dict[bytes, tuple[int, str, str]] = {}
+        self.bpe.known.clear()
+
+
+def _cache(path: str) -> _Cache:
+    if path not in _Cache.of:
+        _Cache.of[path] = _Cache(path)
+    return _Cache.of[path]
+
+
+def digests(texts: list[bytes], path: str, most_pieces: int):
+    """(tokens, SHA-256 of the ids, SHA-256 of the decoded text) of each text."""
+    cache = _cache(path)
+    bpe = cache.bpe
+    for i, j in C.blocks(texts, 4 << 20):
+        split = [t.split() for t in texts[i:j]]
+        if len(cache.of_piece) >= most_pieces:
+            cache.clear()
+        known, names = cache.of_piece, bpe.names
+        new = [p for p in set().union(*split) if p not in known]
+        for p, ids in zip(new, bpe.encode_pieces([p.decode("utf-8") for p in new]), strict=True):
+            known[p] = (len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids]))
+        for s in split:
+            got = [x for p in s if (x := known[p])[0]]  # a piece may have no tokens
+            n, ids, text = zip(*got, strict=True) if got else ((), (), ())
+            yield sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(text).encode()).hexdigest()
+
+
 def _run(path: str, most_pieces: int):
     def run(batches):
-        bpe, ids_of, text_of, n_of = TrieBPE(path), {}, {}, {}
         for b in batches:
-            texts, rows = C.text_bytes(b.column(1)), []
-            for i, j in C.blocks(texts, 4 << 20):
-                split = [t.split() for t in texts[i:j]]
-                if len(ids_of) >= most_pieces:
-                    ids_of, text_of, n_of = {}, {}, {}
-                new = list({p for s in split for p in s if p not in n_of})
-                for p, ids in zip(new, bpe.encode_pieces([p.decode("utf-8") for p in new]), strict=True):
-                    n_of[p] = len(ids)
-                    ids_of[p] = " ".join(map(str, ids))
-                    text_of[p] = bpe.decode(ids)
-                for s in split:
-                    if 0 in (ns := [n_of[p] for p in s]):  # a piece may have no tokens
-                        s = [p for p, n in zip(s, ns, strict=True) if n]
-                    rows.append((sum(ns), " ".join([ids_of[p] for p in s]), " ".join([text_of[p] for p in s])))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([r[0] for r in rows], pa.int64()), *[pa.array([hashlib.sha256(r[c].encode()).hexdigest() for r in rows], pa.string()) for c in (1, 2)]],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            rows = list(digests(C.text_bytes(b.column(1)), path, most_pieces))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[c] for r in rows], pa.string()) for c in (1, 2)]], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
-def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_pieces: int = 250_000) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_pieces: int = 450_000) -> DataFrame:
     """One row per row of docs: id_col, n_tokens, ids_sha256, decoded_sha256."""
     C.ship(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
@@ -206,7 +279,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        bpe = TrieBPE(path)
+        bpe = _cache(path).bpe
         for b in batches:
             split = [t.split() for t in C.text_bytes(b.column(1))]
             pieces = list({p for s in split for p in s})
