@@ -237,7 +237,7 @@ def _(spark, sf_dir):
 
 @_query("QUA6_magic_numbers", f"""WITH a AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
 b AS (SELECT * FROM a WHERE trim(t) <> '' AND NOT regexp_matches(trim(t), '^(#|//|\\*|/\\*)') AND NOT regexp_matches(t, '{V.CONST_LINE}')),
-c AS (SELECT doc_id, i, unnest(regexp_extract_all(t, '(?:^|[^\\p{{L}}\\p{{N}}_.])(\\d{{2,}})(?:$|[^\\p{{L}}\\p{{N}}_])', 1)) AS number FROM b)
+c AS (SELECT doc_id, i, unnest(regexp_extract_all(regexp_replace(t, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g'), '(?:^|[^\\p{{L}}\\p{{N}}_.])(\\d{{2,}})(?:$|[^\\p{{L}}\\p{{N}}_])', 1)) AS number FROM b)
 SELECT doc_id, CAST(i + 1 AS INT) AS line, count(*) AS n FROM c WHERE length(number) > 4 GROUP BY ALL""")
 def _(spark, sf_dir):
     """Numbers of five digits or more in texts, each document the body of a function."""
