@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lithoscope.llm import _common, exact_dedup, langid, minhash_dedup, packing, queries, secret_scan
 
+#: Below it a language is a guess; a short but clean text scores above.
+LEAST_SCORE = 0.3
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -23,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     docs = docs.select(*COLUMNS)
     model = langid.train(docs, langid.fold() != 2)
     out = langid.predict(docs, model)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*COLUMNS)
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
