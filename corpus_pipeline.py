@@ -15,11 +15,6 @@ LEAST_SCORE = 0.3
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose id is kept; of rows that repeat an id and a text, one."""
-    return docs.join(verdicts.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those it can't tell the language of."""
     docs = docs.select(*COLUMNS)
@@ -29,12 +24,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, exact_dedup.dedup_exact(docs))
+    """Of rows whose texts are equal without white space one stays, also of rows that
+    repeat an id."""
+    text = F.sha2(F.translate(F.coalesce("text", F.lit("")), _common.SPACE, ""), 256)
+    v = exact_dedup.dedup_exact(docs).where("kept").select(_common.key("doc_id").alias("_k"), F.col("text_sha256").alias("_t"))
+    docs = docs.select(*COLUMNS, _common.key("doc_id").alias("_k"), text.alias("_t"))
+    repeated = docs.groupBy("_k", "_t").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    kept = docs.join(v, ["_k", "_t"], "left_semi")
+    return (kept.dropDuplicates(["_k", "_t"]) if repeated else kept).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays.  Five-word shingles, similarity of 0.8."""
-    return _kept(docs, minhash_dedup.near_duplicates(docs, shingle=5, limit=(80, 100)))
+    """One document of each group stays.  Five-word shingles, similarity of 0.8.  Rows
+    that repeat an id are one document."""
+    v = minhash_dedup.near_duplicates(docs, shingle=5, limit=(80, 100)).where("kept").select(_common.key("doc_id").alias("_k")).distinct()
+    return docs.withColumn("_k", _common.key("doc_id")).join(v, "_k", "left_semi").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

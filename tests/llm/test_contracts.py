@@ -256,3 +256,22 @@ def test_pipeline_in_order(spark):
     assert os.path.exists(queries.tokenizer("byte_bpe_50k.json"))
     assert {r.doc_id for r in p.run(spark, SF).collect()} == {d for d, _ in kept}
     assert hashlib.sha256(b"").hexdigest() == brute.sha("")
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, odd):
+    import corpus_pipeline as p
+
+    rows = [(None, None, None, None, None), (None, "", "en", None, 0), (1, "Same text of an id here", "en", "s", 9), (1, "Same  text of an id here", "fr", None, None), (1, "Same text of an id here", "en", "s", 9), (2, "Other words", None, "t", 1)]
+    few = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for docs in (odd, few, few.where("doc_id > 9")):
+        n = docs.count()
+        for name, stage in p.STAGES:
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            assert (len(got) > 0) == (n > 0), name
+            if name != "packing":
+                assert tuple(out.columns) == p.COLUMNS and len(got) <= n
+    texts = sorted(str(r.text) for r in p.drop_copies(spark, few, SF).collect())
+    assert len(texts) == 3 and "Other words" in texts
+    assert len(p.drop_near_copies(spark, few, SF).collect()) == 6
+    assert {r.doc_id for r in p.identify_language(spark, few, SF).collect()} <= {1, 2}
