@@ -508,3 +508,143 @@ def _(spark, sf_dir):
     """The walk through calls from three endpoints; tested on a small repository."""
     code = parsing.Code(_parsed(spark, sf_dir))
     return diagrams.sequence(api_surface.endpoints(code.sources), code.functions, graph.nodes(code), graph.edges(code))[1].select("job_id", "id", "label")
+
+
+# --- over parsed sources and bodies ------------------------------------------
+
+
+@_query("GRA1_GRA2_nodes", "SELECT job_id, path AS id, 'file' AS type, CAST(NULL AS VARCHAR) AS name FROM sources UNION ALL SELECT job_id, path || '::f', 'function', 'f' FROM sources WHERE file_seq % 5 <> 0", "sources")
+def _(spark, sf_dir):
+    return graph.nodes(parsing.Code(_parsed(spark, sf_dir))).select("job_id", "id", "type", "name")
+
+
+@_query("SRC16_graph_json", "SELECT job_id, path AS source, path || '::f' AS target, 'defines' AS type FROM sources WHERE file_seq % 5 <> 0", "sources")
+def _(spark, sf_dir):
+    """The graph as JSON, and back."""
+    code = parsing.Code(_parsed(spark, sf_dir))
+    return graph.from_json(graph.to_json(graph.nodes(code), graph.edges(code)))[1].select("job_id", "source", "target", "type")
+
+
+@_query("RAG2_symbol_chunks", "SELECT job_id, path AS file, 3 AS start_line, 3 AS end_line, 'f' AS symbol, 'def f(): pass' AS text FROM sources WHERE file_seq % 5 <> 0", "sources")
+def _(spark, sf_dir):
+    return retrieval.symbol_chunks(parsing.Code(_parsed(spark, sf_dir)).bodies).select("job_id", "file", "start_line", "end_line", "symbol", "text")
+
+
+@_query("RAG7_CTL10_stored_source", "SELECT o_custkey, string_agg('// lines ' || o_orderkey || '-' || (o_orderkey + 1) || chr(10) || o_orderpriority, chr(10) || chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey")
+def _(spark, sf_dir):
+    """A customer's orders as the stored chunks of a file."""
+    x = _table(spark, sf_dir, "orders").select(F.lit("j").alias("job_id"), F.col("o_custkey").cast("string").alias("file"), F.col("o_orderkey").alias("start_line"), (F.col("o_orderkey") + 1).alias("end_line"), F.col("o_orderpriority").alias("text"))
+    return retrieval.viewed(x).select(F.col("file").cast("long").alias("o_custkey"), "text")
+
+
+@_query("DIA2_folder_tree", f"""WITH f AS ({_LANG}), a AS (SELECT job_id, path, string_split(path, '/') AS p FROM f), b AS (SELECT job_id, p, unnest(range(0, len(p))) AS d FROM a), c AS (SELECT DISTINCT job_id, p[1:d] AS p, 'dir' AS type FROM b UNION ALL SELECT job_id, p, 'file' FROM a),
+k AS (SELECT *, CASE WHEN len(p) = 0 THEN '' ELSE array_to_string(list_transform(p, lambda s, i: CASE WHEN i = len(p) AND type = 'file' THEN chr(3) ELSE chr(2) END || s), chr(1)) END AS o FROM c)
+SELECT job_id, array_to_string(p, '/') AS path, type, CAST(row_number() OVER (PARTITION BY job_id ORDER BY o) AS INT) AS position FROM k""", "code_files")
+def _(spark, sf_dir):
+    """Folders and files in the tree's order."""
+    return summary.tree_rows(_files(spark, sf_dir)).select("job_id", "path", "type", "position")
+
+
+@_query("DIA9_api_flow", f"""WITH {_ENDS}, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY CAST(regexp_extract(file, 'x(\\d+)', 1) AS BIGINT), line) - 1 AS i FROM e)
+SELECT job_id, 'client->endpoint::' || i AS id, 'endpoint::' || i AS target FROM n UNION ALL SELECT job_id, 'endpoint::' || i || '->file::' || file || ':line ' || line, 'file::' || file FROM n""", "sources")
+def _(spark, sf_dir):
+    s = frame(spark, sf_dir, "sources")
+    e = api_surface.endpoints(s)
+    # in the order of lines: a file's patterns are matched one after the other
+    return diagrams.api_flow(s.select("job_id").distinct(), e.withColumn("seq", F.col("line")))[1].select("job_id", "id", "target")
+
+
+@_query("DIA15_data_flow", """WITH p AS (SELECT job_id, bool_or(path LIKE '%/controllers/%') AS c, bool_or(path LIKE '%/services/%') AS s, bool_or(path LIKE '%/models/%') AS m FROM code_files GROUP BY job_id),
+l AS (SELECT job_id, ['client'] || CASE WHEN c THEN ['input'] ELSE [] END || CASE WHEN s THEN ['business'] ELSE [] END || CASE WHEN m THEN ['data'] ELSE [] END AS l FROM p), q AS (SELECT job_id, CASE WHEN len(l) = 1 THEN l || ['app'] ELSE l END AS l FROM l)
+SELECT job_id, unnest(l[:-2]) AS source, unnest(l[2:]) AS target FROM q""", "code_files")
+def _(spark, sf_dir):
+    none = spark.createDataFrame([], "job_id string, name string")
+    return diagrams.data_flow(_files(spark, sf_dir), none)[1].select("job_id", "source", "target")
+
+
+@_query("DIA10_DIA11_deployment", "SELECT CAST(p_partkey AS VARCHAR) AS job_id, 'web' || p_size AS source, 'db' AS target FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'client', 'app' FROM part WHERE p_partkey % 3 = 0")
+def _(spark, sf_dir):
+    """A compose file for two parts in three, whose lists take turns in style."""
+    p = _table(spark, sf_dir, "part")
+    deps = F.when(F.col("p_partkey") % 3 == 1, F.lit("    depends_on: [db, gone]")).otherwise(F.lit("    depends_on:\n      - db\n      - gone"))
+    text = F.concat(F.lit("version: '3'\nservices:\n  web"), F.col("p_size").cast("string"), F.lit(":\n    image: w\n"), deps, F.lit("\n  db:\n    image: pg\nvolumes:\n  x:\n"))
+    s = p.select(F.col("p_partkey").cast("string").alias("job_id"), F.lit(1).alias("file_seq"), F.when(F.col("p_partkey") % 3 == 0, "x.yml").otherwise("deploy/docker-compose.yml").alias("path"), text.alias("source"))
+    none = spark.createDataFrame([], "job_id string, orm string")
+    _, e = diagrams.deployment(s.select("job_id"), s, none, none)
+    return e.select("job_id", "source", "target")
+
+
+def _body_rows(spark, sf_dir, language: str, name: F.Column, lines: F.Column, bases: list[str], decorators: list[str]) -> DataFrame:
+    p = _table(spark, sf_dir, "part")
+    return p.select(F.lit("j").alias("job_id"), F.col("p_partkey").alias("file_seq"), F.col("p_partkey").cast("string").alias("path"), F.lit(language).alias("language"), F.lit(0).alias("sym_seq"), F.lit("class").alias("kind"), name.alias("name"), F.array(*[F.lit(b) for b in bases]).cast("array<string>").alias("base_classes"), F.array(*[F.lit(d) for d in decorators]).cast("array<string>").alias("decorators"), F.split(lines, "\n").alias("body"), F.array(F.lit("T")).alias("db_sets"))
+
+
+@_query("DB1_DB2_DB3_python_models", """SELECT 't' || p_partkey AS name, 'sqlalchemy' AS orm, 'id:Integer:true:-,owner:db.String:false:t' || p_size || ',plain:unknown:false:-' AS columns FROM part
+UNION ALL SELECT 'M', 'django', 'id:AutoField:true:-,owner:ForeignKey:false:P' || p_size || ',n:IntegerField:true:-' FROM part""")
+def _(spark, sf_dir):
+    k, z = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    a = F.concat(F.lit('class A:\n  __tablename__ = "t'), k, F.lit('"\n  id: Mapped[int] = mapped_column(Integer)\n  owner = Column(db.String, ForeignKey("t'), z, F.lit('"))\n  x = 1\n  plain = db.Column("p")'))
+    b = F.concat(F.lit("class M(models.Model):\n  owner = models.ForeignKey('P"), z, F.lit("', x)\n  n = models.IntegerField(primary_key=True)\n  y = 2"))
+    t = database.sqlalchemy_models(_body_rows(spark, sf_dir, "python", F.lit("A"), a, ["Base"], [])).unionByName(database.django_models(_body_rows(spark, sf_dir, "python", F.lit("M"), b, ["models", "Model"], [])))
+    return t.select("name", "orm", F.array_join(F.transform("columns", lambda c: F.concat_ws(":", c["name"], c["type"], c["primary_key"].cast("string"), F.coalesce(c["foreign_key"], F.lit("-")))), ",").alias("columns"))
+
+
+@_query("DB4_DB5_DB6_DB7_entities", """SELECT 'T' AS name, o AS orm, CASE o WHEN 'typeorm' THEN 'id:number:true:-,own:X' || p_size || ':false:X' || p_size WHEN 'hibernate/jpa' THEN 'id:Long:true:-,own:X' || p_size || ':false:X' || p_size ELSE 'K:int:true:-,Own:X' || p_size || ':false:X' || p_size END AS columns FROM part, (VALUES ('typeorm'), ('hibernate/jpa'), ('entity framework')) AS v(o)""")
+def _(spark, sf_dir):
+    z = F.col("p_size").cast("string")
+    bodies = (
+        ("typescript", F.concat(F.lit("class T {\n  @PrimaryColumn()\n  id: number;\n  @ManyToOne(x)\n  // note\n\n  own: X"), z, F.lit(";\n  @Column()\n  call();\n  z: string;\n}")), ["@Entity()"]),
+        ("java", F.concat(F.lit("class T {\n  @Id\n  private Long id;\n  @ManyToOne\n  private X"), z, F.lit(" own;\n  private int z;\n}")), ["@Entity"]),
+        ("csharp", F.concat(F.lit("class T {\n  [Key]\n  public int K { get; }\n  [ForeignKey]\n  public virtual X"), z, F.lit(" Own { get; }\n  public int Z { get; }\n}")), []),
+    )
+    x = None
+    for language, text, decorators in bodies:
+        y = _body_rows(spark, sf_dir, language, F.lit("T"), text, [], decorators)
+        x = y if x is None else x.unionByName(y)
+    t = database.decorated_entities(x)
+    return t.select("name", "orm", F.array_join(F.transform("columns", lambda c: F.concat_ws(":", c["name"], c["type"], c["primary_key"].cast("string"), F.coalesce(c["foreign_key"], F.lit("-")))), ",").alias("columns"))
+
+
+@_query("DB8_DB9_mongoose", "SELECT 'M' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'a:mixed,b:mixed' ELSE 'a:String,b:Number' END AS columns FROM part")
+def _(spark, sf_dir):
+    p = _table(spark, sf_dir, "part")
+    fields = F.when(F.col("p_partkey") % 2 == 0, "a: { type: String }, b: { x: 1 }").otherwise("a: String, b: Number")
+    s = p.select(F.lit("j").alias("job_id"), F.col("p_partkey").alias("file_seq"), F.lit("m.js").alias("path"), F.lit("javascript").alias("language"), F.concat(F.lit("const M"), F.col("p_partkey").cast("string"), F.lit("Schema = new mongoose.Schema({ "), fields, F.lit(" }); x = { c: { d: 1 } }")).alias("source"))
+    return database.mongoose_schemas(s).select("name", F.array_join(F.transform("columns", lambda c: F.concat_ws(":", c["name"], c["type"])), ",").alias("columns"))
+
+
+@_query("SOL3_stub_overrides", "SELECT CAST(p_partkey AS VARCHAR) AS file, 'B.m' AS symbol FROM part WHERE p_partkey % 3 < 2")
+def _(spark, sf_dir):
+    """Class B overrides a method of class A: with a stub in two parts of three."""
+    p = _table(spark, sf_dir, "part")
+    rest = F.element_at(F.array(F.lit("    raise NotImplementedError"), F.lit("    pass"), F.lit("    return 1")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    none, row = F.array().cast("array<string>"), lambda i, kind, name, parent, bases, body: F.struct(F.lit(i).alias("sym_seq"), F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(parent).cast("string").alias("parent_class"), bases.alias("base_classes"), body.alias("body"))
+    rows = F.array(row(0, "class", "A", None, none, none), row(1, "method", "m", "A", none, F.array(F.lit("def m"), F.lit("    return 0"))), row(2, "class", "B", None, F.array(F.lit("x.A")), none), row(3, "method", "m", "B", none, F.array(F.lit("def m"), F.lit(""), rest)), row(4, "method", "own", "B", none, F.array(F.lit("def own"), F.lit("    pass"))))
+    x = p.select(F.lit("j").alias("job_id"), F.col("p_partkey").alias("file_seq"), F.col("p_partkey").cast("string").alias("path"), F.lit(1).alias("start_line"), F.inline(rows))
+    return design.lsp(x).select("file", "symbol")
+
+
+@_query("PAT12_injection", "SELECT job_id, path AS file, CAST(NULL AS VARCHAR) AS symbol, 0 AS line FROM sources WHERE contains(source, '@login_required')", "sources")
+def _(spark, sf_dir):
+    x = frame(spark, sf_dir, "sources").withColumn("source", F.replace("source", F.lit("@login_required"), F.lit("@Injectable()")))
+    return design.injections(x).select("job_id", "file", "symbol", "line")
+
+
+@_query("PAR17_PAR18_PAR19_ecosystem", """SELECT CAST(p_partkey AS VARCHAR) AS job_id, CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN 'react,vue' WHEN 1 THEN 'django,flask' WHEN 2 THEN 'spring boot' WHEN 3 THEN 'laravel,symfony' WHEN 4 THEN 'rails' ELSE '' END AS frameworks,
+CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN 'npm/yarn/pnpm' WHEN 1 THEN 'poetry/pip' WHEN 2 THEN 'maven' WHEN 3 THEN 'composer' WHEN 4 THEN 'bundler' ELSE 'go modules' END AS managers FROM part""")
+def _(spark, sf_dir):
+    """Each part a repository with one manifest."""
+    files = (
+        ("package.json", '{"dependencies": {"react": "1", "left": "2"}, "devDependencies": {"vue": "3"}}'), ("pyproject.toml", '[project]\ndependencies = ["Flask>=1"]\n[tool.poetry.dependencies]\nDjango = "4"\n'), ("pom.xml", "<a>Spring-Boot</a>"),
+        ("composer.json", '{"require": {"laravel/framework": "1"}, "require-dev": {"symfony/x": "2"}}'), ("Gemfile", "gem 'Rails'"), ("go.mod", "module x"),
+    )
+    at = (F.col("p_partkey") % 6 + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*[F.lit(f[i]) for f in files]), at)
+    s = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("job_id"), F.lit(1).alias("file_seq"), F.concat(F.lit("sub/"), pick(0)).alias("path"), pick(1).alias("source"))
+    return ecosystem.detect_ecosystem(s).select("job_id", F.array_join("frameworks", ",").alias("frameworks"), F.array_join("package_managers", ",").alias("managers"))
+
+
+@_query("FE1_FE2_score_bands", "SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CAST(o_orderkey % 101 AS INT) AS score, CASE WHEN o_orderkey % 101 >= 80 THEN 'good' WHEN o_orderkey % 101 >= 60 THEN 'fair' ELSE 'poor' END AS band FROM orders WHERE o_custkey % 2 = 0")
+def _(spark, sf_dir):
+    x = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.when(F.col("o_custkey") % 2 == 0, "security").otherwise("overall").alias("name"), (F.col("o_orderkey") % 101).cast("int").alias("score"))
+    return scoring.bands(x).select("job_id", "score", "band")
