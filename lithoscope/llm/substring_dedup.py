@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 WINDOW, GRAM = 13, 4
+PLACES = 3
 _ROW = pa.schema([("_k", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("sha", pa.string())])
 
 
@@ -76,13 +77,19 @@ def _texts(t: pa.Table) -> tuple[np.ndarray, list[bytes]]:
 def _anchors(buckets: int):
     def run(key, table):
         ids, texts = _texts(table)
-        pairs = []
+        rank = np.unique(ids, return_inverse=True)[1]
+        found, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for i, j in C.blocks(texts):
             w = C.Words(texts[i:j])
             a, first, _ = places(w)
-            pairs.append(np.unique(np.stack((a, ids[i:j][w.doc[first]].astype(np.int64).view(np.uint64))), axis=1) if len(a) else np.zeros((2, 0), np.uint64))
-        both = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.uint64)
-        a, n = np.unique(both[0], return_counts=True)
+            found.append(a)
+            docs.append(rank[i:j][w.doc[first]])
+        h, d = np.concatenate(found), np.concatenate(docs)
+        order = np.lexsort((d, h))
+        h, d = h[order], d[order]
+        fresh = np.ones(len(h), bool)  # the first of each anchor and document
+        fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        a, n = np.unique(h[fresh], return_counts=True)
         to = (a % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -130,13 +137,13 @@ def _pieces(shards: int):
 
 
 def coded(numbers: np.ndarray, skip: np.ndarray) -> str:
-    """Word numbers as a string: three characters each, of three alphabets, so that
+    """Word numbers as a string: PLACES characters each, of as many alphabets, so that
     nothing matches out of step; a space before each piece."""
-    bits = max(7, -(-int(numbers.max(initial=0)).bit_length() // 3))  # few children a node
-    places = np.empty((len(numbers), 4), np.uint32)
+    bits = max(7, -(-int(numbers.max(initial=0)).bit_length() // PLACES))  # few children a node
+    places = np.empty((len(numbers), PLACES + 1), np.uint32)
     places[:, 0] = 32
-    for c in (1, 2, 3):
-        places[:, c] = (c << bits) + 64 + ((numbers >> (bits * (3 - c))) & ((1 << bits) - 1))
+    for c in range(1, PLACES + 1):
+        places[:, c] = (c << bits) + 64 + ((numbers >> (bits * (PLACES - c))) & ((1 << bits) - 1))
     keep = np.ones(places.shape, bool)
     keep[:, 0] = skip
     return places[keep].astype("<u4").tobytes().decode("utf-32-le")
@@ -148,7 +155,7 @@ def compiled(text: str, starts: np.ndarray, most: int = 40_000):
     for i in range(0, len(starts), most):
         a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for n, s in enumerate(starts[i : i + most].tolist(), i):
-            a.add_word(text[s : s + 3 * WINDOW], n)
+            a.add_word(text[s : s + PLACES * WINDOW], n)
         a.make_automaton()
         yield a
 
@@ -186,11 +193,11 @@ def _locate(key, table):
     np.maximum.at(most, group, hi[of])
     twice = np.flatnonzero(least != most)  # confirmed: in two documents
     text = coded(nums, np.diff(piece, prepend=-1) != 0)
-    where = 3 * np.arange(len(nums)) + piece + 1  # of each word in the coded text
+    where = PLACES * np.arange(len(nums)) + piece + 1  # of each word in the coded text
     found = np.full(len(nums), C.NO_ID)
     for a in compiled(text, where[at[first[twice]]]):
-        hits = np.fromiter((x for hit in a.iter(text) for x in hit), np.int64).reshape(-1, 2)
-        found[np.searchsorted(where, hits[:, 0] - (3 * WINDOW - 1))] = least[twice[hits[:, 1]]]
+        hits = np.fromiter(a.iter(text), np.dtype((np.int64, 2)))
+        found[np.searchsorted(where, hits[:, 0] - (PLACES * WINDOW - 1))] = least[twice[hits[:, 1]]]
     g = found[at]
     cuts = np.concatenate(([0], np.cumsum(size - WINDOW + 1)))
     useful = np.flatnonzero(np.minimum.reduceat(g, cuts[:-1]) < hi)
