@@ -228,7 +228,6 @@ class _Cache:
 
     def clear(self):
         self.of_piece: dict[bytes, tuple[int, str, str]] = {}
-        self.bpe.known.clear()
 
 
 def _cache(path: str) -> _Cache:
@@ -237,14 +236,16 @@ def _cache(path: str) -> _Cache:
     return _Cache.of[path]
 
 
-def digests(texts: list[bytes], path: str, most_pieces: int):
+def digests(texts: list[bytes], path: str, most_pieces: int) -> list[tuple[int, str, str]]:
     """(tokens, SHA-256 of the ids, SHA-256 of the decoded text) of each text."""
-    cache = _cache(path)
+    cache, rows = _cache(path), []
     bpe = cache.bpe
     for i, j in C.blocks(texts, 4 << 20):
         split = [t.split() for t in texts[i:j]]
         if len(cache.of_piece) >= most_pieces:
             cache.clear()
+        if len(bpe.known) >= most_pieces:
+            bpe.known.clear()
         known, names = cache.of_piece, bpe.names
         new = [p for p in set().union(*split) if p not in known]
         for p, ids in zip(new, bpe.encode_pieces([p.decode("utf-8") for p in new]), strict=True):
@@ -252,13 +253,14 @@ def digests(texts: list[bytes], path: str, most_pieces: int):
         for s in split:
             got = [x for p in s if (x := known[p])[0]]  # a piece may have no tokens
             n, ids, text = zip(*got, strict=True) if got else ((), (), ())
-            yield sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(text).encode()).hexdigest()
+            rows.append((sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(text).encode()).hexdigest()))
+    return rows
 
 
 def _run(path: str, most_pieces: int):
     def run(batches):
         for b in batches:
-            rows = list(digests(C.text_bytes(b.column(1)), path, most_pieces))
+            rows = C.without_gc(digests)(C.text_bytes(b.column(1)), path, most_pieces)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[c] for r in rows], pa.string()) for c in (1, 2)]], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
