@@ -252,9 +252,16 @@ def _remove(key, docs, back):
     return pa.table([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], schema=_ROW)
 
 
-def _without_text(f):
+def _grouped(f):
+    def run(key, table):  # Spark counts the arguments
+        return C.without_gc(f)(key, table)
+
+    return run
+
+
+def _cogrouped(f, drop: list[str] = ()):
     def run(key, docs, back):
-        return f(key, docs, back).drop_columns(["kept"])
+        return C.without_gc(f)(key, docs, back).drop_columns(list(drop))
 
     return run
 
@@ -269,15 +276,15 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets, shards = max(24, -(-n // 8)), max(48, n)
     x = x.withColumn("batch", F.pmod(F.xxhash64("_k"), F.lit(n)).cast("int")).repartition("batch")
     by_batch = x.groupBy("batch")
-    sent = by_batch.applyInArrow(_anchors(buckets), "bucket int, batch int, once binary, often binary")
-    back = sent.groupBy("bucket").applyInArrow(_recurring, "batch int, anchors binary")
-    pieces = by_batch.cogroup(back.groupBy("batch")).applyInArrow(_pieces(shards), "shard int, batch int, texts binary, lo binary, hi binary, anchor binary")
-    found = pieces.groupBy("shard").applyInArrow(_locate, "batch int, anchors binary, digests binary, sizes binary, least binary")
+    sent = by_batch.applyInArrow(_grouped(_anchors(buckets)), "bucket int, batch int, once binary, often binary")
+    back = sent.groupBy("bucket").applyInArrow(_grouped(_recurring), "batch int, anchors binary")
+    pieces = by_batch.cogroup(back.groupBy("batch")).applyInArrow(_cogrouped(_pieces(shards)), "shard int, batch int, texts binary, lo binary, hi binary, anchor binary")
+    found = pieces.groupBy("shard").applyInArrow(_grouped(_locate), "batch int, anchors binary, digests binary, sizes binary, least binary")
     out = by_batch.cogroup(found.groupBy("batch"))
     if with_text:
-        done = out.applyInArrow(_remove, "_k long, n_words long, n_removed long, kept binary, sha string")
+        done = out.applyInArrow(_cogrouped(_remove), "_k long, n_words long, n_removed long, kept binary, sha string")
     else:
-        done = out.applyInArrow(_without_text(_remove), "_k long, n_words long, n_removed long, sha string")
+        done = out.applyInArrow(_cogrouped(_remove, ["kept"]), "_k long, n_words long, n_removed long, sha string")
     cols = [C.id_of("_k").alias(id_col), "n_words", "n_removed", F.col("sha").alias("kept_sha256")]
     return done.select(*cols, *[F.col("kept").cast("string").alias(text_col)] if with_text else [])
 
