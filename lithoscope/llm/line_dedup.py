@@ -23,7 +23,10 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(C.SPACE)), _UP, _LOW)
+    """Stripped, and A-Z lower-cased: where all is ASCII lower() does just that, without
+    the look-up of every character."""
+    k = F.btrim(line, F.lit(C.SPACE))
+    return F.when(F.octet_length(k) == F.length(k), F.lower(k)).otherwise(F.translate(k, _UP, _LOW))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 10, least_docs: int = 2) -> DataFrame:
