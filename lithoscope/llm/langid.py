@@ -162,8 +162,8 @@ def train(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score added."""
-    spark = docs.sparkSession
+    """docs with lang_pred and score added, or replaced."""
+    spark, docs = docs.sparkSession, docs.drop("lang_pred", "score")
     C.ship(spark)
     shared = spark.sparkContext.broadcast(model)  # dims x (families + pairs) numbers
     cols = docs.columns

@@ -162,6 +162,8 @@ def test_language_of_odd_texts(odd):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(odd, model).collect()}
     assert got[0] == got[3] == got[6] == ("und", 0.0)
     assert got[3 * 6][0] in ("en", "fr")
+    again = langid.predict(odd.withColumnsRenamed({"key": "score", "node": "lang_pred"}), model)
+    assert {r.doc_id: (r.lang_pred, r.score) for r in again.collect()} == got
     empty = langid.train(odd.where("lang = 'xx'"), langid.fold() != 2)
     assert {r.lang_pred for r in langid.predict(odd, empty).collect()} == {"und"}
 
