@@ -219,15 +219,24 @@ def data_flow(files: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame
     return _node(n, d, F.col("s.id"), F.col("s.type"), F.col("s.label"), _o(F.col("i"))), _edge(e, d, F.col("s.u"), F.col("s.v"), "", "default", _o(F.col("i")))
 
 
-def handlers(endpoints: DataFrame, functions: DataFrame) -> DataFrame:
+def handlers(endpoints: DataFrame, functions: DataFrame, width: int = 16) -> DataFrame:
     """Each endpoint's function: the nearest of those around its line, else of those that
-    begin within three lines."""
+    begin within three lines.
+
+    Most endpoints lie in a function that begins within three lines before them, which
+    an equi-join on the line finds.  For the others a function is repeated for each
+    stretch of `width` lines that it may answer for, and joined by stretch."""
+    cols = ["job_id", "path", "method", "route", "line", "flow"]
     e = endpoints.select("job_id", F.col("file").alias("path"), "method", F.col("path").alias("route"), "line", "flow")
-    x = e.join(functions.select("job_id", "path", "sym_seq", "name", "parent_class", "start_line", "end_line"), ["job_id", "path"])
+    f = functions.select("job_id", "path", "sym_seq", "name", "parent_class", "start_line", "end_line")
     inside = (F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line") + 5)
     gap = F.abs(F.col("start_line") - F.col("line"))
-    x = x.where(inside | (gap <= 3))
-    return x.groupBy("job_id", "path", "method", "route", "line", "flow").agg(F.min_by(F.struct("name", "parent_class"), F.struct((~inside).cast("int"), gap, "sym_seq")).alias("h")).select("job_id", "path", "method", "route", "line", "flow", "h.*")
+    best = F.min(F.struct((~inside).cast("int").alias("o"), gap.alias("g"), "sym_seq", "name", "parent_class"))
+    near = e.withColumn("start_line", F.explode(F.sequence(F.col("line") - 3, F.col("line")))).join(f, ["job_id", "path", "start_line"]).where(inside).groupBy(cols).agg(best.alias("h"))
+    rest = e.join(near.select(cols), cols, "left_anti").withColumn("_w", F.floor(F.col("line") / width))
+    reach = F.sequence(F.floor((F.col("start_line") - 3) / width), F.floor(F.greatest(F.col("end_line") + 5, F.col("start_line") + 3) / width))
+    wide = rest.join(f.withColumn("_w", F.explode(reach)), ["job_id", "path", "_w"]).where(inside | (gap <= 3)).groupBy(cols).agg(best.alias("h"))
+    return near.unionByName(wide).select(*cols, "h.name", "h.parent_class")
 
 
 def walk(start: str, calls: dict[str, list[str]], depth: int = V.FLOW_DEPTH) -> list[tuple[str, str, int]]:
