@@ -57,10 +57,10 @@ def test_secret_spans(docs):
 
 
 def test_widely_copied_example_adds_no_span(spark):
-    rows = [(i, "see Zx81kQp0aB72mNcL9d there", f"owner{i}") for i in range(6)] + [(9, "see Qw93kQp0aB72mNcL9e there", "owner1"), (9, "see Qw93kQp0aB72mNcL9e there", "owner1")]
+    rows = [(i, "see Zx81kQp0aB72mNcL9dTu4V there", f"owner{i}") for i in range(6)] + [(9, "see Qw93kQp0aB72mNcL9eRs5W there", "owner1"), (9, "see Qw93kQp0aB72mNcL9eRs5W there", "owner1")]
     out = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     got = out.select("doc_id", secret_scan.span_text("spans").alias("s"), "n_live").collect()
-    assert sorted((r.doc_id, r.s, r.n_live) for r in got) == [*[(i, "", 0) for i in range(6)], *[(9, "token:4:22", 1)] * 2]
+    assert sorted((r.doc_id, r.s, r.n_live) for r in got) == [*[(i, "", 0) for i in range(6)], *[(9, "token:4:26", 1)] * 2]
 
 
 def test_redact_masks_what_is_not_an_example(spark):
