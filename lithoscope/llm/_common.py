@@ -3,8 +3,10 @@ row keys and vectorised word hashing."""
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -30,7 +32,9 @@ def ship(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     top = os.path.dirname(root)
-    path = os.path.join(tempfile.mkdtemp(prefix="ship"), f"{os.path.basename(root)}.zip")
+    folder = tempfile.mkdtemp(prefix="ship")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it while the driver lives
+    path = os.path.join(folder, f"{os.path.basename(root)}.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for d, _, names in os.walk(root):
             for n in names:
@@ -41,10 +45,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; only where that is unset
-    (tests, one machine) a temporary one."""
+    """The shared folder named in spark.checkpoint.dir; where that is unset, on one
+    machine a temporary one, and on a cluster an error: executors would not see it."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="work")
         spark.conf.set("spark.checkpoint.dir", d)
     return f"{d.rstrip('/')}/{spark.sparkContext.applicationId}"

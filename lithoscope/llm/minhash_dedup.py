@@ -6,30 +6,36 @@
    by two retained values that are neighbours in a sketch.  Of two sets with a
    similarity of 0.85 the first 32 values of the union hold such a pair, unless no
    two neighbours among them are shared: fewer than one pair in 10^11.  Sets with 32
-   values or fewer are always found.
-3. Documents on a list longer than `LONG` are searched again, exactly, among
-   themselves: their whole sets are put in order of how many of these documents hold
-   a shingle, rarest first, and each goes on the lists of its first 15 in 100 places
-   and one more, where a pair that reaches the limit must meet.  A passage that many
-   documents share thus comes last and brings nobody together.  The counts are made
-   by batches of documents and buckets of hashes, packed.
-4. First each member of a list is paired with a few pivots of the list (stars: as many
-   pairs as members).  A pair passes if the similarity estimated from the sketch of
-   the union can reach the limit; what passes is verified on the full sets, read again
-   from the texts, with a pivot's text sent once for some hundred partners.
-5. Verified links give components.  Then all pairs of a list whose components still
-   differ, and whose places on it allow the limit, are estimated and verified too; of
-   long lists only what is not linked with the pivot is left for this, against all
-   members.  No pair is dropped for the length of its list.
-
-Components are found by passing the smallest id along links and over known roots.
-Nothing but counts comes to the driver.  What is broadcast is at most a thousand
-rows: keys that hold over a thousandth of all rows.
+   values or fewer are always found.  List rows are range-partitioned by key, size and
+   document, so that a list of any length is cut over partitions; a list of at most
+   `LONG` members that lies within a partition gives all its pairs.
+3. Documents on other lists are searched again, exactly, among themselves: their whole
+   sets are put in order of how many of these documents hold a shingle, rarest first,
+   and each goes on the lists of its first 15 in 100 places and one more, where a pair
+   that reaches the limit must meet.  A passage that many documents share thus comes
+   last and brings nobody together.  The counts are made by batches of documents and
+   buckets of hashes, packed.  Short lists give all pairs whose places allow the limit;
+   of long ones each member is first paired with three pivots (stars).
+4. A pair passes if the similarity estimated from the sketch of the union can reach the
+   limit; what passes is verified on the full sets, read again from the texts.
+5. Verified links give components.  Of long lists, then, who is not in the component
+   that most of the list is in is compared with all members of other components, where
+   places allow the limit.  No pair is dropped for the length of its list.
+
+Components: each partition replaces its links by stars on the smallest id of what they
+connect, links are dealt by their larger end, and so on until no document knows two
+smaller ones; then the smaller ends are followed to the root.  A hub has at most one
+link a partition after the first step.  Joins on documents or lists that many rows hold
+have a unique other side, or are of a bounded one, and are left to Spark to split (skew
+join).  Nothing but counts comes to the driver, and nothing is broadcast here.
 
 Defined cases: without a word or text a set is empty, linked with nothing; with fewer
 words than a shingle the whole sequence is the one shingle; rows that repeat an id
-are one document, linked by the links of any of them; a null id sorts last; an empty
-table gives an empty result.
+are one document, linked by the links of any of them; a null id sorts last, and rows
+without one are one document; an id that is no number is refused by the cast to long;
+other columns are ignored, whatever their names; a very long text is one row of one
+task, with eight bytes a shingle; an empty table gives an empty result.  Sets are
+compared as sets of 64-bit hashes of the shingles.
 """
 
 from __future__ import annotations
@@ -41,7 +47,9 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-SKETCH, FRONT, LONG, PER_PIVOT = 96, 32, 32, 128
+SKETCH, FRONT, LONG = 96, 32, 32
+#: Pairs of numbers.
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -120,26 +128,76 @@ def _estimate(num: int, den: int):
 
 
 def _verify(shingle: int, num: int, den: int):
-    """Rows come sorted by hub, salt, then the hub's own text before its partners'."""
+    """Rows come sorted by b, so that a hub's set is made once for some megabyte of rows."""
 
     def run(batches):
-        hub, own = None, []
         for b in batches:
-            hubs, salts, kinds, others = (b.column(c).to_pylist() for c in ("hub", "salt", "own", "other"))
-            texts, found = C.text_bytes(b.column("_x")), []
-            for i, j in C.blocks(texts):
-                for h, z, o, other, s in zip(hubs[i:j], salts[i:j], kinds[i:j], others[i:j], sets_of(texts[i:j], shingle), strict=True):
-                    if (h, z) != hub:
-                        hub, own = (h, z), []
-                    if o == 0:
-                        own.append(s)
-                    elif any(den * len(np.intersect1d(s, x, assume_unique=True)) * 1 >= num * (len(s) + len(x) - len(np.intersect1d(s, x, assume_unique=True))) for x in own):
-                        found.append((h, other))
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+            x, y, found = C.text_bytes(b.column("xa")), C.text_bytes(b.column("xb")), []
+            for i, j in C.blocks([s if len(s) > len(t) else t for s, t in zip(x, y, strict=True)]):
+                texts = list(dict.fromkeys(x[i:j] + y[i:j]))
+                sets = dict(zip(texts, sets_of(texts, shingle), strict=True))
+                for s, t in zip(x[i:j], y[i:j], strict=True):
+                    s, t = sets[s], sets[t]
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    found.append(both > 0 and den * both >= num * (len(s) + len(t) - both))
+            yield b.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
     return run
 
 
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin, and the end."""
+    return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
+
+
+def _short_pairs(num: int, den: int):
+    """Rows come sorted by key, size and node.  All pairs of lists within this partition
+    that are not long, as (a, b); of others the members, as (a, null)."""
+
+    def run(batches):
+        cols = ("key", "n", "node")
+        rest = [np.zeros(0, np.int64)] * 3
+        edge = True  # the first run may have begun in the partition before
+
+        def made(keys, n, node, ends, edge_first, edge_last):
+            length = np.diff(ends)
+            lone = length > LONG
+            if len(length) and edge_first:
+                lone[0] = True
+            if len(length) and edge_last:
+                lone[-1] = True
+            crowded = node[np.repeat(lone, length)]
+            a, b = [], []
+            for at in np.flatnonzero(~lone & (length > 1)).tolist():
+                s, e = int(ends[at]), int(ends[at + 1])
+                i, j = _UPPER[e - s]
+                fits = den * n[s + i] >= num * n[s + j]  # sorted by size
+                a.append(node[s + i[fits]])
+                b.append(node[s + j[fits]])
+            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+            first = pa.array(np.concatenate((np.minimum(a, b), crowded)))
+            second = np.concatenate((np.maximum(a, b), crowded))
+            none = np.concatenate((np.zeros(len(a), bool), np.ones(len(crowded), bool)))
+            return pa.RecordBatch.from_arrays([first, pa.array(second, mask=none)], schema=_PAIRS)
+
+        for x in batches:
+            now = [np.concatenate((r, x.column(c).to_numpy())) for r, c in zip(rest, cols, strict=True)]
+            ends = _runs(now[0])
+            if len(ends) < 3:
+                rest = now
+                continue
+            cut = int(ends[-2])
+            yield made(*[c[:cut] for c in now], ends[:-1], edge, False)
+            rest, edge = [c[cut:] for c in now], False
+        if len(rest[0]):
+            yield made(*rest, _runs(rest[0]), edge, True)
+
+    return run
+
+
+_UPPER = [np.triu_indices(k, 1) for k in range(LONG + 1)]
+
+
 def _counts(shingle: int, buckets: int):
     """A batch's distinct shingles and how many of its documents hold each, packed by
     bucket of the hash."""
@@ -200,29 +258,26 @@ def _reaches(n, m, i, j, num: int, den: int):
     return (num + den) * min(n - i, m - j) >= num * (n + m)
 
 
-def _cross(num: int, den: int):
-    """All pairs of a short list whose components differ and whose places allow the
-    limit.  Rows come sorted by key."""
+def _placed_pairs(num: int, den: int):
+    """All pairs of a short list whose sizes and places allow the limit.  Rows come
+    sorted by key."""
 
     def run(batches):
         last, rows = None, []
 
         def pairs():
-            out = []
-            for x, (a, n, i, c) in enumerate(rows):
-                out += [(min(a, b), max(a, b)) for b, m, j, d in rows[x + 1 :] if c != d and den * min(n, m) >= num * max(n, m) and _reaches(n, m, i, j, num, den)]
-            return out
+            return [(min(a, b), max(a, b)) for x, (a, n, i) in enumerate(rows) for b, m, j in rows[x + 1 :] if a != b and den * min(n, m) >= num * max(n, m) and _reaches(n, m, i, j, num, den)]
 
         def made(found):
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], schema=_PAIRS)
 
         for b in batches:
             found = []
-            for k, a, n, i, c in zip(*[b.column(x).to_pylist() for x in ("key", "node", "n", "pos", "comp")], strict=True):
+            for k, a, n, i in zip(*[b.column(x).to_pylist() for x in ("key", "node", "n", "pos")], strict=True):
                 if k != last:
                     found += pairs()
                     last, rows = k, []
-                rows.append((a, n, i, c))
+                rows.append((a, n, i))
             yield made(found)
         if found := pairs():
             yield made(found)
@@ -230,127 +285,133 @@ def _cross(num: int, den: int):
     return run
 
 
-class _Graph:
+def stars(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the links connect, as (larger, smallest of its component)."""
+    ids, at = np.unique(np.concatenate((hi, lo)), return_inverse=True)
+    x, y = at[: len(hi)], at[len(hi) :]
+    label = np.arange(len(ids))
+    while True:
+        p, q = label[x], label[y]
+        open_ = np.flatnonzero(p != q)
+        if not len(open_):
+            break
+        least = np.minimum(p[open_], q[open_])
+        np.minimum.at(label, p[open_], least)
+        np.minimum.at(label, q[open_], least)
+        while not np.array_equal(label, nxt := label[label]):
+            label = nxt
+    out = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[out], ids[label[out]]
+
+
+def _contract(whole: bool, most: int = 1 << 20):
+    """Links to stars, (hi, lo, many).  whole: the partition has all links of a larger end,
+    and `many` tells whether any knew two smaller ones; else in blocks of bounded size."""
+
+    def run(batches):
+        got, n = [], 0
+
+        def made():
+            hi, lo = (np.concatenate(x) for x in zip(*got, strict=True))
+            both = np.unique(np.stack((hi, lo)), axis=1)
+            many = whole and bool((np.diff(both[0]) == 0).any())
+            u, v = stars(both[0], both[1])
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), many))], names=["hi", "lo", "many"])
+
+        for b in batches:
+            x, y = b.column(0).to_numpy(), b.column(1).to_numpy()
+            keep = x != y
+            if keep.any():
+                got.append((np.maximum(x, y)[keep], np.minimum(x, y)[keep]))
+                n += int(keep.sum())
+            if n >= most and not whole:
+                yield made()
+                got, n = [], 0
+        if got:
+            yield made()
+
+    return run
+
+
+class _Search:
     """The candidate search and its tables, for one call."""
 
-    def __init__(self, docs: DataFrame, base: DataFrame, nodes: DataFrame, shingle: int, num: int, den: int):
-        self.docs, self.base, self.nodes = docs, base, nodes
+    def __init__(self, docs: DataFrame, nodes: DataFrame, shingle: int, num: int, den: int):
+        self.docs, self.nodes = docs, nodes
         self.shingle, self.num, self.den = shingle, num, den
         self.parts = C.n_parts(docs.sparkSession)
 
-    def lists(self, keys: DataFrame, first) -> DataFrame:
-        """Members of each list of two or more, with the list's length and pivots: the
-        first by an order of members, and the smallest, as a rule another one."""
-        about = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(*first, "node")).alias("f"), F.min("node").alias("p2"), F.max("node").alias("p3")).where("size > 1")
-        about = C.stash(about.select("key", "size", F.col("f.node").alias("p1"), "p2", "p3"), "lists")
-        total = about.agg(F.sum("size")).first()[0] or 0
-        return C.stash(C.counted_join(keys, about, ["key"], "size", total).where("size IS NOT NULL"), "members")
-
-    def prefix_keys(self, crowded: DataFrame, batch_docs: int = 500) -> DataFrame:
-        n = max(1, -(-crowded.count() // batch_docs))
+    def prefix_keys(self, crowded: DataFrame, batch_docs: int = 500, batch_bytes: int = 4 << 20) -> DataFrame:
+        """(key, node, n, pos) of the texts of some nodes, in batches bounded by documents
+        and, but for a single long one, by bytes."""
+        x = self.texts.join(crowded.withColumnRenamed("node", "_k"), "_k", "left_semi")
+        size = x.agg(F.count("*").alias("n"), F.sum(F.octet_length("_x")).alias("b")).first()
+        n = max(1, -(-size["n"] // batch_docs), -(-(size["b"] or 0) // batch_bytes))
         buckets = max(24, -(-n // 4))
-        docs = self.docs.join(crowded.withColumnRenamed("node", "_k"), "_k", "left_semi").withColumn("batch", F.pmod(F.xxhash64("_k"), F.lit(n)).cast("int")).repartition("batch")
-        by_batch = docs.groupBy("batch")
+        by_batch = x.withColumn("batch", F.pmod(F.xxhash64("_k", "_x"), F.lit(n)).cast("int")).repartition("batch").groupBy("batch")
         sent = by_batch.applyInArrow(_counts(self.shingle, buckets), "bucket int, batch int, values binary, counts binary")
         back = sent.groupBy("bucket").applyInArrow(_totals, "batch int, values binary, totals binary")
         return by_batch.cogroup(back.groupBy("batch")).applyInArrow(_prefixes(self.shingle, self.num, self.den), "key long, node long, n long, pos long")
 
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b), in any order, that pass the estimate and the full sets."""
-        pairs = C.stash(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        sk = self.nodes.select("node", "n", "sk")
-        side = lambda c: sk.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sk").alias(f"sk_{c}"))
+    def near(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Stars of the pairs (a, b), in any order, that pass the estimate and the full sets."""
+        x = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for c in ("a", "b"):
-            deg = pairs.groupBy(c).agg(F.count("*").alias("w"))
-            deg = C.stash(deg, "degrees")
-            total = deg.agg(F.sum("w")).first()[0] or 0
-            if not total:
-                return pairs
-            x = deg.join(side(c), c)
-            pairs_now = pairs if c == "a" else joined
-            joined = C.counted_join(pairs_now, x, [c], "w", total).drop("w").where(f"n_{c} IS NOT NULL")
-            if c == "b":
-                joined = joined.where(F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num)
-        likely = C.stash(joined.select("a", "b", "n_a", "n_b", "sk_a", "sk_b").mapInArrow(_estimate(self.num, self.den), "a long, b long").distinct(), "likely")
-        return C.stash(self.verify(likely), "links")
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The end of a pair with more partners is its hub."""
-        both = pairs.select("a", "b").union(pairs.select("b", "a"))
-        deg = C.stash(both.groupBy("a").agg(F.count("*").alias("w")), "hubs")
-        total = deg.agg(F.sum("w")).first()[0] or 0
+            x = x.join(self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sk").alias(f"sk_{c}")), c)
+        x = x.where(F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num)
+        x = x.select("a", "b", "n_a", "n_b", "sk_a", "sk_b").mapInArrow(_estimate(self.num, self.den), "a long, b long")
         for c in ("a", "b"):
-            pairs = C.counted_join(pairs, deg.select(F.col("a").alias(c), F.col("w").alias(f"w_{c}")), [c], f"w_{c}", total)
-        turn = F.col("w_a") >= F.col("w_b")
-        pairs = pairs.select(F.when(turn, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("other"))
-        pairs = C.stash(pairs, "spokes")
-        hubs = pairs.groupBy("hub").agg(F.count("*").alias("w"))
-        salts = F.ceil(F.col("w") / PER_PIVOT).cast("int")
-        hubs = C.stash(hubs.select("hub", salts.alias("salts"), "w"), "salts")
-        text = self.docs.select(F.col("_k").alias("other"), "_x")
-        own = hubs.select(F.col("hub").alias("other"), "salts").join(text, "other").select(F.col("other").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("own"), "other", "_x")
-        # A partner of many hubs needs its text as often; its row is repeated, not the text's join.
-        dealt = C.counted_join(pairs, hubs, ["hub"], "w", total).select("hub", "other", F.pmod(F.xxhash64("other"), F.col("salts")).cast("int").alias("salt"))
-        rest = dealt.join(text, "other").select("hub", "salt", F.lit(1).alias("own"), "other", "_x")
-        rows = own.unionByName(rest).repartition(self.parts, "hub", "salt").sortWithinPartitions("hub", "salt", "own")
-        return rows.mapInArrow(_verify(self.shingle, self.num, self.den), "a long, b long").distinct()
+            x = x.join(self.texts.select(F.col("_k").alias(c), F.col("_x").alias(f"x{c}")), c)
+        links = x.select("a", "b", "xa", "xb").mapInArrow(_verify(self.shingle, self.num, self.den), "a long, b long")
+        return C.stash(links.mapInArrow(_contract(False), "hi long, lo long, many boolean"), name)
 
     def components(self, links: DataFrame) -> DataFrame:
-        """node, comp for every node with a link: the smallest id it reaches."""
-        edges = C.stash(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
-        deg = C.stash(edges.groupBy("b").agg(F.count("*").alias("w")), "edge-degrees")
-        total = deg.agg(F.sum("w")).first()[0] or 0
-        label = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp"))
-        label = C.stash(label, "labels")
-        while total:
-            known = deg.join(label.select(F.col("node").alias("b"), "comp"), "b")
-            heard = C.counted_join(edges, known, ["b"], "w", total).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
-            new = label.join(heard, "node", "left").select("node", F.least("comp", F.coalesce("heard", "comp")).alias("next"), "comp")
-            # A node's root may know a smaller root; a root's followers are counted first, so that a large component stays spread.
-            new = C.stash(new, "heard")
-            follow = new.groupBy("next").agg(F.count("*").alias("w"))
-            roots = follow.join(new.select(F.col("node").alias("next"), F.col("next").alias("root")), "next", "left").select("next", "w", F.coalesce("root", "next").alias("root"))
-            n = new.count()
-            label2 = C.stash(C.counted_join(new, roots, ["next"], "w", n).select("node", F.least("root", "next").alias("comp"), F.col("comp").alias("was")), "labels")
-            changed = label2.where("comp <> was").limit(1).count()
-            label = label2.select("node", "comp")
-            if not changed:
+        """node, comp for every node with a smaller one in its component: the smallest."""
+        e = links.select("hi", "lo")
+        while True:
+            e = C.stash(e.repartition(self.parts, "hi").mapInArrow(_contract(True), "hi long, lo long, many boolean"), "stars")
+            if not e.where("many").limit(1).count():
                 break
-        return label
+            e = e.select("hi", "lo")
+        e = e.select(F.col("hi").alias("node"), F.col("lo").alias("comp"))
+        while True:
+            up = e.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+            e = C.stash(e.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"), F.col("up").isNotNull().alias("moved")), "roots")
+            moved = e.where("moved").limit(1).count()
+            e = e.select("node", "comp")
+            if not moved:
+                return e
 
     def links(self) -> DataFrame:
         keys = self.nodes.select("node", "n", "sk").mapInArrow(_keys(FRONT, 2), "key long, node long, n long")
-        first = self.lists(keys.withColumn("pos", F.lit(0).cast("long")), ["n"])
-        short, links_from = first.where(F.col("size") <= LONG), [first.where(F.col("size") <= LONG)]
-        crowded = C.stash(first.where(F.col("size") > LONG).select("node").distinct(), "crowded")
-        long = None
-        if crowded.limit(1).count():
-            prefixes = C.stash(self.prefix_keys(crowded), "prefixes")
-            second = self.lists(prefixes, ["pos"])
-            links_from.append(second)
-            short = short.unionByName(second.where(F.col("size") <= LONG))
-            long = second.where(F.col("size") > LONG)
-        stars = [x.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("b")) for x in links_from]
-        links = self.near(stars[0] if len(stars) == 1 else stars[0].union(stars[1]))
+        keys = keys.repartitionByRange(self.parts, "key", "n", "node").sortWithinPartitions("key", "n", "node")
+        found = C.stash(keys.mapInArrow(_short_pairs(self.num, self.den), "a long, b long"), "candidates")
+        pairs = found.where("b IS NOT NULL")
+        crowded = C.stash(found.where("b IS NULL").select(F.col("a").alias("node")).distinct(), "crowded")
+        # Texts that are read again: of documents with a candidate.
+        wanted = pairs.select(F.col("a").alias("_k")).union(pairs.select("b")).union(crowded).distinct()
+        self.texts = C.stash(self.docs.join(wanted, "_k", "left_semi"), "texts")
+        if not crowded.limit(1).count():
+            return self.near(pairs, "links").select("hi", "lo")
+        places = C.stash(self.prefix_keys(crowded), "places")
+        about = places.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("pos", "node")).alias("f"), F.min("node").alias("p2"), F.max("node").alias("p3")).where("size > 1")
+        members = C.stash(places.join(about.select("key", "size", F.col("f.node").alias("p1"), "p2", "p3"), "key"), "members")
+        short = members.where(F.col("size") <= LONG).select("key", "node", "n", "pos")
+        short = short.repartition(self.parts, "key").sortWithinPartitions("key").mapInArrow(_placed_pairs(self.num, self.den), "a long, b long")
+        long = members.where(F.col("size") > LONG)
+        star = long.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("b"))
+        links = self.near(pairs.union(short).union(star), "links")
+        if not long.limit(1).count():
+            return links.select("hi", "lo")
         comps = self.components(links)
-        # A member without a component is one of its own.
-        members = short.select("key", "node", "n", "pos").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        members = members.join(mixed, "key", "left_semi").repartition(self.parts, "key").sortWithinPartitions("key")
-        more = members.mapInArrow(_cross(self.num, self.den), "a long, b long")
-        if long is not None:
-            # Of long lists: who is not with the pivot, against all members of other components.
-            m = long.select("key", "node", "n", "pos", "p1").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            pivot = comps.select(F.col("node").alias("p1"), F.col("comp").alias("p_comp"))
-            weights = m.groupBy("p1").agg(F.count("*").alias("w")).join(pivot, "p1", "left")
-            weights = C.stash(weights.select("p1", "w", F.coalesce("p_comp", "p1").alias("p_comp")), "pivots")
-            total = weights.agg(F.sum("w")).first()[0] or 0
-            m = C.stash(C.counted_join(m, weights, ["p1"], "w", total).select("key", "node", "n", "pos", "comp", "p_comp"), "long")
-            side = lambda x, c: x.select("key", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"i_{c}"), F.col("comp").alias(f"c_{c}"))
-            n, k, i, j = F.col("n_a"), F.col("n_b"), F.col("i_a"), F.col("i_b")
-            fits = (F.col("c_a") != F.col("c_b")) & (F.least(n, k) * self.den >= F.greatest(n, k) * self.num) & (F.least(n - i, k - j) * (self.num + self.den) >= (n + k) * self.num)
-            more = more.union(side(m.where("comp <> p_comp"), "a").join(side(m, "b"), "key").where(fits).select("a", "b"))
-        return links.union(self.near(more))
+        m = C.stash(long.select("key", "node", "n", "pos").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "long")
+        most = m.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("most"))
+        other = m.join(most, "key").where("comp <> most")
+        side = lambda x, c: x.select("key", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"i_{c}"), F.col("comp").alias(f"c_{c}"))
+        n, k, i, j = F.col("n_a"), F.col("n_b"), F.col("i_a"), F.col("i_b")
+        fits = (F.col("c_a") != F.col("c_b")) & (F.least(n, k) * self.den >= F.greatest(n, k) * self.num) & (F.least(n - i, k - j) * (self.num + self.den) >= (n + k) * self.num)
+        more = side(other, "a").join(side(m, "b"), "key").where(fits).select("a", "b")
+        return comps.select(F.col("node").alias("hi"), F.col("comp").alias("lo")).union(self.near(more, "more-links").select("hi", "lo"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, limit: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -361,19 +422,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     num, den = limit
     x = docs.select(C.key(id_col).alias("_k"), F.col(text_col).alias("_x"))
     base = C.stash(x.mapInArrow(_sketch(shingle), "_k long, n long, d1 long, d2 long, sk binary"), "sketches")
-    classes = C.stash(base.where("n > 0").groupBy("d1", "d2").agg(F.min("_k").alias("node"), F.count("*").alias("w")), "classes")
-    total = classes.agg(F.sum("w")).first()[0] or 0
-    nodes = C.stash(base.where("n > 0").join(classes.select("d1", "d2", F.col("node").alias("_k")), ["d1", "d2", "_k"], "left_semi").dropDuplicates(["_k", "d1", "d2"]).select(F.col("_k").alias("node"), "n", "sk"), "nodes")
-    g = _Graph(x, base, nodes, shingle, num, den)
-    links = g.links()
+    full = base.where("n > 0")
+    nodes = C.stash(full.groupBy("d1", "d2").agg(F.min("_k").alias("node"), F.first("n").alias("n"), F.first("sk").alias("sk")), "classes")
+    search = _Search(x, nodes, shingle, num, den)
+    links = search.links()
     # Rows of one id with several sets tie their classes together.
-    ids = C.counted_join(base.where("n > 0").select("_k", "d1", "d2", "n"), classes, ["d1", "d2"], "w", total)
-    ids = C.stash(ids.select("_k", "n", "node").withColumn("w", F.lit(1)), "ids")
-    repeated = ids.groupBy("_k").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("_k", "a", "b")
-    ties = ids.join(repeated.select("_k", "a"), "_k").select("a", F.col("node").alias("b")).where("a <> b")
-    comps = g.components(links.select("a", "b").union(ties))
-    sizes = ids.groupBy("node").agg(F.count("*").alias("w")).join(comps, "node", "left").select("node", "w", F.coalesce("comp", "node").alias("comp"))
-    named = C.counted_join(ids.select("_k", "n", "node"), sizes, ["node"], "w", total).select("_k", "n", "comp")
-    empty = base.where("n = 0").select("_k", "n", F.col("_k").alias("comp"))
-    out = named.unionByName(empty)
+    both = F.struct("d1", "d2")
+    repeated = C.stash(full.groupBy("_k").agg(F.min(both).alias("lo"), F.max(both).alias("hi")).where("lo <> hi").select("_k"), "repeated")
+    if repeated.limit(1).count():
+        ties = full.join(repeated, "_k").select("_k", "d1", "d2").distinct().join(nodes.select("d1", "d2", "node"), ["d1", "d2"])
+        links = links.union(ties.select("_k", "node").mapInArrow(_contract(False), "hi long, lo long, many boolean").select("hi", "lo"))
+    comps = search.components(links)
+    named = nodes.select("node", "d1", "d2").join(comps, "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("comp"))
+    out = full.select("_k", "n", "d1", "d2").join(named, ["d1", "d2"]).select("_k", "n", "comp")
+    out = out.unionByName(base.where("n = 0").select("_k", "n", F.col("_k").alias("comp")))
     return out.select(C.id_of("_k").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("comp") != C.NO_ID, F.col("comp")).alias("component_id"), (F.col("_k") == F.col("comp")).alias("kept"))
