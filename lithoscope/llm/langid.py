@@ -7,12 +7,16 @@ three-grams of the text, with A-Z lower-cased, white space run together and digi
 and punctuation left out, hashed to `dims` places, rooted and scaled to length one.
 
 The model is fitted on the driver with a bounded sample of labelled rows: at most
-`per_lang` rows of each language, those with the smallest hash of id (the bound is
-this parameter).  Everything else runs over whole texts, without a shuffle.
+`per_lang` rows of each language, those with the smallest hash of id, of at most
+`most_langs` languages, those with the most rows (the bounds are these parameters).
+Everything else runs over whole texts, without a shuffle.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; rows
 without a language are not learned from; if no row can be learned from, all texts
-are `und`; repeated rows repeat; an empty table gives an empty result.
+are `und`; a null id is in fold 0, so it is not held out; a very long text is read
+whole, a megabyte at a time; repeated rows repeat; other columns go through unchanged,
+but for `lang_pred` and `score`, which are replaced; an id may be of any type that casts
+to a string; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,10 +67,11 @@ def has_letter(text: bytes) -> bool:
     return bool(_ASCII_LETTER.search(text)) or (not text.isascii() and bool(_LETTER.search(text.decode("utf-8", "replace"))))
 
 
-def svm(x: np.ndarray, y: np.ndarray, epochs: int = 12, penalty: float = 1e-4, seed: int = 7) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, epochs: int = 12, penalty: float = 1e-4, seed: int = 7) -> np.ndarray:
     """A linear support vector machine (hinge loss, mini-batch subgradient steps,
-    averaged over the second half); weights, then the bias."""
+    averaged over the second half) of some rows of x; weights, then the bias."""
     rng = np.random.default_rng(seed)
+    rows = np.arange(len(y)) if rows is None else rows
     w, mean, n, t = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), 0, 0
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
     for e in range(epochs):
@@ -74,12 +79,12 @@ def svm(x: np.ndarray, y: np.ndarray, epochs: int = 12, penalty: float = 1e-4, s
         for i in range(0, len(y), 32):
             j = order[i : i + 32]
             t += 1
-            bad = j[y[j] * (x[j] @ w[:-1] + w[-1]) < 1]
+            bad = j[y[j] * (x[rows[j]] @ w[:-1] + w[-1]) < 1]
             step = 1 / (penalty * (t + 1000))
             w[:-1] *= 1 - step * penalty
             if len(bad):
                 g = y[bad] * weight[bad]
-                w[:-1] += step * (g @ x[bad]) / len(j)
+                w[:-1] += step * (g @ x[rows[bad]]) / len(j)
                 w[-1] += 0.1 * step * g.sum() / len(j)
             if e >= epochs // 2:
                 mean, n = mean + w, n + 1
@@ -132,33 +137,38 @@ def fit(x: np.ndarray, y: list[str], families=FAMILIES) -> Model:
         m.family_w = np.stack([svm(x, np.where(fam == f, 1, -1)) for f in m.families])
     for f in m.families:
         m.languages[f] = ls = sorted(set(lang[fam == f]))
-        m.pairs[f] = [(i, j, svm(x[p], np.where(lang[p] == a, 1, -1))) for i, a in enumerate(ls) for j, b in enumerate(ls) if i < j for p in [np.flatnonzero((lang == a) | (lang == b))]]
+        m.pairs[f] = [(i, j, svm(x, np.where(lang[p] == a, 1, -1), p)) for i, a in enumerate(ls) for j, b in enumerate(ls) if i < j for p in [np.flatnonzero((lang == a) | (lang == b))]]
     return m
 
 
-def train(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, dims: int = 4096, families=FAMILIES) -> Model:
-    """Fit on at most `per_lang` rows of each language, chosen by hash of id."""
+def train(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, most_langs: int = 64, dims: int = 4096, families=FAMILIES) -> Model:
+    """Fit on at most `per_lang` rows, chosen by hash of id, of each of the `most_langs`
+    languages with the most rows: about `per_lang * most_langs` sparse vectors come to the
+    driver, however many rows or labels there are."""
     C.ship(docs.sparkSession)
     x = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    x = x.select(F.col(lang_col).alias("l"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("x"))
-    counts = {r["l"]: r["n"] for r in x.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    x = x.select(F.col(lang_col).cast("string").alias("l"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("x"))
+    counts = x.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_langs).collect()
     if not counts:
         return Model(dims)
-    keep = F.lit(False)  # about one and a half times the bound by hash, then exactly the smallest
-    for l, n in counts.items():
-        share = min(1.0, (1.5 * per_lang + 50) / n)
-        keep = keep | ((F.col("l") == l) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))))
+    # About one and a half times the bound by hash, then exactly the smallest.
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["l"], int(min(1.0, (1.5 * per_lang + 50) / r["n"]) * (1 << 30)))])
+    chosen = x.where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, "l"))
 
     def run(batches):
         for b in batches:
-            vs = [features(t, dims) for t in C.text_bytes(b.column("x"))]
-            yield pa.RecordBatch.from_arrays([b.column("l"), b.column("h"), pa.array([v.astype(np.float16).tobytes() for v in vs], pa.binary())], names=["l", "h", "v"])
+            vs = [zlib.compress(features(t, dims).astype(np.float16).tobytes(), 1) for t in C.text_bytes(b.column("x"))]
+            yield pa.RecordBatch.from_arrays([b.column("l"), b.column("h"), pa.array(vs, pa.binary())], names=["l", "h", "v"])
 
-    chosen = x.where(keep).select("l", "h", "x")
     rows = sorted(chosen.mapInArrow(run, "l string, h long, v binary").collect(), key=lambda r: (r["l"], r["h"] & ((1 << 30) - 1), r["h"], r["v"]))
     seen: dict[str, int] = {}
     rows = [r for r in rows if (seen.__setitem__(r["l"], seen.get(r["l"], 0) + 1) or seen[r["l"]]) <= per_lang]
-    return fit(np.stack([np.frombuffer(r["v"], np.float16).astype(np.float32) for r in rows]), [r["l"] for r in rows], families)
+    if not rows:
+        return Model(dims)
+    v = np.empty((len(rows), dims), np.float32)
+    for i, r in enumerate(rows):
+        v[i] = np.frombuffer(zlib.decompress(r["v"]), np.float16)
+    return fit(v, [r["l"] for r in rows], families)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +191,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def fold(id_col: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4))
+    """Of a null id 0."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)), F.lit(0).cast("long"))
 
 
 def crc_fold(i: int) -> int:
