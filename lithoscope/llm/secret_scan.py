@@ -7,9 +7,15 @@ value that many owners hold is a widely copied example; one that a single owner
 holds, and that looks random, is live-looking.  The wider net adds a span only
 where its value is not widely copied.
 
+The scan writes a table in which every row has a number of its own; what is found
+later comes back by that number, and only to rows that hold a candidate, so neither
+ids that are null or repeat nor copies of a row meet in one place.
+
 Defined cases: a null text is empty and has no spans; a null owner is one owner
-of its own; rows with equal id and text each get the same result; an empty table
-gives an empty result; other columns are ignored.
+of its own; rows with equal id and text each get the same result; ids may be of any
+type that casts to long; a very long text is scanned whole, in one task; an empty
+table gives an empty result; other columns are ignored by the scan, whatever their
+names, and go through `redact` unchanged.
 """
 
 from __future__ import annotations
@@ -32,11 +38,12 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _WIDE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 _MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
 
-_SCHEMA = (
-    "_k long, _t binary, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string,"
-    " base array<struct<start:int,kind:int,end:int>>,"
-    " found array<struct<start:int,kind:int,end:int,hash:binary,live:boolean>>"
-)
+_SPAN = [("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]
+_MADE = [
+    *[(n, pa.int64()) for n in ("n_assign", "n_access", "n_hex")], ("base_sha256", pa.string()), ("base", pa.list_(pa.struct(_SPAN))),
+    ("found", pa.list_(pa.struct([*_SPAN, ("hash", pa.binary()), ("live", pa.bool_())]))),
+]
+_DDL = "n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,kind:int,end:int,hash:binary,live:boolean>>"
 
 
 def entropy(s: str) -> float:
@@ -65,26 +72,38 @@ def written(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, *_ in spans)
 
 
-def _scan(least_bits: float):
+def _scan(text: int, keep: int, least_bits: float):
+    """Adds what is found in column `text` to the first `keep` columns."""
+
     def run(batches):
         for b in batches:
             out = []
-            for k, text, owner, repo in zip(b.column(0).to_pylist(), C.text_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                base, wide = find(text.decode("utf-8", "replace"))
+            for t in C.text_bytes(b.column(text)):
+                base, wide = find(t.decode("utf-8", "replace"))
                 n = Counter(x[1] for x in base)
                 found = [{"start": s, "kind": kd, "end": e, "hash": hashlib.sha256(v.encode()).digest(), "live": looks_live(v, least_bits)} for s, kd, e, v in base + wide]
-                out.append({"_k": k, "_t": hashlib.blake2b(text, digest_size=16).digest(), "owner": owner, "repo": repo, "n_assign": n[0], "n_access": n[1], "n_hex": n[2], "base_sha256": hashlib.sha256(written(base).encode()).hexdigest(), "base": [{"start": s, "kind": kd, "end": e} for s, kd, e, _ in base], "found": found})
-            yield pa.RecordBatch.from_pylist(out, schema=run.arrow)
-
-    span = [("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]
-    run.arrow = pa.schema(
-        [("_k", pa.int64()), ("_t", pa.binary()), ("owner", pa.string()), ("repo", pa.string())]
-        + [(n, pa.int64()) for n in ("n_assign", "n_access", "n_hex")]
-        + [("base_sha256", pa.string()), ("base", pa.list_(pa.struct(span))), ("found", pa.list_(pa.struct([*span, ("hash", pa.binary()), ("live", pa.bool_())])))]
-    )
+                out.append({"n_assign": n[0], "n_access": n[1], "n_hex": n[2], "base_sha256": hashlib.sha256(written(base).encode()).hexdigest(), "base": [{"start": s, "kind": kd, "end": e} for s, kd, e, _ in base], "found": found})
+            made = pa.RecordBatch.from_pylist(out, schema=pa.schema(_MADE))
+            yield pa.RecordBatch.from_arrays([*b.columns[:keep], *made.columns], names=[*b.schema.names[:keep], *made.schema.names])
+
     return run
 
 
+def _candidates(scanned: DataFrame, example_owners: int) -> DataFrame:
+    """_row, start, kind, end, class of every span that counts."""
+    occ = scanned.where(F.size("found") > 0).select("_row", "owner", "repo", F.explode("found").alias("f")).select("_row", "owner", "repo", "f.*")
+    freq = C.stash(ownership(occ), "owners")
+    # A value that many rows hold meets one row: Spark splits such a join.
+    seen = occ.select("_row", "start", "kind", "end", "hash", "live").join(freq.select("hash", "owners"), "hash")
+    kind = F.when(F.col("owners") >= example_owners, "example").when((F.col("owners") == 1) & F.col("live"), "live").otherwise("shared")
+    seen = seen.withColumn("class", kind).where((F.col("kind") < 3) | (F.col("live") & (F.col("class") != "example")))
+    return seen.select("_row", "start", "kind", "end", "class")
+
+
+def _named(owner_col: str, repo_col: str) -> list:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((owner_col, "owner"), (repo_col, "repo"))]
+
+
 def ownership(found: DataFrame) -> DataFrame:
     """(hash, owner, repo) rows to one row a hash: distinct owners, distinct
     repositories, and how many rows.  Each step combines before it shuffles."""
@@ -99,22 +118,15 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     class: `example` if `example_owners` or more distinct owners hold the value,
     `live` if one owner holds it and it looks random, else `shared`."""
-    spark = docs.sparkSession
-    C.ship(spark)
-    scan = _scan(least_bits)
-    src = docs.select(C.key(id_col).alias("_k"), F.col(text_col).alias("_x"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_o"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("_r"))
-    scanned = C.stash(src.mapInArrow(scan, _SCHEMA), "secrets")  # without texts: a small table
-    occ = scanned.where(F.size("found") > 0).select("_k", "_t", "owner", "repo", F.explode("found").alias("f")).select("_k", "_t", "owner", "repo", "f.*")
-    freq = C.stash(ownership(occ), "owners")
-    total = freq.agg(F.sum("n")).first()[0] or 0
-    seen = C.counted_join(occ.select("_k", "_t", "start", "kind", "end", "hash", "live").distinct(), freq, ["hash"], "n", total)
-    kind = F.when(F.col("owners") >= example_owners, "example").when((F.col("owners") == 1) & F.col("live"), "live").otherwise("shared")
-    seen = seen.withColumn("class", kind).where((F.col("kind") < 3) | (F.col("live") & (F.col("class") != "example")))
-    per_doc = seen.groupBy("_k", "_t").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "class"))).alias("spans"))
+    C.ship(docs.sparkSession)
+    src = docs.select(F.monotonically_increasing_id().alias("_row"), C.key(id_col).alias("_k"), *_named(owner_col, repo_col), F.col(text_col).alias("_x"))
+    scanned = C.stash(src.mapInArrow(_scan(4, 4, least_bits), f"_row long, _k long, owner string, repo string, {_DDL}"), "secrets")  # without texts: a small table
+    per_row = _candidates(scanned, example_owners).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "class"))).alias("spans"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,class:string>>")
-    out = scanned.join(per_doc, ["_k", "_t"], "left").withColumn("spans", F.coalesce("spans", none))
+    some = scanned.where(F.size("found") > 0).join(per_row, "_row", "left").withColumn("spans", F.coalesce("spans", none))
+    out = some.unionByName(scanned.where(F.size("found") == 0).withColumn("spans", none))
     n = lambda c: F.size(F.filter("spans", lambda s: s["class"] == c)).cast("long").alias(f"n_{c}")
-    return out.select(C.id_of("_k").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", "spans", n("live"), n("shared"), n("example"), "_k", "_t")
+    return out.select(C.id_of("_k").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", "spans", n("live"), n("shared"), n("example"))
 
 
 def span_text(spans: str) -> F.Column:
@@ -122,36 +134,29 @@ def span_text(spans: str) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "<SECRET>", **params) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "<SECRET>", example_owners: int = 5, least_bits: float = 3.0) -> DataFrame:
     """docs with every span that is not a widely copied example replaced by
-    `mark`; overlapping spans become one mark.  A null text stays null."""
-    found = scan_secrets(docs, id_col, text_col, **params).where(F.exists("spans", lambda s: s["class"] != "example")).select("_k", "_t", "spans").distinct()
-    cols = docs.columns
+    `mark`; overlapping spans become one mark.  A null text stays null.
+
+    The texts are written once, with what was found in them; only rows that hold a
+    candidate are shuffled."""
+    C.ship(docs.sparkSession)
+    n, t = len(docs.columns), docs.columns.index(text_col)
+    src = docs.select(F.monotonically_increasing_id().alias("_row"), *_named(owner_col, repo_col), *[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    scanned = C.stash(src.mapInArrow(_scan(3 + t, 3 + n, least_bits), f"_row long, owner string, repo string, {kinds}, {_DDL}"), "secrets")
+    spans = _candidates(scanned, example_owners).where("class <> 'example'").groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    cols = [f"c{i}" for i in range(n)]
 
     def run(batches):
         for b in batches:
-            texts, spans = b.column("_text").to_pylist(), b.column("_spans").to_pylist()
-            new = [t if not s or t is None else _cut(t, [(x["start"], x["end"]) for x in s if x["class"] != "example"], mark) for t, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(cols))], pa.array(new, pa.string())], names=[*[f"c{i}" for i in range(len(cols))], "new"])
-
-    # The id and text key of the scan: blake2b is not a Spark function, so join on the id and check the text's key there.
-    x = docs.select("*").toDF(*[f"c{i}" for i in range(len(cols))])
-    i, t = cols.index(id_col), cols.index(text_col)
-    x = x.select("*", F.coalesce(F.col(f"c{i}").cast("long"), F.lit(C.NO_ID)).alias("_k"), F.col(f"c{t}").alias("_text"))
-    per_id = found.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct(F.hex("_t").alias("t"), F.col("spans").alias("s")))).alias("_by"))
-    y = x.join(per_id, "_k", "left")
-
-    def keyed(batches):
-        for b in batches:
-            by = b.column("_by").to_pylist()
-            texts = C.text_bytes(b.column("_text"))
-            spans = [dict(m).get(hashlib.blake2b(v, digest_size=16).hexdigest().upper()) if m else None for m, v in zip(by, texts, strict=True)]
-            i = b.schema.get_field_index("_by")
-            yield b.set_column(i, "_spans", pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("class", pa.string())]))))
-
-    schema = ", ".join(f"c{j} {f.dataType.simpleString()}" for j, f in enumerate(docs.schema))
-    y = y.select(*[f"c{j}" for j in range(len(cols))], "_text", "_by").mapInArrow(lambda it: run(keyed(it)), f"{schema}, new string")
-    return y.select(*[F.col("new" if j == t else f"c{j}").alias(c) for j, c in enumerate(cols)])
+            new = [_cut(x, [(s["start"], s["end"]) for s in found], mark) for x, found in zip(b.column(t).to_pylist(), b.column(n).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == t else b.column(i) for i in range(n)], names=cols)
+
+    held = scanned.where(F.size("found") > 0).select("_row", *cols).join(spans, "_row", "left")
+    masked = held.where("_spans IS NOT NULL").select(*cols, "_spans").mapInArrow(run, kinds)
+    out = masked.unionByName(held.where("_spans IS NULL").select(*cols)).unionByName(scanned.where(F.size("found") == 0).select(*cols))
+    return out.toDF(*docs.columns)
 
 
 def _cut(text: str, spans: list[tuple[int, int]], mark: str) -> str:
