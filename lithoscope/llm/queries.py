@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,17 +9,13 @@ from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, fingerprints, langid, line_dedup, minhash_dedup, packing, secret_scan, substring_dedup, url_filter
 
-TOKENIZERS = os.environ.get("LITHOSCOPE_TOKENIZERS", "/opt/tokenizers")
 
 
 def tokenizer(name: str) -> str:
-    """The installed package knows where its files are; else the folder above."""
-    try:
-        import public_tokenizers
+    """Where the installed package has a vocabulary file."""
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
