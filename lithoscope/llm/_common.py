@@ -167,7 +167,14 @@ def without_gc(f):
     return run
 
 
-def blocks(texts: list[bytes], most: int = 1 << 20):
+def slices(batches, rows: int = 1000):
+    """Arrow batches cut into small ones, so that what is made of a batch in Python stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def blocks(texts: list[bytes], most: int = 1 << 18):
     """Index ranges of texts with about `most` bytes each, to bound memory."""
     i, size = 0, 0
     for j, t in enumerate(texts):

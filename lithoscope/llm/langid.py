@@ -156,7 +156,7 @@ def train(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
     chosen = x.where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, "l"))
 
     def run(batches):
-        for b in batches:
+        for b in C.slices(batches):
             vs = [zlib.compress(features(t, dims).astype(np.float16).tobytes(), 1) for t in C.text_bytes(b.column("x"))]
             yield pa.RecordBatch.from_arrays([b.column("l"), b.column("h"), pa.array(vs, pa.binary())], names=["l", "h", "v"])
 
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in C.slices(batches):
             made = [m.predict(features(x, m.dims)) if has_letter(x) else ("und", 0.0) for x in C.text_bytes(b.column(t))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p for p, _ in made], pa.string()), pa.array([s for _, s in made], pa.float64())], names=[*[f"c{i}" for i in range(len(cols))], "lang_pred", "score"])
 

@@ -78,9 +78,8 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 def _sketch(shingle: int):
     def run(batches):
-        for b in batches:
-            texts, sets = C.text_bytes(b.column("_x")), []
-            rows = []
+        for b in C.slices(batches):
+            texts, rows = C.text_bytes(b.column("_x")), []
             for i, j in C.blocks(texts):
                 sets = sets_of(texts[i:j], shingle)
                 rows += [(len(s), *_digest(s), s[:SKETCH].tobytes()) for s in sets]
@@ -128,10 +127,10 @@ def _estimate(num: int, den: int):
 
 
 def _verify(shingle: int, num: int, den: int):
-    """Rows come sorted by b, so that a hub's set is made once for some megabyte of rows."""
+    """Rows come sorted by b, so that a hub's set is made once for each block of rows."""
 
     def run(batches):
-        for b in batches:
+        for b in C.slices(batches):
             x, y, found = C.text_bytes(b.column("xa")), C.text_bytes(b.column("xb")), []
             for i, j in C.blocks([s if len(s) > len(t) else t for s, t in zip(x, y, strict=True)]):
                 texts = list(dict.fromkeys(x[i:j] + y[i:j]))
@@ -362,8 +361,8 @@ class _Search:
         x = x.select("a", "b", "n_a", "n_b", "sk_a", "sk_b").mapInArrow(_estimate(self.num, self.den), "a long, b long")
         for c in ("a", "b"):
             x = x.join(self.texts.select(F.col("_k").alias(c), F.col("_x").alias(f"x{c}")), c)
-        links = x.select("a", "b", "xa", "xb").mapInArrow(_verify(self.shingle, self.num, self.den), "a long, b long")
-        return C.stash(links.mapInArrow(_contract(False), "hi long, lo long, many boolean"), name)
+        verify, contract = _verify(self.shingle, self.num, self.den), _contract(False)
+        return C.stash(x.select("a", "b", "xa", "xb").mapInArrow(lambda rows: contract(verify(rows)), "hi long, lo long, many boolean"), name)
 
     def components(self, links: DataFrame) -> DataFrame:
         """node, comp for every node with a smaller one in its component: the smallest."""
@@ -376,18 +375,16 @@ class _Search:
         e = e.select(F.col("hi").alias("node"), F.col("lo").alias("comp"))
         while True:
             up = e.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-            e = C.stash(e.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"), F.col("up").isNotNull().alias("moved")), "roots")
-            moved = e.where("moved").limit(1).count()
-            e = e.select("node", "comp")
-            if not moved:
+            if not e.join(up, "comp", "left_semi").limit(1).count():
                 return e
+            e = C.stash(e.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "roots")
 
     def links(self) -> DataFrame:
         keys = self.nodes.select("node", "n", "sk").mapInArrow(_keys(FRONT, 2), "key long, node long, n long")
         keys = keys.repartitionByRange(self.parts, "key", "n", "node").sortWithinPartitions("key", "n", "node")
         found = C.stash(keys.mapInArrow(_short_pairs(self.num, self.den), "a long, b long"), "candidates")
         pairs = found.where("b IS NOT NULL")
-        crowded = C.stash(found.where("b IS NULL").select(F.col("a").alias("node")).distinct(), "crowded")
+        crowded = found.where("b IS NULL").select(F.col("a").alias("node")).distinct()
         # Texts that are read again: of documents with a candidate.
         wanted = pairs.select(F.col("a").alias("_k")).union(pairs.select("b")).union(crowded).distinct()
         self.texts = C.stash(self.docs.join(wanted, "_k", "left_semi"), "texts")
@@ -395,7 +392,7 @@ class _Search:
             return self.near(pairs, "links").select("hi", "lo")
         places = C.stash(self.prefix_keys(crowded), "places")
         about = places.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("pos", "node")).alias("f"), F.min("node").alias("p2"), F.max("node").alias("p3")).where("size > 1")
-        members = C.stash(places.join(about.select("key", "size", F.col("f.node").alias("p1"), "p2", "p3"), "key"), "members")
+        members = places.join(about.select("key", "size", F.col("f.node").alias("p1"), "p2", "p3"), "key")
         short = members.where(F.col("size") <= LONG).select("key", "node", "n", "pos")
         short = short.repartition(self.parts, "key").sortWithinPartitions("key").mapInArrow(_placed_pairs(self.num, self.den), "a long, b long")
         long = members.where(F.col("size") > LONG)
@@ -428,7 +425,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = search.links()
     # Rows of one id with several sets tie their classes together.
     both = F.struct("d1", "d2")
-    repeated = C.stash(full.groupBy("_k").agg(F.min(both).alias("lo"), F.max(both).alias("hi")).where("lo <> hi").select("_k"), "repeated")
+    repeated = full.groupBy("_k").agg(F.min(both).alias("lo"), F.max(both).alias("hi")).where("lo <> hi").select("_k")
     if repeated.limit(1).count():
         ties = full.join(repeated, "_k").select("_k", "d1", "d2").distinct().join(nodes.select("d1", "d2", "node"), ["d1", "d2"])
         links = links.union(ties.select("_k", "node").mapInArrow(_contract(False), "hi long, lo long, many boolean").select("hi", "lo"))

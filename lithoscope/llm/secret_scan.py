@@ -76,7 +76,7 @@ def _scan(text: int, keep: int, least_bits: float):
     """Adds what is found in column `text` to the first `keep` columns."""
 
     def run(batches):
-        for b in batches:
+        for b in C.slices(batches):
             out = []
             for t in C.text_bytes(b.column(text)):
                 base, wide = find(t.decode("utf-8", "replace"))
@@ -149,7 +149,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     cols = [f"c{i}" for i in range(n)]
 
     def run(batches):
-        for b in batches:
+        for b in C.slices(batches):
             new = [_cut(x, [(s["start"], s["end"]) for s in found], mark) for x, found in zip(b.column(t).to_pylist(), b.column(n).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == t else b.column(i) for i in range(n)], names=cols)
 
