@@ -1,14 +1,18 @@
 """Best-fit packing of documents into sequences by hierarchical residual packing.
 
 Each partition encodes its documents, cuts those longer than a sequence, and packs
-the pieces best-fit, longest first, in blocks of bounded size.  Nearly full bins
-are done.  The others are items themselves, as long as what they hold, of the next
-round, which has fewer tasks; rounds end when one task has packed all that is left
-or a round no longer lowers the number of bins by a twentieth.  A task
-never holds more than about `most_items` items, however large the input.
+the pieces best-fit, longest first, in blocks of bounded size.  Nearly full bins (at most
+`slack` free places) are done.  The others are items themselves, as long as what they
+hold, of the next round, where neighbouring tasks are merged into one: a tree whose inner
+nodes hold about `most_items` items each, however large the input.  Rounds go on until
+one task has packed all that is left, or until a round lowers the number of bins by less
+than a hundredth: then what is left fits nowhere among its neighbours, and stays as it is.
+There is no other cap on rounds, and no piece is ever left out.
 
 Defined cases: a null or empty text is the closing token alone; repeated rows are
-packed each on their own; an empty table gives an empty result.
+packed each on their own, and so are rows without an id; an id that is no number is
+refused by the cast to long; a very long text is encoded whole by one task and cut;
+other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from . import _common as C
 #: What a bin carries of a piece.
 PIECE = np.dtype([("k", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4"), ("offset", "<i4")])
 _PIECE = struct.Struct("<qiqiIi")  # the same
-_OUT = "done boolean, bin long, load int, members binary"
+_OUT = "done boolean, bin long, load int, members binary, task int"
 _RUN = re.compile(r"\s{500}")
 
 
@@ -136,7 +140,8 @@ def _packed(items: list[tuple[int, bytes]], most: int, slack: int, last: bool, n
         ids.append(next(number))
         loads.append(load)
         members.append(made)
-    return pa.RecordBatch.from_arrays([pa.array(done, pa.bool_()), pa.array(ids, pa.int64()), pa.array(loads, pa.int32()), pa.array(members, pa.binary())], names=["done", "bin", "load", "members"])
+    task = np.full(len(bins), TaskContext.get().partitionId(), np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(done, pa.bool_()), pa.array(ids, pa.int64()), pa.array(loads, pa.int32()), pa.array(members, pa.binary()), pa.array(task)], names=["done", "bin", "load", "members", "task"])
 
 
 def _numbers(level: int):
@@ -149,7 +154,7 @@ def _numbers(level: int):
 def _first_round(path: str, end_id: int, most: int, slack: int, most_items: int):
     def run(batches):
         enc, end, number, items = Encoder(path), np.array([end_id], "<u4").tobytes(), _numbers(0), []
-        for b in batches:
+        for b in C.slices(batches):
             for k, text in zip(b.column("_k").to_pylist(), C.text_bytes(b.column("_x")), strict=True):
                 ids = enc.encode(text.decode("utf-8")) + end
                 for piece, (s, n) in enumerate(cut(len(ids) // 4, most)):
@@ -188,28 +193,26 @@ def _unpack(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["_k", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, most: int = 1024, slack: int = 0, most_items: int = 50_000, rounds: int = 6) -> DataFrame:
-    """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
-
-    A bin is done in an early round when at most `slack` places are free."""
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, most: int = 1024, slack: int = 2, most_items: int = 50_000) -> DataFrame:
+    """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     C.ship(spark)
     x = docs.select(C.key(id_col).alias("_k"), F.col(text_col).alias("_x"))
     bins = C.stash(x.mapInArrow(_first_round(path, end_id, most, slack, most_items), _OUT), "bins")
-    done, left = [bins.where("done")], bins.where("NOT done")
-    n = left.count()
-    for level in range(1, rounds + 1):
-        if not n:
-            break
-        tasks = -(-n // most_items)
-        last = tasks == 1 or level == rounds
-        # Mixed by length, so that each task gets items of every size.
-        mixed = left.select("load", "members").repartition(tasks, F.xxhash64("bin")) if tasks > 1 else left.select("load", "members").coalesce(1)
-        bins = C.stash(mixed.mapInArrow(_next_round(level, most, slack, last, most_items), _OUT), "bins")
+    done, left, level, last = [bins.where("done")], bins.where("NOT done"), 0, False
+    size = left.agg(F.count("*").alias("n"), F.max("task").alias("t")).first()
+    while size["n"] and not last:
+        level, before = level + 1, size["n"]
+        tasks = -(-before // most_items)
+        last = tasks == 1
+        # Neighbours meet in one node of the next level.
+        node = F.floor(F.col("task") * F.lit(tasks) / F.lit(size["t"] + 1)).cast("int")
+        items = left.select("load", "members", node.alias("node")).repartition(tasks, "node") if tasks > 1 else left.select("load", "members").coalesce(1)
+        bins = C.stash(items.select("load", "members").mapInArrow(_next_round(level, most, slack, last, most_items), _OUT), "bins")
         done.append(bins.where("done"))
-        left, before = bins.where("NOT done"), n
-        n = 0 if last else left.count()
-        if not last and n > 0.95 * before:
+        left = bins.where("NOT done")
+        size = left.agg(F.count("*").alias("n"), F.max("task").alias("t")).first()
+        if not last and size["n"] > 0.99 * before:
             done.append(left)
             break
     all_bins = done[0]
