@@ -1,15 +1,22 @@
 """Document fingerprints: a threshold-scaled sketch, in Spark's functions only.
 
-A fingerprint holds the hash of every five-word shingle that falls below a fixed
-fraction of the hash range, and always the smallest hash, so that no text with a
-word has an empty one.  Sketches of the same fraction merge by union, and the
+A sketch holds the hash of every five-word shingle that falls below a fixed
+fraction of the hash range (`limit_of`).  Sketches of the same fraction merge by union, and the
 share of the smaller that is in the larger estimates containment however unequal
-the documents are.
+the documents are: an excerpt's hashes below the limit are all among those of the whole.
+
+A fingerprint is the sketch and, so that texts without a hash below the limit can be
+told apart, the smallest hash of a text that has none.  That extra hash lies above the
+limit and takes no part in any estimate.  Where a side has no hash below the limit
+there is nothing to estimate from: the likeness is 1.0 for equal fingerprints (equal
+sets, as a rule), else 0.0.
 
 Defined cases: a null or empty text, or one without a word, has the empty
-fingerprint, alike (1.0) to another empty one and unlike (0.0) to any other; with
-fewer than five words the whole sequence is the one shingle; equal ids are ordered
-by their texts, a null id comes last; an empty table gives an empty result.
+fingerprint; with fewer than five words the whole sequence is the one shingle; equal
+ids are ordered by the hash of their texts, a null id comes last; an id that is no number is
+refused by the cast to long; a very long text is one row, held as arrays of its words and
+shingles by one task; other columns are ignored, whatever their names; repeated rows
+repeat; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +27,14 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 WORDS = 5
-FRACTION = 1 / 8
-_SPLITS = 32
+FRACTION = 1 / 4
+#: Edges between ranges of ids, found in two steps of so many.
+_STEP = 32
+
+
+def limit_of(fraction: float) -> Column:
+    """Hashes below it are kept."""
+    return F.lit(-(1 << 63) + int(fraction * (1 << 64)) if fraction < 1 else (1 << 63) - 1)
 
 
 def add_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION, k: int = WORDS) -> DataFrame:
@@ -32,57 +45,78 @@ def add_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION, k
     df = df.withColumn(w, F.transform(words, lambda x: F.xxhash64(x)))
     many = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(F.col(w), i + j) for j in range(k)]))
     df = df.withColumn(s, F.when(F.size(w) >= k, many).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
-    limit = F.lit(-(1 << 63) + int(fraction * (1 << 64)) if fraction < 1 else (1 << 63) - 1)
-    low = F.concat(F.filter(s, lambda h: h < limit), F.when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(F.array().cast("array<bigint>")))
+    low = F.filter(s, lambda h: h < limit_of(fraction))
+    low = F.when((F.size(low) > 0) | (F.size(s) == 0), low).otherwise(F.array(F.array_min(s)))
     return df.withColumn(out, F.sort_array(F.array_distinct(low))).drop(w, s)
 
 
 def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
-    """The sketch of two documents' union."""
-    limit = F.lit(-(1 << 63) + int(fraction * (1 << 64)) if fraction < 1 else (1 << 63) - 1)
+    """The fingerprint of two documents' union."""
     u = F.array_union(a, b)
-    return F.sort_array(F.filter(u, lambda h: (h < limit) | (h == F.array_min(u))))
+    low = F.filter(u, lambda h: h < limit_of(fraction))
+    return F.sort_array(F.when((F.size(low) > 0) | (F.size(u) == 0), low).otherwise(F.array(F.array_min(u))))
+
+
+def _likeness(a: str, b: str, fraction: float, share) -> Column:
+    """share(common, of a, of b), from counts of hashes below the limit on both sides."""
+    n = lambda c: F.when(F.get(F.col(c), F.lit(0)) < limit_of(fraction), F.size(c)).otherwise(0)  # noqa: E731  (ascending: all or none)
+    return F.when(F.least(n(a), n(b)) > 0, share(F.size(F.array_intersect(a, b)), n(a), n(b))).otherwise((F.col(a) == F.col(b)).cast("int")).cast("double")
 
 
-def containment(a: str, b: str) -> Column:
+def containment(a: str, b: str, fraction: float = FRACTION) -> Column:
     """The estimated share of the smaller document's shingles in the larger's."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).when(F.greatest(F.size(a), F.size(b)) > 0, F.lit(0.0)).otherwise(F.lit(1.0)).cast("double")
+    return _likeness(a, b, fraction, lambda both, n, m: both / F.least(n, m))
 
 
-def jaccard(a: str, b: str) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return F.when(F.greatest(F.size(a), F.size(b)) > 0, both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(1.0)).cast("double")
+def jaccard(a: str, b: str, fraction: float = FRACTION) -> Column:
+    return _likeness(a, b, fraction, lambda both, n, m: both / (n + m - both))
 
 
 def as_text(a: str) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lower(F.hex(h))), ",")
 
 
+def _bucket(x: DataFrame, key: str, tie: str, rows: int) -> Column | None:
+    """Buckets of about `rows` rows whose order is the order of (key, tie), whatever the
+    keys look like.  Quantiles of the key cut it into a thousand ranges, each cut
+    into equal steps; a key that is several quantiles at once has a range of its own,
+    cut into equal steps of the tie, which is a hash.  None for an empty table."""
+    many = _STEP * _STEP
+    s = x.agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.percentile_approx(key, [i / many for i in range(1, many)], 20 * many).alias("q")).first()
+    if not s["n"]:
+        return None
+    points = [s["lo"], *s["q"]]
+    edges = sorted(set(points))
+    times = [points.count(e) for e in edges]  # of a key with more than a thousandth of all rows
+    steps = max(1, s["n"] // (many * rows))
+    width = steps * max(times)
+    parts = [edges[i : i + _STEP] for i in range(0, len(edges), _STEP)]
+    array = lambda xs: F.array(*[F.lit(e).cast("long") for e in xs])
+    upto = lambda es: F.size(F.filter(es, lambda e: e <= F.col(key)))
+    i = upto(array([p[0] for p in parts])) - 1
+    j = i * _STEP + upto(F.get(F.array(*[array(p) for p in parts]), i)) - 1
+    at = lambda xs: F.get(array(xs), j)
+    low, high = at(edges).cast("double"), at([*edges[1:], s["hi"]]).cast("double")
+    by_key = F.least(F.lit(steps - 1), F.floor((F.col(key) - low) * steps / F.greatest(high - low, F.lit(1.0))))
+    by_tie = F.floor((F.col(tie) / float(1 << 64) + 0.5) * F.when(at(times) > 1, at(times) * steps).otherwise(1))
+    return F.when(F.col(key) == at(edges), 2 * j * width + F.least(by_tie, F.lit(width - 1))).otherwise((2 * j + 1) * width + by_key).cast("long")
+
+
 def with_next(x: DataFrame, key: str, tie: str, carry: list[str], rows: int = 400) -> DataFrame:
     """x with next_<c> of the row that follows by (key, tie); the first follows the last.
 
-    Keys are dealt into ordered buckets of about `rows` rows, by quantiles and, between
-    two of them, in equal steps, so that the order of buckets is the order of keys
-    whatever the keys look like.  A window within each bucket finds most followers; a
-    bucket's last row gets the first row of the next bucket that has any."""
-    known = F.col(key) != C.NO_ID
-    s = x.select(key).agg(F.count("*").alias("n"), F.count_if(known).alias("m"), F.min(F.when(known, F.col(key))).alias("lo"), F.max(F.when(known, F.col(key))).alias("hi"), F.percentile_approx(F.when(known, F.col(key)), [i / _SPLITS for i in range(1, _SPLITS)], 10_000).alias("q")).first()
-    if not s["n"]:
+    A window within each bucket finds most followers; a bucket's last row gets the first
+    row of the next bucket that has any."""
+    bucket = _bucket(x.select(key), key, tie, rows)
+    if bucket is None:
         return x.select("*", *[F.lit(None).cast(x.schema[c].dataType).alias(f"next_{c}") for c in carry])
-    steps = max(1, s["n"] // (_SPLITS * rows))
-    edges = sorted({s["lo"], *(s["q"] or ()), s["hi"] + 1}) if s["m"] else [0, 1]
-    i = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in edges[1:-1]]), lambda e: e <= F.col(key)))
-    lo, hi = (F.get(F.array(*[F.lit(e).cast("long") for e in es]), i).cast("double") for es in (edges[:-1], edges[1:]))
-    sub = F.least(F.lit(steps - 1), F.floor((F.col(key) - lo) * steps / (hi - lo)))
-    last = (len(edges) - 1) * steps
-    x = x.withColumn("_b", F.when(known, i * steps + sub).otherwise(F.lit(last)).cast("long"))
+    x = x.withColumn("_b", bucket)
     heads = x.groupBy("_b").agg(F.count("*").alias("_c")).drop("_c")
     inner = Window.partitionBy(F.floor(F.col("_b") / 1024)).orderBy("_b")
     chain = heads.withColumn("_nb", F.lead("_b").over(inner))
     # Of each 1,024 buckets one row is left to link.
     tops = heads.groupBy(F.floor(F.col("_b") / 1024).alias("_s")).agg(F.min("_b").alias("_f"))
-    tops = tops.withColumn("_nf", F.coalesce(F.lead("_f").over(Window.orderBy("_s")), F.lit(0 if s["m"] else last).cast("long")))
+    tops = tops.withColumn("_nf", F.coalesce(F.lead("_f").over(Window.orderBy("_s")), F.first("_f").over(Window.orderBy("_s"))))
     chain = chain.join(tops.select("_s", "_nf"), F.floor(F.col("_b") / 1024) == F.col("_s"), "left").select("_b", F.coalesce("_nb", "_nf").alias("_nb"))
     dealt = x.repartition("_b")
     w = Window.partitionBy("_b").orderBy(key, tie)
@@ -104,13 +138,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edited_fingerprint, near_edited, near_next (containments), jaccard_edited,
     jaccard_next."""
     x = docs.select(C.key(id_col).alias("_k"), F.coalesce(F.col(text_col), F.lit("")).alias("_x"))
-    x = x.withColumn("_h", F.xxhash64("_x"))
-    y = with_next(x, "_k", "_h", ["_x"]).withColumn("_n", F.length("_x"))
+    # A row's own sketch goes with its text to the row before.
+    x = add_sketch(x.withColumn("_h", F.xxhash64("_x")), "_x", "a", fraction)
+    y = with_next(x, "_k", "_h", ["_x", "a"]).withColumn("_n", F.length("_x"))
     half = F.floor(F.col("_n") / 2).cast("int")
     y = y.withColumn("_e", F.concat(F.substring("_x", F.lit(1), F.col("_n") - half), F.substring("next__x", F.lit(1), half)))
-    for t, o in (("_x", "a"), ("_e", "b"), ("next__x", "c")):
-        y = add_sketch(y, t, o, fraction)
+    y = add_sketch(y, "_e", "b", fraction)
     return y.select(
         C.id_of("_k").alias(id_col), F.col("_n").cast("long").alias("n_chars"), F.sha2(F.col("_e"), 256).alias("edited_sha256"), as_text("a").alias("fingerprint"), as_text("b").alias("edited_fingerprint"),
-        containment("a", "b").alias("near_edited"), containment("a", "c").alias("near_next"), jaccard("a", "b").alias("jaccard_edited"), jaccard("a", "c").alias("jaccard_next"),
+        containment("a", "b", fraction).alias("near_edited"), containment("a", "next_a", fraction).alias("near_next"), jaccard("a", "b", fraction).alias("jaccard_edited"), jaccard("a", "next_a", fraction).alias("jaccard_next"),
     )
