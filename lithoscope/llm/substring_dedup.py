@@ -7,27 +7,32 @@ of all documents hold costs one small row a batch:
 
 1. Each window has an anchor, the smallest hash of its four-word grams, which
    depends on the window alone.  A batch sends its distinct anchors, packed by hash.
-2. Anchors seen in two documents go back to the batches that hold them.
+2. Anchors seen twice go back to the batches that hold them.
 3. A batch sends the distinct pieces of text around those anchors (all windows that
    share the anchor's place), compressed, to the shard of the anchor, with the
    smallest and largest document that holds the piece.
-4. A shard confirms the windows that recur in two documents, with their smallest
-   document; compiles them, as sequences of word numbers, into Aho-Corasick automata
-   of bounded size; and streams its pieces through them to locate every occurrence.
-5. Each batch gets, for its pieces, the smallest document of every window, and
-   removes the words covered by windows that an earlier document has.
-
-Words are compared in full in step 4; hashes only bring candidates together.
-
-Defined cases: a null or empty text has no words; a null id sorts last; rows that
-repeat an id are one document; an empty table gives an empty result.
+4. A shard confirms the windows that recur in two documents, comparing their words in
+   full, and sends the recurring passages (runs of confirmed windows in a piece, with
+   the smallest document of each window) to the batches that may hold them.
+5. A batch compiles its passages, as sequences of word numbers, into Aho-Corasick
+   automata of bounded size and streams the whole texts of its documents through them.
+   Only what an automaton finds is an occurrence: the words covered by windows that an
+   earlier document has are removed.
+
+A batch has some megabytes of text, more in a larger corpus (`batch_bytes`), so that a
+passage which all batches share brings a bounded number of copies to its shard.
+
+Defined cases: a null or empty text has no words; a null id sorts last, and rows without
+one are one document, as are rows that repeat an id; an id that is no number is refused
+by the cast to long; a very long text is whole in one batch; other columns are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from itertools import compress
+from itertools import chain, compress, repeat
 
 import ahocorasick
 import numpy as np
@@ -123,23 +128,22 @@ def _pieces(shards: int):
                 t = w.text[s:e]
                 x = seen.get(t)
                 if x is None:
-                    seen[t] = [h % shards, k, k, h]
+                    seen[t] = [h % shards, k, k]
                 else:
                     x[1], x[2] = min(x[1], k), max(x[2], k)
         by: dict[int, list] = {}
-        for t, (s, lo, hi, h) in seen.items():
-            by.setdefault(s, []).append((t, lo, hi, h))
-        rows = [(s, zlib.compress(b"\n".join([x[0] for x in xs]), 1), *[zlib.compress(np.array([x[c] for x in xs], d).tobytes(), 1) for c, d in ((1, np.int64), (2, np.int64), (3, np.uint64))]) for s, xs in by.items()]
+        for t, (s, lo, hi) in seen.items():
+            by.setdefault(s, []).append((t, lo, hi))
+        rows = [(s, zlib.compress(b"\n".join([x[0] for x in xs]), 1), *[zlib.compress(np.array([x[c] for x in xs], np.int64).tobytes(), 1) for c in (1, 2)]) for s, xs in by.items()]
         made = {"shard": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([key[0].as_py()] * len(rows), pa.int32())}
-        return pa.table(made | {n: pa.array([r[c] for r in rows], pa.binary()) for c, n in enumerate(("texts", "lo", "hi", "anchor"), 1)})
+        return pa.table(made | {n: pa.array([r[c] for r in rows], pa.binary()) for c, n in enumerate(("texts", "lo", "hi"), 1)})
 
     return run
 
 
-def coded(numbers: np.ndarray, skip: np.ndarray) -> str:
+def coded(numbers: np.ndarray, skip: np.ndarray, bits: int) -> str:
     """Word numbers as a string: PLACES characters each, of as many alphabets, so that
-    nothing matches out of step; a space before each piece."""
-    bits = max(7, -(-int(numbers.max(initial=0)).bit_length() // PLACES))  # few children a node
+    nothing matches out of step; a space before each text."""
     places = np.empty((len(numbers), PLACES + 1), np.uint32)
     places[:, 0] = 32
     for c in range(1, PLACES + 1):
@@ -149,15 +153,43 @@ def coded(numbers: np.ndarray, skip: np.ndarray) -> str:
     return places[keep].astype("<u4").tobytes().decode("utf-32-le")
 
 
-def compiled(text: str, starts: np.ndarray, most: int = 40_000):
-    """Automata, of at most `most` passages each, of the coded words at some places;
-    a passage's value is its index."""
-    for i in range(0, len(starts), most):
-        a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for n, s in enumerate(starts[i : i + most].tolist(), i):
-            a.add_word(text[s : s + PLACES * WINDOW], n)
-        a.make_automaton()
-        yield a
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+
+
+class Automata:
+    """Aho-Corasick automata of some passages, each of at most `most` characters."""
+
+    def __init__(self, passages: list[bytes], most: int = 2_000_000):
+        sizes = np.fromiter((p.count(b" ") + 1 for p in passages), np.int64, len(passages))
+        words = b" ".join(passages).split(b" ")
+        self.number = {w: i for i, w in enumerate(dict.fromkeys(words), 1)}  # 0: in no passage
+        self.bits = max(7, -(-len(self.number).bit_length() // PLACES))  # few children a node
+        self.sizes = sizes
+        text = coded(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)), np.zeros(len(words), bool), self.bits)
+        ends = PLACES * starts_of(sizes)
+        self.parts, now, size = [], ahocorasick.Automaton(ahocorasick.STORE_INTS), 0
+        for i, (s, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            if size and size + e - s > most:
+                self.parts.append(now)
+                now, size = ahocorasick.Automaton(ahocorasick.STORE_INTS), 0
+            now.add_word(text[s:e], i)
+            size += e - s
+        self.parts.append(now)
+        for a in self.parts:
+            a.make_automaton()
+
+    def occurrences(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the first word, among all words of the texts, and passage of each."""
+        n = sum(map(len, texts))
+        numbers = np.fromiter(map(self.number.get, chain.from_iterable(texts), repeat(0)), np.int64, n)
+        first = np.zeros(n, bool)
+        first[starts_of(np.fromiter(map(len, [t for t in texts if t]), np.int64))[:-1]] = True
+        text = coded(numbers, first, self.bits)
+        where = PLACES * np.arange(n) + np.cumsum(first)  # of each word in the coded text
+        found = [np.fromiter(a.iter(text), np.dtype((np.int64, 2))) for a in self.parts]
+        hits = np.concatenate(found)
+        return np.searchsorted(where, hits[:, 0] - PLACES * self.sizes[hits[:, 1]] + 1), hits[:, 1]
 
 
 def _groups(nums: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,84 +203,80 @@ def _groups(nums: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raise ValueError("windows collide under every seed")
 
 
-def _locate(key, table):
+def _confirm(key, table):
+    """Of the pieces of a shard, the passages that recur, by batch: texts, how many windows
+    each has, and the smallest document of each window."""
     batches = table.column("batch").to_pylist()
-    cols = [[zlib.decompress(x) for x in table.column(c).to_pylist()] for c in ("texts", "lo", "hi", "anchor")]
-    lo, hi = (np.concatenate([np.frombuffer(x, np.int64) for x in c]) for c in cols[1:3])
-    anchor = np.concatenate([np.frombuffer(x, np.uint64) for x in cols[3]])
+    cols = [[zlib.decompress(x) for x in table.column(c).to_pylist()] for c in ("texts", "lo", "hi")]
+    lo, hi = (np.concatenate([np.frombuffer(x, np.int64) for x in c]) for c in cols[1:])
     row = np.repeat(np.arange(len(batches)), [len(x) // 8 for x in cols[1]])
-    texts = [t for x in cols[0] for t in x.split(b"\n")]
-    del cols
+    blob = b"\n".join(cols[0])
+    texts = blob.split(b"\n")
     size = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
-    words = b" ".join(texts).split(b" ")
+    del cols, texts
+    blob = blob.replace(b"\n", b" ")
+    words = blob.split(b" ")
     number = {w: i for i, w in enumerate(dict.fromkeys(words))}
     nums = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
     del words, number
-    piece = np.repeat(np.arange(len(texts)), size)
+    gaps = np.flatnonzero(np.frombuffer(blob, np.uint8) == 32)
+    begin, end = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(blob)]))
+    piece = np.repeat(np.arange(len(size)), size)
     at = np.flatnonzero(piece[: len(piece) - WINDOW + 1] == piece[WINDOW - 1 :])  # the windows
     of = piece[at]
     first, group = _groups(nums, at)
     least, most = np.full(len(first), C.NO_ID), np.full(len(first), -(1 << 63))
     np.minimum.at(least, group, lo[of])
     np.maximum.at(most, group, hi[of])
-    twice = np.flatnonzero(least != most)  # confirmed: in two documents
-    text = coded(nums, np.diff(piece, prepend=-1) != 0)
-    where = PLACES * np.arange(len(nums)) + piece + 1  # of each word in the coded text
-    found = np.full(len(nums), C.NO_ID)
-    for a in compiled(text, where[at[first[twice]]]):
-        hits = np.fromiter(a.iter(text), np.dtype((np.int64, 2)))
-        found[np.searchsorted(where, hits[:, 0] - (PLACES * WINDOW - 1))] = least[twice[hits[:, 1]]]
-    g = found[at]
-    cuts = np.concatenate(([0], np.cumsum(size - WINDOW + 1)))
-    useful = np.flatnonzero(np.minimum.reduceat(g, cuts[:-1]) < hi)
+    twice = (least != most)[group]  # confirmed: in two documents
+    new = np.diff(of, prepend=-1) != 0
+    s = np.flatnonzero(twice & (new | ~np.concatenate(([False], twice[:-1]))))
+    e = np.flatnonzero(twice & (np.concatenate((new[1:], [True])) | ~np.concatenate((twice[1:], [False])))) + 1
+    g = np.append(least[group], C.NO_ID)
+    if len(s):
+        useful = np.minimum.reduceat(g, np.stack((s, e), 1).ravel())[::2] < hi[of[s]]
+        s, e = s[useful], e[useful]
+    cuts = np.searchsorted(row[of[s]], np.arange(len(batches) + 1))
     made = []
-    for r in np.unique(row[useful]):
-        mine = useful[row[useful] == r] if len(batches) < 64 else useful[np.searchsorted(row[useful], r) : np.searchsorted(row[useful], r, side="right")]
-        n = (size[mine] - WINDOW + 1).astype(np.int32)
-        spans = np.concatenate([g[cuts[i] : cuts[i + 1]] for i in mine])
-        made.append((batches[r], anchor[mine].tobytes(), b"".join([hashlib.blake2b(texts[i], digest_size=16).digest() for i in mine.tolist()]), zlib.compress(n.tobytes(), 1), zlib.compress(spans.tobytes(), 1)))
-    return pa.table({"batch": pa.array([m[0] for m in made], pa.int32())} | {n: pa.array([m[c] for m in made], pa.binary()) for c, n in enumerate(("anchors", "digests", "sizes", "least"), 1)})
+    for r, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if i < j:
+            runs = [blob[x:y] for x, y in zip(begin[at[s[i:j]]].tolist(), end[at[e[i:j] - 1] + WINDOW - 1].tolist(), strict=True)]
+            spans = np.concatenate([g[x:y] for x, y in zip(s[i:j].tolist(), e[i:j].tolist(), strict=True)])
+            made.append((batches[r], zlib.compress(b"\n".join(runs), 1), zlib.compress((e[i:j] - s[i:j]).astype(np.int32).tobytes(), 1), zlib.compress(spans.tobytes(), 1)))
+    return pa.table({"batch": pa.array([m[0] for m in made], pa.int32())} | {n: pa.array([m[c] for m in made], pa.binary()) for c, n in enumerate(("passages", "sizes", "least"), 1)})
 
 
 def _remove(key, docs, back):
     ids, texts = _texts(docs)
-    least: dict[bytes, tuple] = {}
-    anchors = [np.zeros(0, np.uint64)]
-    for a, d, n, g in zip(*[back.column(c).to_pylist() for c in ("anchors", "digests", "sizes", "least")], strict=True):
-        anchors.append(np.frombuffer(a, np.uint64))
-        g, ends = np.frombuffer(zlib.decompress(g), np.int64), np.concatenate(([0], np.cumsum(np.frombuffer(zlib.decompress(n), np.int32))))
-        lows, tops = np.minimum.reduceat(g, ends[:-1]).tolist(), np.maximum.reduceat(g, ends[:-1]).tolist()
-        least.update(zip([d[i : i + 16] for i in range(0, len(d), 16)], zip(lows, tops, [g] * len(lows), ends[:-1].tolist(), ends[1:].tolist(), strict=True), strict=True))
-    good = np.unique(np.concatenate(anchors))
+    passages: dict[bytes, np.ndarray] = {}
+    for p, n, g in zip(*[[zlib.decompress(x) for x in back.column(c).to_pylist()] for c in ("passages", "sizes", "least")], strict=True):
+        cuts, g = starts_of(np.frombuffer(n, np.int32)).tolist(), np.frombuffer(g, np.int64)
+        passages.update(zip(p.split(b"\n"), [g[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+    automata = Automata(list(passages)) if passages else None
+    least = np.concatenate([np.zeros(0, np.int64), *passages.values()])
+    cuts = starts_of(np.fromiter(map(len, passages.values()), np.int64, len(passages)))
     n_words, gone, kept = [], [], []
     for i, j in C.blocks(texts):
-        w = C.Words(texts[i:j])
-        edge = np.zeros(len(w.hash) + 1, np.int32)
-        if len(good):
-            a, first, last = places(w)
-            ok = np.flatnonzero(good[np.minimum(np.searchsorted(good, a), len(good) - 1)] == a)
-            up, down, get, digest, text = [], [], least.get, hashlib.blake2b, w.text
-            for f, z, s, e, k in zip(first[ok].tolist(), last[ok].tolist(), w.start[first[ok]].tolist(), w.end[last[ok] + WINDOW - 1].tolist(), ids[i:j][w.doc[first[ok]]].tolist(), strict=True):
-                g = get(digest(text[s:e], digest_size=16).digest())
-                if g is not None and g[0] < k:
-                    if g[1] < k:  # all windows of the piece
-                        up.append(f)
-                        down.append(z + WINDOW)
-                    else:
-                        x = (np.flatnonzero(g[2][g[3] : g[4]] < k) + f).tolist()
-                        up += x
-                        down += [y + WINDOW for y in x]
-            np.add.at(edge, up, 1)
-            np.add.at(edge, down, -1)
-        covered = np.cumsum(edge[:-1]) > 0
-        ends = np.concatenate(([0], np.cumsum(covered)))
-        removed = (ends[w.first[1:]] - ends[w.first[:-1]]).tolist()
-        for d in range(j - i):
-            s, e = int(w.first[d]), int(w.first[d + 1])
-            t = w.text[int(w.start[s]) : int(w.end[e - 1])] if e > s else b""
-            n_words.append(e - s)
-            gone.append(removed[d])
-            kept.append(b" ".join(compress(t.split(b" "), (~covered[s:e]).tolist())) if removed[d] else t)
+        split = [t.split() for t in texts[i:j]]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        first = starts_of(counts)
+        edge = np.zeros(int(first[-1]) + 1, np.int32)
+        if automata and len(edge) > 1:
+            at, which = automata.occurrences(split)
+            n = cuts[which + 1] - cuts[which]  # windows of each occurrence
+            step = np.arange(int(n.sum())) - np.repeat(starts_of(n)[:-1], n)
+            window = np.repeat(at, n) + step
+            ours = np.repeat(ids[i:j], counts)[window]
+            window = np.unique(window[least[np.repeat(cuts[which], n) + step] < ours])
+            np.add.at(edge, window, 1)
+            np.add.at(edge, window + WINDOW, -1)
+        stays = np.cumsum(edge[:-1]) == 0
+        for k, w in enumerate(split):
+            stay = stays[int(first[k]) : int(first[k + 1])]
+            left = int(stay.sum())
+            n_words.append(len(w))
+            gone.append(len(w) - left)
+            kept.append(b" ".join(compress(w, stay.tolist()) if left < len(w) else w))
     return pa.table([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], schema=_ROW)
 
 
@@ -266,20 +294,26 @@ def _cogrouped(f, drop: list[str] = ()):
     return run
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_docs: int = 1000, with_text: bool = True) -> DataFrame:
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_docs: int = 1000, batch_bytes: int | None = None, with_text: bool = True) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_removed, kept_sha256 and, if
-    with_text, text_col: the words left, joined by one space."""
+    with_text, text_col: the words left, joined by one space.
+
+    A batch has about `batch_docs` documents, or `batch_bytes` of text if that is less;
+    if not given, the bytes grow with the corpus, from 4 to 32 MB, and documents with them."""
     spark = docs.sparkSession
     C.ship(spark)
     x = docs.select(C.key(id_col).alias("_k"), F.col(text_col).alias("_x"))
-    n = max(1, -(-x.count() // batch_docs))
+    size = x.agg(F.count("*").alias("n"), F.sum(F.octet_length("_x")).alias("b")).first()
+    total = size["b"] or 0
+    growth = min(8, max(1, total // (16 << 30)))  # batches of a corpus of over 16 GB are larger
+    n = max(1, -(-size["n"] // (batch_docs * growth)), -(-total // (batch_bytes or growth * (4 << 20))))
     buckets, shards = max(24, -(-n // 8)), max(48, n)
-    x = x.withColumn("batch", F.pmod(F.xxhash64("_k"), F.lit(n)).cast("int")).repartition("batch")
+    x = x.withColumn("batch", F.pmod(F.xxhash64("_k", "_x"), F.lit(n)).cast("int")).repartition("batch")
     by_batch = x.groupBy("batch")
     sent = by_batch.applyInArrow(_grouped(_anchors(buckets)), "bucket int, batch int, once binary, often binary")
     back = sent.groupBy("bucket").applyInArrow(_grouped(_recurring), "batch int, anchors binary")
-    pieces = by_batch.cogroup(back.groupBy("batch")).applyInArrow(_cogrouped(_pieces(shards)), "shard int, batch int, texts binary, lo binary, hi binary, anchor binary")
-    found = pieces.groupBy("shard").applyInArrow(_grouped(_locate), "batch int, anchors binary, digests binary, sizes binary, least binary")
+    pieces = by_batch.cogroup(back.groupBy("batch")).applyInArrow(_cogrouped(_pieces(shards)), "shard int, batch int, texts binary, lo binary, hi binary")
+    found = pieces.groupBy("shard").applyInArrow(_grouped(_confirm), "batch int, passages binary, sizes binary, least binary")
     out = by_batch.cogroup(found.groupBy("batch"))
     if with_text:
         done = out.applyInArrow(_cogrouped(_remove), "_k long, n_words long, n_removed long, kept binary, sha string")
