@@ -1,15 +1,21 @@
 """URL filter: allow and block rules by host and path, then a weighted
 vocabulary found with one Aho-Corasick automaton.
 
-A strict term rejects alone, soft terms reject when several distinct ones hit.  A
-hit counts only between characters that are not letters or digits.
+A term has a weight: one of `STRICT` or more rejects alone, lighter ones reject when
+several distinct ones hit.  A hit counts only between characters that are not letters or
+digits.  The vocabulary is data (`url_terms.csv` beside this module, or any terms given);
+the driver reads it and sends it along.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits
-no rule and is judged by the vocabulary on the whole url; repeated rows repeat.
+no rule and is judged by the vocabulary on the whole url; a very long url is read whole;
+a page id may be null or of any type and is passed through; repeated rows repeat; other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import csv
+import os
 import re
 from collections.abc import Sequence
 
@@ -22,10 +28,16 @@ from . import _common as C
 
 #: (verdict, rule): a rule is a host, then a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-STRICT = ("casino", "porn", "xxx", "viagra", "spam", "warez", "escort")
-SOFT = ("adult", "ads", "track", "cheap", "pills", "bets", "bet", "win", "free", "farm", "x", "poker", "loan", "discount", "dating")
+STRICT = 2
 LEAST_SOFT = 2
 
+
+def read_terms(path: str | None = None) -> list[tuple[str, int]]:
+    """(term, weight) rows of a CSV file with these two columns."""
+    with open(path or os.path.join(os.path.dirname(__file__), "url_terms.csv"), newline="", encoding="utf-8") as f:
+        return [(r["term"].translate(_AZ), int(r["weight"])) for r in csv.DictReader(f)]
+
+
 _AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 
@@ -54,11 +66,10 @@ class Rules:
         return best, verdict
 
 
-def automaton(strict: Sequence[str], soft: Sequence[str]) -> ahocorasick.Automaton:
+def automaton(terms: Sequence[tuple[str, int]]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for weight, terms in ((0, soft), (1, strict)):
-        for t in terms:
-            a.add_word(t, (t, weight))
+    for t, weight in terms:
+        a.add_word(t, (t, int(weight >= STRICT)))
     a.make_automaton()
     return a
 
@@ -78,14 +89,15 @@ def hits(a: ahocorasick.Automaton, url: str) -> tuple[int, int]:
     return len(seen[1]), len(seen[0])
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, least_soft: int = LEAST_SOFT) -> DataFrame:
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, terms: Sequence[tuple[str, int]] | None = None, least_soft: int = LEAST_SOFT) -> DataFrame:
     """One row per row of pages: id_col, url_col, host, path, rule, verdict,
     n_strict, n_soft.  Only the two columns are read, and nothing is shuffled."""
     C.ship(pages.sparkSession)
+    terms = read_terms() if terms is None else list(terms)
 
     def run(batches):
-        known, a = Rules(rules), automaton(strict, soft)
-        for b in batches:
+        known, a = Rules(rules), automaton(terms)
+        for b in C.slices(batches):
             rows = []
             for u in b.column(1).to_pylist():
                 host, path = parts(u)
@@ -105,8 +117,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 def rules_sql(table: str = "pages") -> str:
     """The same in SQL, with the vocabulary as patterns."""
     hit = lambda t: f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
-    n = " + ".join(f"CAST({hit(t)} AS BIGINT)" for t in STRICT)
-    m = " + ".join(f"CAST({hit(t)} AS BIGINT)" for t in SOFT)
+    n, m = (" + ".join(f"CAST({hit(t)} AS BIGINT)" for t, w in read_terms() if (w >= STRICT) == strict) for strict in (True, False))
     az = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     fits = [(len(r), r, v, r.partition("/")[0], "/" + r.partition("/")[2]) for v, r in RULES]
     case = lambda f: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{f(r, v)}'" for _, r, v, h, p in sorted(fits, reverse=True)) + " END"
