@@ -65,3 +65,17 @@ def test_base_spans(t):
     base, _ = secret_scan.find(t)
     assert secret_scan.written(base) == brute.secrets([(0, t)])[0][4]
     assert line_dedup.lines_sql().count("SELECT") == 6
+
+
+def test_without_a_hit_nothing_is_removed(monkeypatch):
+    import zlib
+
+    import pyarrow as pa
+
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = pa.table({"_k": pa.array([5, 9], pa.int64()), "_x": [f"a {text} b", text]})
+    back = pa.table({"passages": [zlib.compress(text.encode())], "sizes": [zlib.compress(np.array([1], np.int32).tobytes())], "least": [zlib.compress(np.array([5], np.int64).tobytes())]})
+    assert substring_dedup._remove(None, docs, back).column("n_removed").to_pylist() == [0, 13]
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(substring_dedup.Automata, "occurrences", lambda self, texts: (none, none))
+    assert substring_dedup._remove(None, docs, back).column("n_removed").to_pylist() == [0, 0]
