@@ -80,8 +80,7 @@ def severity_rank(c: Column | str) -> Column:
 def language(path: Column | str) -> Column:
     """A file's language by its whole name, else by its suffix, else `other`."""
     pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    by_suffix = {s: l for l, ss in V.LANGUAGE_SUFFIXES.items() for s in ss.split()}
-    return F.coalesce(F.try_element_at(pairs(V.LANGUAGE_NAMES), basename(path)), F.try_element_at(pairs(by_suffix), suffix(path)), F.lit("other"))
+    return F.coalesce(F.try_element_at(pairs(V.LANGUAGE_NAMES), basename(path)), F.try_element_at(pairs(V.LANGUAGE_SUFFIXES), suffix(path)), F.lit("other"))
 
 
 def is_kept_path(path: Column | str) -> Column:

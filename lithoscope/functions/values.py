@@ -19,13 +19,46 @@ MAX_FILES, MAX_FILE_BYTES, SNIFF_BYTES = 8000, 1_000_000, 2048
 
 # --- fixed values: languages -------------------------------------------------
 LANGUAGE_SUFFIXES = {
-    "python": ".py .pyi", "javascript": ".js .jsx .mjs .cjs", "typescript": ".ts .mts", "tsx": ".tsx", "java": ".java", "go": ".go",
-    "rust": ".rs", "php": ".php", "csharp": ".cs", "cpp": ".cpp .cc .cxx .hpp .hxx", "c": ".c .h",
-    "ruby": ".rb", "kotlin": ".kt .kts", "swift": ".swift", "scala": ".scala", "html": ".html .htm", "vue": ".vue", "svelte": ".svelte",
-    "css": ".css", "scss": ".scss .sass", "less": ".less", "sql": ".sql", "shell": ".sh .bash", "powershell": ".ps1", "yaml": ".yaml .yml",
-    "json": ".json", "toml": ".toml", "markdown": ".md .mdx", "xml": ".xml", "graphql": ".graphql .gql", "protobuf": ".proto", "r": ".r",
-    "dart": ".dart", "lua": ".lua", "perl": ".pl", "haskell": ".hs", "elixir": ".ex .exs", "clojure": ".clj", "groovy": ".groovy .gradle",
-}
+    ".py": "python", ".pyi": "python",
+    ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
+    ".ts": "typescript", ".mts": "typescript",
+    ".tsx": "tsx",
+    ".java": "java",
+    ".go": "go",
+    ".rs": "rust",
+    ".php": "php",
+    ".cs": "csharp",
+    ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hxx": "cpp",
+    ".c": "c", ".h": "c",
+    ".rb": "ruby",
+    ".kt": "kotlin", ".kts": "kotlin",
+    ".swift": "swift",
+    ".scala": "scala",
+    ".html": "html", ".htm": "html",
+    ".vue": "vue",
+    ".svelte": "svelte",
+    ".css": "css",
+    ".scss": "scss", ".sass": "scss",
+    ".less": "less",
+    ".sql": "sql",
+    ".sh": "shell", ".bash": "shell",
+    ".ps1": "powershell",
+    ".yaml": "yaml", ".yml": "yaml",
+    ".json": "json",
+    ".toml": "toml",
+    ".md": "markdown", ".mdx": "markdown",
+    ".xml": "xml",
+    ".graphql": "graphql", ".gql": "graphql",
+    ".proto": "protobuf",
+    ".r": "r",
+    ".dart": "dart",
+    ".lua": "lua",
+    ".pl": "perl",
+    ".hs": "haskell",
+    ".ex": "elixir", ".exs": "elixir",
+    ".clj": "clojure",
+    ".groovy": "groovy", ".gradle": "groovy",
+}  # fmt: skip# fmt: skip
 LANGUAGE_NAMES = {
     "Dockerfile": "dockerfile", "Makefile": "makefile", "Jenkinsfile": "groovy", "Gemfile": "ruby", "Rakefile": "ruby", "Procfile": "yaml",
     "docker-compose.yml": "yaml", "docker-compose.yaml": "yaml",
@@ -119,3 +152,15 @@ COMMENT_PREFIXES = ("#", "//", "*", "/*", '"""', "'''")
 # --- fixed values: retrieval and diagrams ------------------------------------
 CHUNK_CHARS, WINDOW_LINES, OVERLAP_LINES, MAX_CHUNKS, TOP_K = 2500, 60, 10, 4000, 6
 MAX_NODES, MAX_FLOWS, FLOW_DEPTH = 300, 3, 4
+
+# --- fixed values: fields of ORM classes -------------------------------------
+
+#: Style: pattern of a decorator's line, of a field's line, group of the field's name and of its type.
+FIELD_LINES = {
+    "ts": (r"^\s*@(\w+)\(", r"^\s*(?:\w+\s+)*(\w+)\s*[?!]?\s*:\s*([\w<>\[\].]+)", 1, 2),
+    "java": (r"^\s*@(\w+)", r"^\s*(?:private|public|protected)\s+([\w<>\[\],.\s]+?)\s+(\w+)\s*;", 2, 1),
+    "csharp": (r"^\s*\[(\w+)", r"^\s*(?:public|private|protected)\s+(?:virtual\s+)?([\w<>\[\],.]+)\s+(\w+)\s*\{", 2, 1),
+}
+MONGOOSE = r"(\w+)\s*=\s*new\s+(?:mongoose\.)?Schema\(\s*\{"
+MONGOOSE_NESTED = r"(\w+)\s*:\s*\{"
+MONGOOSE_SCALAR = r"(\w+)\s*:\s*(String|Number|Boolean|Date|ObjectId)\b"

@@ -51,7 +51,7 @@ def _quote(items) -> str:
 
 # --- files, languages, summary -----------------------------------------------
 
-_suffix_case = " ".join(f"WHEN suffix IN ({_quote(s.split())}) THEN '{l}'" for l, s in V.LANGUAGE_SUFFIXES.items())
+_suffix_case = " ".join(f"WHEN suffix = '{s}' THEN '{l}'" for s, l in V.LANGUAGE_SUFFIXES.items())
 _name_case = " ".join(f"WHEN base = '{n}' THEN '{l}'" for n, l in V.LANGUAGE_NAMES.items())
 _LANG = f"""SELECT *, CASE {_name_case} {_suffix_case} ELSE 'other' END AS language FROM (
   SELECT *, lower(regexp_extract(base, '^.+(\\.[^.]+)$', 1)) AS suffix FROM (SELECT *, regexp_extract(path, '[^/]*$') AS base FROM code_files))"""
