@@ -157,14 +157,6 @@ _line_query("SEC5_weak_auth", findings.weak_auth, _m(V.WEAK_HASH, "i") + " AND c
 _line_query("SEC6_sensitive_log", findings.sensitive_logs, _m(V.SENSITIVE_LOG, "i"), "sensitive_log", "medium", "'log statement appears to include a sensitive value'")
 
 
-@_query("SEC0_summary", f"""WITH f AS (SELECT job_id, 'sql_injection' AS category FROM code_lines WHERE {" OR ".join(_m(p) for p in V.SQL_INJECTION)}
-UNION ALL SELECT job_id, 'weak_auth' FROM code_lines WHERE {_m(V.WEAK_HASH, "i")} AND contains(lower(text), 'password')
-UNION ALL SELECT job_id, 'sensitive_log' FROM code_lines WHERE {_m(V.SENSITIVE_LOG, "i")}) SELECT job_id, 'security' AS analyzer, category, count(*) AS n FROM f GROUP BY ALL""", "code_lines")
-def _(spark, sf_dir):
-    x = findings.analyze_security(frame(spark, sf_dir, "code_lines")).where(~F.col("category").isin("hardcoded_secret", "unsafe_deserialization"))
-    return findings.by_category(x)
-
-
 @_query("QUA9_severity_order", f"""WITH f AS (SELECT job_id, 'high' AS severity, path AS file, file_seq, line, 'weak_auth' AS category FROM code_lines WHERE {_m(V.WEAK_HASH, "i")} AND contains(lower(text), 'password')
 UNION ALL SELECT job_id, 'medium', path, file_seq, line, 'sensitive_log' FROM code_lines WHERE {_m(V.SENSITIVE_LOG, "i")})
 SELECT job_id, file, line, category, severity, CAST(row_number() OVER (PARTITION BY job_id ORDER BY CASE severity WHEN 'high' THEN 1 ELSE 2 END, file_seq, file, line) AS INT) AS position FROM f""", "code_lines")
@@ -235,17 +227,6 @@ def _(spark, sf_dir):
     return findings.large_classes(findings.with_method_counts(_code(spark, sf_dir))).select("job_id", "file", "line", "symbol", "category", "message")
 
 
-@_query("QUA6_magic_numbers", f"""WITH a AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
-b AS (SELECT * FROM a WHERE trim(t) <> '' AND NOT regexp_matches(trim(t), '^(#|//|\\*|/\\*)') AND NOT regexp_matches(t, '{V.CONST_LINE}')),
-c AS (SELECT doc_id, i, unnest(regexp_extract_all(regexp_replace(t, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g'), '(?:^|[^\\p{{L}}\\p{{N}}_.])(\\d{{2,}})(?:$|[^\\p{{L}}\\p{{N}}_])', 1)) AS number FROM b)
-SELECT doc_id, CAST(i + 1 AS INT) AS line, count(*) AS n FROM c WHERE length(number) > 4 GROUP BY ALL""")
-def _(spark, sf_dir):
-    """Numbers of five digits or more in texts, each document the body of a function."""
-    x = _table(spark, sf_dir, "documents").select(F.lit("j").alias("job_id"), F.col("doc_id").alias("file_seq"), F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("sym_seq"), F.lit("function").alias("kind"), F.lit("f").alias("name"), F.lit(1).alias("start_line"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("body"))
-    m = findings.magic_numbers(x, most=1 << 30).withColumn("number", F.regexp_extract("message", r"number (\S+) in", 1)).where("number RLIKE '^[0-9]{5,}$'")
-    return m.groupBy(F.col("file_seq").alias("doc_id"), "line").agg(F.count("*").alias("n"))
-
-
 @_query("QUA8_dead_code", """WITH u AS (SELECT job_id, name AS short, any_value(path || '::' || CASE WHEN parent_class IS NULL THEN '' ELSE parent_class || '.' END || name) AS target FROM functions GROUP BY ALL HAVING count(*) = 1),
 k AS (SELECT job_id, path || '::' || CASE WHEN parent_class IS NULL THEN '' ELSE parent_class || '.' END || name AS id, unnest(calls) AS call FROM functions),
 called AS (SELECT DISTINCT k.job_id, u.target AS id FROM k JOIN u ON k.job_id = u.job_id AND u.short = regexp_extract(call, '[^.]*$') WHERE u.target <> k.id)
@@ -480,12 +461,6 @@ def _(spark, sf_dir):
     return retrieval.nearest(v, v.orderBy("vec_id").first().embedding, tie="vec_id").select("vec_id")
 
 
-@_query("SRC17_recent", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
-def _(spark, sf_dir):
-    """The hundred latest rows, as the list of jobs is read."""
-    return _table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey")
-
-
 # --- without SQL -------------------------------------------------------------
 
 
@@ -498,18 +473,6 @@ def _(spark, sf_dir):
     return parsing.Code(_parsed(spark, sf_dir)).symbols.select("job_id", "path", "kind", "name", "start_line", "end_line")
 
 
-@_query("RAG4_RAG5_index")
-def _(spark, sf_dir):
-    return retrieval.index(retrieval.chunk_repository(parsing.Code(_parsed(spark, sf_dir)))).select("chunk_id", "file", "start_line", "end_line", F.size("embedding").alias("dims"))
-
-
-@_query("DIA14_sequence")
-def _(spark, sf_dir):
-    """The walk through calls from three endpoints; tested on a small repository."""
-    code = parsing.Code(_parsed(spark, sf_dir))
-    return diagrams.sequence(api_surface.endpoints(code.sources), code.functions, graph.nodes(code), graph.edges(code))[1].select("job_id", "id", "label")
-
-
 # --- over parsed sources and bodies ------------------------------------------
 
 
@@ -648,3 +611,6 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     x = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.when(F.col("o_custkey") % 2 == 0, "security").otherwise("overall").alias("name"), (F.col("o_orderkey") % 101).cast("int").alias("score"))
     return scoring.bands(x).select("job_id", "score", "band")
+
+
+from . import checks  # noqa: E402, F401  (adds its queries)

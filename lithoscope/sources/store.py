@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,18 @@ STAGES = (("ingest", 5), ("parse", 25), ("graph", 55), ("analyze", 70), ("diagra
 SOURCE_TYPES = ("url", "zip", "local")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application in spark.checkpoint.dir; where that is unset, on one
+    machine a temporary one, and on a cluster an error: executors would not see it."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = "file://" + tempfile.mkdtemp(prefix="lithoscope")
+        spark.conf.set("spark.checkpoint.dir", d)
+    return f"{d.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 class Store:
     """A folder of Parquet tables.  Rows are appended and never changed; of a job's
     status rows the latest counts."""
