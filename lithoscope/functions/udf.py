@@ -3,7 +3,9 @@ executors."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -32,7 +34,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="ship"), "lithoscope-engine.zip")
+    folder = tempfile.mkdtemp(prefix="ship")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it while the driver lives
+    path = os.path.join(folder, "lithoscope-engine.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for d, _, names in os.walk(root):
             for n in names:

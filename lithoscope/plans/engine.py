@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
@@ -24,9 +25,16 @@ class Settings:
     max_files: int = 8000
     max_file_bytes: int = 1_000_000
     top_k: int = 6
+    workers: int = 2  # jobs at a time of those submitted
 
+#: Tables that hold a job's results.
+TABLES = (
+    "parsed", "files", "symbols", "imports", "nodes", "edges", "tables", "relationships", "endpoints", "architecture", "findings", "metrics", "violations", "patterns",
+    "summary", "folders", "api_surface", "scores", "diagram_nodes", "diagram_edges", "chunks", "reports",
+)
 
-def analyze(parsed: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> dict[str, DataFrame]:
+
+def analyze(parsed: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df, embedder: retrieval.Embedder | None = None) -> dict[str, DataFrame]:
     """Every result table of any number of parsed repositories.
 
     keep(name, df) may write a table and return it as read again: what later tables
@@ -64,7 +72,7 @@ def analyze(parsed: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lam
     dn, de = diagrams.cap(reduce(DataFrame.unionByName, [p[0] for p in parts]), reduce(DataFrame.unionByName, [p[1] for p in parts]))
     put("diagram_nodes", dn)
     put("diagram_edges", de)
-    put("chunks", retrieval.index(retrieval.chunk_repository(code)))
+    put("chunks", retrieval.index(retrieval.chunk_repository(code), embedder))
     return out
 
 
@@ -78,19 +86,57 @@ class Engine:
     def __post_init__(self):
         ship(self.spark)
         self.store = Store(self.spark, self.settings.store)
+        self._pool = ThreadPoolExecutor(self.settings.workers, "analysis")
+        self._pending: dict[str, Future] = {}
 
     def analyze(self, source: str, name: str | None = None) -> str:
         """Analyses a directory, ZIP archive or git URL; returns the job's id.  A failure
         is kept in the job's row, and raised."""
         job = uuid.uuid4().hex
-        kind = "url" if "://" in source or source.startswith("git@") else "zip" if source.lower().endswith(".zip") else "local"
-        name = name or Path(source.rstrip("/")).name.removesuffix(".git").removesuffix(".zip")
-        log = lambda status, stage, message="": self.store.log(job, name, kind, source, status, stage, message)
+        self._run(job, source, name)
+        return job
+
+    def submit(self, source: str, name: str | None = None) -> str:
+        """As analyze(), in the background: returns the job's id at once.  Its row tells
+        how far it is, or why it failed; wait() waits for it."""
+        job = uuid.uuid4().hex
+        self._log(job, source, name, "pending", "ingest")
+        self._pending[job] = self._pool.submit(self._run, job, source, name)
+        return job
+
+    def wait(self, job: str, seconds: float | None = None):
+        """The row of a job, once it has ended; its failure is in the row."""
+        if job in self._pending:
+            self._pending[job].exception(seconds)
+            del self._pending[job]
+        return self.store.job(job)
+
+    def delete(self, job: str) -> None:
+        """Drops a job's results, its vectors among them; its row stays."""
+        self.store.job(job)
+        self.store.forget(job, TABLES)
+
+    @staticmethod
+    def _kind(source: str) -> str:
+        return "url" if "://" in source or source.startswith("git@") else "zip" if source.lower().endswith(".zip") else "local"
+
+    def _log(self, job: str, source: str, name: str | None, status: str, stage: str, message: str = "") -> None:
+        self.store.log(job, self._name(source, name), self._kind(source), source, status, stage, message)
+
+    @staticmethod
+    def _name(source: str, name: str | None) -> str:
+        return name or Path(source.rstrip("/")).name.removesuffix(".git").removesuffix(".zip")
+
+    def _run(self, job: str, source: str, name: str | None) -> None:
+        log = lambda status, stage, message="": self._log(job, source, name, status, stage, message)
+        self.spark.sparkContext.setJobGroup(job, f"analysis of {source}", True)
         log("running", "ingest")
-        workspace = tempfile.mkdtemp(prefix="lithoscope")
+        workspace, staging = tempfile.mkdtemp(prefix="lithoscope"), None
         try:
             root = repo.open_repo(source, workspace)
-            raw = repo.read_files(self.spark, root, job, max_files=self.settings.max_files, max_bytes=self.settings.max_file_bytes)
+            if self._kind(source) != "local":  # the driver's own files
+                staging = self.store.path(f"staging/{job}")
+            raw = repo.read_files(self.spark, root, job, max_files=self.settings.max_files, max_bytes=self.settings.max_file_bytes, staging=staging)
             log("running", "parse")
             self.store.write("parsed", parsing.parse_files(repo.files(raw)), job)
             parsed = self.store.read("parsed", job)
@@ -100,9 +146,9 @@ class Engine:
                 self.store.write(table, df, job)
                 return self.store.read(table, job)
 
-            analyze(parsed, keep)
+            analyze(parsed, keep, self.embedder)
             log("running", "report")
-            text = report.synthesize(name, self._facts(job), self.model)
+            text = report.synthesize(self._name(source, name), self._facts(job), self.model)
             self.store.write("reports", self.spark.createDataFrame([(job, text)], "job_id string, report_markdown string"), job)
             log("done", "done")
         except Exception as e:
@@ -110,7 +156,8 @@ class Engine:
             raise
         finally:
             repo.remove(workspace)
-        return job
+            if staging:
+                repo.unstage(self.spark, staging)
 
     def _rows(self, table: str, job: str) -> list[dict]:
         """A result table of one job, small by the caps on files and diagrams."""

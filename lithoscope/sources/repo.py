@@ -1,8 +1,10 @@
 """Repositories as tables: a directory, a ZIP archive or a git URL.
 
 The driver lists names only and prunes ignored directories before descending; the
-executors read the contents.  Spark's own file source can't be used here, since it
-hides files and directories whose names begin with a dot or an underscore."""
+executors read the contents and leave out binary ones.  A directory must be one that the
+executors see too; what the driver unpacks or clones is first copied, under numbers
+for names, to a folder that Spark reads (`stage`): its file source hides names that
+begin with a dot or an underscore."""
 
 from __future__ import annotations
 
@@ -76,9 +78,9 @@ def remove(workspace: str | Path) -> None:
     shutil.rmtree(workspace, ignore_errors=True)
 
 
-def list_files(root: Path, max_files: int = V.MAX_FILES, max_bytes: int = V.MAX_FILE_BYTES) -> list[tuple[str, str, int]]:
-    """(path, absolute path, bytes) in order of path; ignored, empty, too large and
-    binary files left out."""
+def list_files(root: Path, max_files: int | None = None, max_bytes: int = V.MAX_FILE_BYTES) -> list[tuple[str, str, int]]:
+    """(path, absolute path, bytes) in order of path; ignored, empty and too large files
+    left out.  No file is opened."""
     ignored, tails = set(V.IGNORED_DIRS), V.IGNORED_SUFFIXES
     found = []
     for d, names, files in os.walk(root):
@@ -89,25 +91,47 @@ def list_files(root: Path, max_files: int = V.MAX_FILES, max_bytes: int = V.MAX_
             at = os.path.join(d, n)
             try:
                 size = os.stat(at).st_size
-                if 0 < size <= max_bytes:
-                    with open(at, "rb") as f:
-                        if b"\0" not in f.read(V.SNIFF_BYTES):
-                            found.append((os.path.relpath(at, root).replace(os.sep, "/"), at, size))
             except OSError:
                 continue
+            if 0 < size <= max_bytes:
+                found.append((os.path.relpath(at, root).replace(os.sep, "/"), at, size))
     return sorted(found)[:max_files]
 
 
-def read_files(spark: SparkSession, root: Path, job_id: str, **limits) -> DataFrame:
-    """RAW rows of a directory that driver and executors share."""
-    rows = [(job_id, i, p, a, n) for i, (p, a, n) in enumerate(list_files(root, **limits))]
+def stage(spark: SparkSession, listed: list[tuple[str, str, int]], folder: str) -> None:
+    """Copies the driver's files to a shared folder, each under its number."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(folder))
+    for i, (_, at, _) in enumerate(listed):
+        fs.copyFromLocalFile(False, True, hadoop.Path(f"file://{os.path.abspath(at)}"), hadoop.Path(f"{folder}/{i}.raw"))
+
+
+def unstage(spark: SparkSession, folder: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def read_files(spark: SparkSession, root: Path, job_id: str, max_files: int = V.MAX_FILES, max_bytes: int = V.MAX_FILE_BYTES, staging: str | None = None) -> DataFrame:
+    """RAW rows: of a directory that driver and executors share or, with `staging`, of the
+    driver's own, copied to that folder first.  The first `max_files` text files count."""
+    rows = [(job_id, i, p, a, n) for i, (p, a, n) in enumerate(list_files(root, max_bytes=max_bytes))]
     names = spark.createDataFrame(rows, "job_id string, file_seq long, path string, abs_path string, size_bytes long")
 
     def read(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([Path(p).read_bytes() for p in b.column("abs_path").to_pylist()], pa.binary())], names=[*b.schema.names, "content"])
-
-    return names.repartition(max(1, min(len(rows) // 200 + 1, 200))).mapInArrow(read, RAW)
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([Path(p).read_bytes() for p in part.column("abs_path").to_pylist()], pa.binary())], names=[*part.schema.names, "content"])
+
+    if staging and rows:
+        stage(spark, [r[2:] for r in rows], staging)
+        number = F.regexp_extract(F.col("path"), r"(\d+)\.raw$", 1).cast("long")
+        raw = names.join(spark.read.format("binaryFile").load(staging).select(number.alias("file_seq"), "content"), "file_seq").select("job_id", "file_seq", "path", "abs_path", "size_bytes", "content")
+    else:
+        raw = names.repartition(max(1, min(len(rows) // 200 + 1, 200))).mapInArrow(read, RAW)
+    return raw if len(rows) <= max_files else raw.where(T.is_text(F.col("content"))).orderBy("file_seq").limit(max_files)
 
 
 def files(raw: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Store:
-    """A folder of Parquet tables.  Rows are appended and never changed; of a job's
-    status rows the latest counts."""
+    """A folder of Parquet tables, with a partition for each job.  Writing a job's table
+    again replaces that partition; of a job's status rows the latest counts."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -37,30 +37,41 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def exists(self, table: str) -> bool:
+    def _at(self, table: str, job_id: str | None = None):
+        """(file system, path) of a table or of a job's part of it."""
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        p = jvm.org.apache.hadoop.fs.Path(self.path(table) + (f"/job_id={job_id}" if job_id else ""))
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def exists(self, table: str, job_id: str | None = None) -> bool:
+        fs, p = self._at(table, job_id)
+        return fs.exists(p)
 
     def write(self, table: str, df: DataFrame, job_id: str) -> None:
-        df.withColumn("job_id", F.lit(job_id)).write.mode("append").partitionBy("job_id").parquet(self.path(table))
+        """Each job's part is a folder of its own, so that jobs can write at the same time."""
+        df.drop("job_id").write.mode("overwrite").parquet(f"{self.path(table)}/job_id={job_id}")
 
     def read(self, table: str, job_id: str) -> DataFrame:
-        """Reads one job's partition only.  Ids are text, whatever they look like."""
-        x = self.spark.read.parquet(self.path(table))
-        return x.withColumn("job_id", F.col("job_id").cast("string")).where(F.col("job_id") == job_id)
+        """Lists and reads one job's part only; no rows where it has none."""
+        if not self.exists(table, job_id):
+            return self.spark.createDataFrame([], "job_id string")
+        return self.spark.read.parquet(f"{self.path(table)}/job_id={job_id}").withColumn("job_id", F.lit(job_id))
 
     def drop(self, table: str, job_id: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/job_id={job_id}")
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = self._at(table, job_id)
+        fs.delete(p, True)
+
+    def forget(self, job_id: str, tables) -> None:
+        """Drops a job's rows from all tables but the jobs' own."""
+        for t in tables:
+            self.drop(t, job_id)
 
     # -- jobs
 
     def log(self, job_id: str, name: str, source_type: str, ref: str, status: str, stage: str, message: str = "") -> None:
         now = dt.datetime.now(dt.timezone.utc)
         row = (job_id, name, source_type, ref, status, stage, dict(STAGES).get(stage, 0), message[:2000], now, int(now.timestamp() * 1e6))
-        self.spark.createDataFrame([row], JOBS).coalesce(1).write.mode("append").parquet(self.path("jobs"))
+        self.spark.createDataFrame([row], JOBS).coalesce(1).write.mode("append").parquet(f"{self.path('jobs')}/of={job_id}")
 
     def jobs(self) -> DataFrame:
         """The latest row of each job."""

@@ -74,7 +74,7 @@ def result(engine, job):
 def test_listing_prunes_and_sorts(root):
     got = [p for p, _, _ in repo.list_files(root)]
     assert got == sorted(got) and ".github/workflows/ci.yml" in got
-    assert not {"node_modules/x.js", "logo.png", "bin.dat", "empty.py"} & set(got)
+    assert not {"node_modules/x.js", "logo.png", "empty.py"} & set(got)
     assert len(repo.list_files(root, max_files=3)) == 3
 
 
@@ -251,3 +251,46 @@ def test_stream(spark, root):
     q = lines.stream_security(lines.stream_files(spark, str(root / "api"))).writeStream.format("memory").queryName("found").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("found").where("category = 'hardcoded_secret'").count() == 2
+
+
+def test_binary_files_are_left_out_where_they_are_read(spark, root):
+    raw = repo.read_files(spark, root, "j")
+    assert "bin.dat" in {r.path for r in raw.collect()}
+    assert "bin.dat" not in {r.path for r in repo.files(raw).collect()}
+    few = repo.read_files(spark, root, "j", max_files=4)
+    assert [r.path for r in few.orderBy("file_seq").collect()] == [r.path for r in repo.files(raw).orderBy("file_seq").limit(4).collect()]
+
+
+def test_staged_files_are_the_same(spark, root, tmp_path):
+    cols = ["file_seq", "path", "size_bytes", "content"]
+    plain, staged = (sorted(map(tuple, repo.read_files(spark, root, "j", staging=s).select(cols).collect())) for s in (None, f"file://{tmp_path}/staging"))
+    assert plain == staged and any(r[1].startswith(".github/") for r in staged)
+
+
+class Lengths:
+    """An embedder of another kind and size."""
+
+    dims = 3
+
+    def embed(self, texts):
+        import numpy as np
+
+        return np.array([[len(t), t.count("e"), 1] for t in texts], np.float32)
+
+
+def test_jobs_in_the_background(spark, root, tmp_path):
+    """A ZIP archive by submit(), with an embedder of one's own; a failure; deletion."""
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for p in ("api/services/core.py", "web/src/b.ts"):
+            z.write(root / p, p)
+    e = Engine(spark, Settings(store=str(tmp_path / "store")), embedder=Lengths())
+    job, bad = e.submit(str(tmp_path / "a.zip")), e.submit(str(tmp_path / "none"))
+    assert e.wait(job).status == "done" and e.wait(bad).status == "failed"
+    assert {len(r.embedding) for r in e.store.read("chunks", job).collect()} == {3}
+    assert e.ask(job, "helper")[1]
+    n = e.store.read("chunks", job).count()
+    e.store.write("chunks", spark.createDataFrame(e.store.read("chunks", job).drop("job_id").collect(), e.store.read("chunks", job).drop("job_id").schema), job)
+    assert e.store.read("chunks", job).count() == n
+    assert not (tmp_path / "store" / "staging" / job).exists()
+    e.delete(job)
+    assert e.store.read("chunks", job).count() == 0 and e.store.job(job).status == "done"
