@@ -91,15 +91,17 @@ def _bucket(x: DataFrame, key: str, tie: str, rows: int) -> Column | None:
     steps = max(1, s["n"] // (many * rows))
     width = steps * max(times)
     parts = [edges[i : i + _STEP] for i in range(0, len(edges), _STEP)]
-    array = lambda xs: F.array(*[F.lit(e).cast("long") for e in xs])
+    text = lambda xs: f"array({', '.join(f'{e}L' for e in xs)})"
+    array = lambda xs: F.expr(text(xs))
     upto = lambda es: F.size(F.filter(es, lambda e: e <= F.col(key)))
     i = upto(array([p[0] for p in parts])) - 1
-    j = i * _STEP + upto(F.get(F.array(*[array(p) for p in parts]), i)) - 1
+    j = i * _STEP + upto(F.get(F.expr(f"array({', '.join(map(text, parts))})"), i)) - 1
     at = lambda xs: F.get(array(xs), j)
     low, high = at(edges).cast("double"), at([*edges[1:], s["hi"]]).cast("double")
     by_key = F.least(F.lit(steps - 1), F.floor((F.col(key) - low) * steps / F.greatest(high - low, F.lit(1.0))))
     by_tie = F.floor((F.col(tie) / float(1 << 64) + 0.5) * F.when(at(times) > 1, at(times) * steps).otherwise(1))
-    return F.when(F.col(key) == at(edges), 2 * j * width + F.least(by_tie, F.lit(width - 1))).otherwise((2 * j + 1) * width + by_key).cast("long")
+    bucket = F.when(F.col(key) == at(edges), 2 * j * width + F.least(by_tie, F.lit(width - 1))).otherwise((2 * j + 1) * width + by_key).cast("long")
+    return F.coalesce(bucket, F.lit(0).cast("long"))  # never null, and known not to be: no filter sets the branches of with_next apart
 
 
 def with_next(x: DataFrame, key: str, tie: str, carry: list[str], rows: int = 400) -> DataFrame:
