@@ -1,6 +1,7 @@
 """Plain versions of the contracts, on lists of (doc_id, text)."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -31,6 +32,46 @@ def secrets(docs):
     return out
 
 
+def classes(rows, example_owners=5, least_bits=3.0):
+    """doc_id to its spans (start, kind, end, class), from (doc_id, text, owner) rows."""
+    found, owners = {}, defaultdict(set)
+    for d, t, o in rows:
+        t = t or ""
+        base = [(m.start(), 0, m.end(), m[2]) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
+        base += [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        base += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        taken = {i for s, _, e, _ in base for i in range(s, e)}
+        wide = [(m.start(), 3, m.end(), m[0]) for m in re.finditer("[A-Za-z0-9+/_-]+", t) if len(m[0]) >= 20 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not taken & set(range(m.start(), m.end()))]
+        found[d] = sorted(base + wide)
+        for x in found[d]:
+            owners[x[3]].add(o or "")
+
+    def random_looking(v):
+        bits = -sum(v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in set(v))
+        return len(v) >= 12 and bool(re.search("[0-9]", v)) and bool(re.search("[A-Za-z]", v)) and bits >= least_bits
+
+    out = {}
+    for d, xs in found.items():
+        out[d] = []
+        for s, k, e, v in xs:
+            n, live = len(owners[v]), random_looking(v)
+            c = "example" if n >= example_owners else "live" if n == 1 and live else "shared"
+            if k < 3 or (live and c != "example"):
+                out[d].append((s, k, e, c))
+    return out
+
+
+def masked(text, spans, mark="<SECRET>"):
+    """Spans that are no examples, overlapping ones as one, replaced."""
+    hide, at, out = sorted((s, e) for s, _, e, c in spans if c != "example"), 0, ""
+    while hide:
+        s, e = hide.pop(0)
+        while hide and hide[0][0] < e:
+            e = max(e, hide.pop(0)[1])
+        out, at = out + text[at:s] + mark, e
+    return out + text[at:]
+
+
 def exact(docs):
     groups = defaultdict(list)
     for d, t in docs:

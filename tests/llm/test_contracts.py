@@ -1,6 +1,5 @@
 """Each query against a plain version, on a whole small table and on odd rows."""
 
-import hashlib
 import os
 from collections import defaultdict
 
@@ -56,6 +55,15 @@ def test_secret_spans(docs):
         assert set(want[4].split(",")) <= set(got[d][4].split(",")) | {""}
 
 
+def test_classes_and_added_spans(docs):
+    """Every span and its class against a plain version."""
+    rows = [(r.doc_id, r.text, r.source) for r in docs.select("doc_id", "text", "source").collect()]
+    out = secret_scan.scan_secrets(docs).select("doc_id", "spans").collect()
+    want = brute.classes(rows)
+    for r in out:
+        assert [(x.start, x.kind, x.end, x["class"]) for x in r.spans] == want[r.doc_id], r.doc_id
+
+
 def test_widely_copied_example_adds_no_span(spark):
     rows = [(i, "see Zx81kQp0aB72mNcL9dTu4V there", f"owner{i}") for i in range(6)] + [(9, "see Qw93kQp0aB72mNcL9eRs5W there", "owner1"), (9, "see Qw93kQp0aB72mNcL9eRs5W there", "owner1")]
     out = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"))
@@ -320,22 +328,34 @@ def test_sql_gives_the_same_rows(spark):
 
 
 def test_pipeline_in_order(spark):
+    """Each stage against its plain version, on what the one before kept."""
     import corpus_pipeline as p
 
     assert [n for n, _ in p.STAGES] == ["language_id", "exact_dedup", "near_dedup", "secret_scan", "packing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    ids = {r.doc_id for r in docs.collect()}
+    want = {d for d, t in _docs(docs) if any(c.isalpha() for c in t or "")}
+    plain = {
+        "language_id": lambda rows: {d for d, t in rows if any(c.isalpha() for c in t or "")},
+        "exact_dedup": lambda rows: {d for d, x in brute.exact(rows).items() if x[2]},
+        "near_dedup": lambda rows: {d for d, x in brute.near(rows, 5, 80, 100).items() if x[2]},
+        "secret_scan": lambda rows: {d for d, _ in rows},
+    }
     for name, stage in p.STAGES[:-1]:
+        rows = _docs(docs)
+        before = dict(rows)
         docs = p._common.stash(stage(spark, docs, SF), name)
         assert tuple(docs.columns) == p.COLUMNS
-    kept = _docs(docs)
-    assert {d for d, _ in kept} < ids and len(kept) == len({d for d, _ in kept})
-    assert all(g[1] == 1 for g in brute.exact(kept).values())
-    want = {d for d, x in brute.near(_docs(spark.read.parquet(f"{SF}/documents.parquet")), 5, 80, 100).items() if x[2]}
-    assert len(want & {d for d, _ in kept}) >= 0.9 * len(want)
+        got = docs.collect()
+        assert len(got) == len({r.doc_id for r in got}) and {r.doc_id for r in got} == plain[name](rows), name
+        if name == "secret_scan":
+            live = brute.classes([(d, t, r.source) for r in got for d, t in [(r.doc_id, before[r.doc_id])]])
+            for r in got:
+                assert r.text == brute.masked(before[r.doc_id], live[r.doc_id]) and r.n_chars == len(r.text)
+        else:
+            assert all(r.text == before[r.doc_id] for r in got)
+    kept = {r.doc_id for r in docs.collect()}
+    assert kept < want and {r.doc_id for r in p.run(spark, SF).collect()} == kept
     assert os.path.exists(queries.tokenizer("byte_bpe_50k.json"))
-    assert {r.doc_id for r in p.run(spark, SF).collect()} == {d for d, _ in kept}
-    assert hashlib.sha256(b"").hexdigest() == brute.sha("")
 
 
 def test_stages_on_odd_rows_and_empty_tables(spark, odd):
