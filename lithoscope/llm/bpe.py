@@ -12,11 +12,15 @@ word's tokens are read off its path backwards.
 Every text is cut at `[\\x20\\x09-\\x0D]`, where neither the normaliser nor the
 pre-tokenizer can join anything, and each distinct piece is encoded once.  No row
 is shuffled.  Memory is bounded: the tables of pieces and words, which a worker keeps
-for its next tasks, start afresh at `most_pieces`.
+for its next tasks, start afresh at `most_pieces` and at `MOST_BYTES`; a word or piece
+of more than `LONG` characters is not kept, and such a word is walked on its own, without
+a trie.
 
 Defined cases: a null or empty text has no tokens and decodes to an empty text;
-special tokens written in a text become their ids, as in the library; repeated
-rows repeat; an empty table gives an empty result.
+special tokens written in a text become their ids, as in the library; a very long text is
+one row, whose ids a task holds; an id may be null or of any type and is passed through;
+other columns are ignored, whatever their names; repeated rows repeat; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from . import _common as C
 
 #: Added to a word's last unit; byte-level characters are all below it.
 _END = 0x1000
+#: Characters of a long word, and bytes of pieces that a worker keeps.
+LONG, MOST_BYTES = 1024, 32 << 20
 
 
 #: The pre-tokenizer's pattern, as the file has it, and the same for lower-case ASCII.
@@ -144,6 +150,8 @@ class TrieBPE:
         """Byte-level words to their token ids."""
         root: dict = {}
         for w in words:
+            if len(w) > LONG:
+                continue
             node = root
             for c in w[:-1]:
                 nxt = node.get(c)
@@ -153,7 +161,7 @@ class TrieBPE:
             # A word's end is a unit of its own kind: a leaf.
             node[chr(ord(w[-1]) + _END) if self.suffix else w[-1] + "\0"] = w
         down, fail, goto, ends, apart, ids, size = self.down, self.fail, self.goto, self.ends, self.apart, self.ids, self.size
-        out: dict[str, list[int]] = {}
+        out = {w: self._long(w) for w in words if len(w) > LONG}
         last = [-1]  # of the prefixes on the path
         stack = [(1, c, node, 0) for c, node in root.items()]
         while stack:
@@ -189,6 +197,24 @@ class TrieBPE:
                 stack += [(depth, c, child, state) for c, child in node.items()]
         return out
 
+    def _long(self, word: str) -> list[int]:
+        """The same walk along one word, whose prefixes no other word shares."""
+        last, state, n = [-1], 0, len(word)
+        for depth, c in enumerate(word, 1):
+            unit = c if depth < n else chr(ord(c) + _END) if self.suffix else c
+            while state and unit not in self.down[state]:
+                state = self.fail[state]
+            state = self.down[state].get(unit, 0)
+            t = next((t for t, size in self.ends[state] if size == depth or self.stays_apart(last[depth - size], t)), None)
+            if t is None:
+                raise ValueError(f"no token ends a prefix of {word[:20]!r}")
+            last.append(t)
+        got = []
+        while n:
+            got.append(self.ids[last[n]])
+            n -= self.size[last[n]]
+        return got[::-1]
+
     def words(self, piece: str) -> list[str]:
         """Byte-level words of a piece without special tokens."""
         if piece.isascii():
@@ -228,6 +254,8 @@ class _Cache:
 
     def clear(self):
         self.of_piece: dict[bytes, tuple[int, str, str]] = {}
+        self.size = 0
+        self.bpe.known.clear()
 
 
 def _cache(path: str) -> _Cache:
@@ -242,7 +270,7 @@ def digests(texts: list[bytes], path: str, most_pieces: int) -> list[tuple[int,
     bpe = cache.bpe
     for i, j in C.blocks(texts, 4 << 20):
         split = [t.split() for t in texts[i:j]]
-        if len(cache.of_piece) >= most_pieces:
+        if len(cache.of_piece) >= most_pieces or cache.size >= MOST_BYTES:
             cache.clear()
         if len(bpe.known) >= most_pieces:
             bpe.known.clear()
@@ -250,10 +278,16 @@ def digests(texts: list[bytes], path: str, most_pieces: int) -> list[tuple[int,
         new = [p for p in set().union(*split) if p not in known]
         for p, ids in zip(new, bpe.encode_pieces([p.decode("utf-8") for p in new]), strict=True):
             known[p] = (len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids]))
+        cache.size += sum(map(len, new))
         for s in split:
             got = [x for p in s if (x := known[p])[0]]  # a piece may have no tokens
             n, ids, text = zip(*got, strict=True) if got else ((), (), ())
             rows.append((sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(text).encode()).hexdigest()))
+        for p in new:
+            if len(p) > LONG:
+                del known[p]
+        for w in [w for w in bpe.known if len(w) > LONG] if any(len(p) > LONG for p in new) else ():
+            del bpe.known[w]
     return rows
 
 

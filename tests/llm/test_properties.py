@@ -79,3 +79,21 @@ def test_without_a_hit_nothing_is_removed(monkeypatch):
     none = np.zeros(0, np.int64)
     monkeypatch.setattr(substring_dedup.Automata, "occurrences", lambda self, texts: (none, none))
     assert substring_dedup._remove(None, docs, back).column("n_removed").to_pylist() == [0, 0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("aeinorsth", min_size=1, max_size=60), st.integers(1, 40))
+def test_long_words_are_walked_alike(t, times):
+    word = (t * times)[:2000]
+    assert TRIE._long(word) == TRIE.encode_words([word])[word]
+    if len(word) <= bpe.LONG:
+        assert TRIE._long(word) == TOOLS[0].encode(word, add_special_tokens=False).ids
+
+
+def test_long_pieces_are_not_kept():
+    texts = ["x" * 300_000, "ab" * 2000 + " short " + "ab" * 2000, "short"]
+    rows = bpe.digests([t.encode() for t in texts], WORD, 1000)
+    ids = [TOOLS[0].encode(t, add_special_tokens=False).ids for t in texts]
+    assert [r[:2] for r in rows] == [(len(i), brute.sha(" ".join(map(str, i)))) for i in ids]
+    cache = bpe._cache(WORD)
+    assert all(len(p) <= bpe.LONG for p in [*cache.of_piece, *cache.bpe.known])
