@@ -9,7 +9,9 @@ shuffles; hashes that hold over a thousandth of all lines are sent to every task
 
 Defined cases: a null or empty text is one empty line; a null id is one document
 after all others; rows that repeat an id are one document when counting and each
-loses the same lines; an empty table gives an empty result.
+loses the same lines; an id that is no number is refused by the cast to long; a very
+long text is one row, with an array of its lines, in one task; other columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     x = docs.select(C.key(id_col).alias("_k"), F.coalesce(F.col(text_col), F.lit("")).alias("_x"))
     lines = F.split("_x", "\n", -1)
     keyed = x.select("_k", F.xxhash64("_x").alias("_t"), F.posexplode(lines).alias("pos", "line")).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= least_chars)
-    keyed = keyed.select("_k", "_t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    keyed = C.stash(keyed.select("_k", "_t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "keys")  # lines are cut and keyed once
     if least_docs == 2:  # two distinct documents: the smallest is not the largest
         hashes = keyed.groupBy("h1", "h2").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     else:
