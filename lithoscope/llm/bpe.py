@@ -283,11 +283,10 @@ def digests(texts: list[bytes], path: str, most_pieces: int) -> list[tuple[int,
             got = [x for p in s if (x := known[p])[0]]  # a piece may have no tokens
             n, ids, text = zip(*got, strict=True) if got else ((), (), ())
             rows.append((sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(text).encode()).hexdigest()))
-        for p in new:
-            if len(p) > LONG:
-                del known[p]
-        for w in [w for w in bpe.known if len(w) > LONG] if any(len(p) > LONG for p in new) else ():
-            del bpe.known[w]
+        if max(map(len, new), default=0) > LONG:
+            for kept in (known, bpe.known):
+                for x in [x for x in kept if len(x) > LONG]:
+                    del kept[x]
     return rows
 
 
