@@ -91,11 +91,10 @@ def _bucket(x: DataFrame, key: str, tie: str, rows: int) -> Column | None:
     steps = max(1, s["n"] // (many * rows))
     width = steps * max(times)
     parts = [edges[i : i + _STEP] for i in range(0, len(edges), _STEP)]
-    text = lambda xs: f"array({', '.join(f'{e}L' for e in xs)})"
-    array = lambda xs: F.expr(text(xs))
+    array = lambda xs, kind="array<bigint>": F.from_json(F.lit(str(xs)), kind)  # noqa: E731  (one constant, not a thousand)
     upto = lambda es: F.size(F.filter(es, lambda e: e <= F.col(key)))
     i = upto(array([p[0] for p in parts])) - 1
-    j = i * _STEP + upto(F.get(F.expr(f"array({', '.join(map(text, parts))})"), i)) - 1
+    j = i * _STEP + upto(F.get(array(parts, "array<array<bigint>>"), i)) - 1
     at = lambda xs: F.get(array(xs), j)
     low, high = at(edges).cast("double"), at([*edges[1:], s["hi"]]).cast("double")
     by_key = F.least(F.lit(steps - 1), F.floor((F.col(key) - low) * steps / F.greatest(high - low, F.lit(1.0))))
