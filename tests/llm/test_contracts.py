@@ -174,7 +174,20 @@ def test_language_of_held_out_documents(spark, table):
     rows = out.collect()
     assert all(0 <= r.score <= 1 and r.held_out == (langid.crc_fold(r.doc_id) == 2) for r in rows)
     held = [r for r in rows if r.held_out]
-    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held)
+    assert all(r.lang_pred == lang[r.doc_id] for r in held if lang[r.doc_id]) and len(held) > 20
+
+
+def test_language_without_an_id_and_with_many_labels(spark):
+    """No id: not held out, and learned from.  Of many labels those with the most rows count."""
+    from pyspark.sql import functions as F
+
+    rows = [(None, "the cat and the dog " * 3, "en")] * 3 + [(i, "le chat et le chien " * 3, "fr") for i in range(8)] + [(100 + i, "zz yy xx", f"label{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r[0] for r in df.where("doc_id IS NULL").select(langid.fold() == 2).collect()} == {False}
+    model = langid.train(df, langid.fold() != 2, most_langs=2)
+    assert sorted(l for ls in model.languages.values() for l in ls) == ["en", "fr"]
+    got = langid.predict(df, model).where(F.col("lang").isin("en", "fr")).collect()
+    assert all(r.lang_pred == r.lang for r in got)
 
 
 def test_language_of_odd_texts(odd):
