@@ -56,6 +56,18 @@ def looks_live(value: str, least_bits: float) -> bool:
     return len(value) >= 12 and bool(_MIXED.match(value)) and entropy(value) >= least_bits
 
 
+def apart(spans: list[tuple], base: list[tuple]):
+    """The spans that overlap none of base, in one pass; both come by start, and the spans
+    do not overlap each other."""
+    i, reach = 0, 0
+    for w in spans:
+        while i < len(base) and base[i][0] < w[2]:
+            reach = max(reach, base[i][2])
+            i += 1
+        if reach <= w[0]:
+            yield w
+
+
 def find(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int, str]]]:
     """Base spans and further candidates: (start, kind, end, value) by start, kind."""
     base = [(m.start(), 0, m.end(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -64,7 +76,7 @@ def find(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, in
         base += [(m.start(), 1, m.end(), m[0]) for m in _ACCESS.finditer(text)]
         base += [(m.start(), 2, m.end(), m[0]) for m in _HEX.finditer(text)]
         base.sort()
-        wide = [w for w in wide if _MIXED.match(w[3]) and not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+        wide = [w for w in apart(wide, base) if _MIXED.match(w[3])]
     return base, wide
 
 
