@@ -7,8 +7,9 @@ three-grams of the text, with A-Z lower-cased, white space run together and digi
 and punctuation left out, hashed to `dims` places, rooted and scaled to length one.
 
 The model is fitted on the driver with a bounded sample of labelled rows: at most
-`per_lang` rows of each language, those with the smallest hash of id, of at most
-`most_langs` languages, those with the most rows (the bounds are these parameters).
+`per_lang` rows of each language, those with the smallest hash of id and text, of at most
+`most_langs` languages, those with the most rows (the bounds are these parameters; the
+executors keep them, also where many rows have one hash because they are the same row).
 Everything else runs over whole texts, without a shuffle.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; rows
@@ -27,7 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -142,17 +143,19 @@ def fit(x: np.ndarray, y: list[str], families=FAMILIES) -> Model:
 
 
 def train(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, most_langs: int = 64, dims: int = 4096, families=FAMILIES) -> Model:
-    """Fit on at most `per_lang` rows, chosen by hash of id, of each of the `most_langs`
-    languages with the most rows: about `per_lang * most_langs` sparse vectors come to the
-    driver, however many rows or labels there are."""
+    """Fit on at most `per_lang` rows, chosen by hash of id and text, of each of the
+    `most_langs` languages with the most rows: at most `per_lang * most_langs` sparse vectors
+    come to the driver, however many rows, labels or copies of a row there are."""
     C.ship(docs.sparkSession)
     x = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    x = x.select(F.col(lang_col).cast("string").alias("l"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("x"))
-    counts = x.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_langs).collect()
+    x = x.select(F.col(lang_col).cast("string").alias("l"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("x"))
+    counts = x.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).orderBy(F.desc("n"), "l").limit(most_langs).collect()
     if not counts:
         return Model(dims)
-    # About one and a half times the bound by hash, then exactly the smallest.
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["l"], int(min(1.0, (1.5 * per_lang + 50) / r["n"]) * (1 << 30)))])
+    # About one and a half times the bound by distinct hashes, as copies of a row come or
+    # stay away together; then exactly the smallest: each task keeps its own `per_lang`
+    # smallest before any is shuffled.
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["l"], int(min(1.0, (1.5 * per_lang + 50) / r["d"]) * (1 << 30)))])
     chosen = x.where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, "l"))
 
     def run(batches):
@@ -160,9 +163,9 @@ def train(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
             vs = [zlib.compress(features(t, dims).astype(np.float16).tobytes(), 1) for t in C.text_bytes(b.column("x"))]
             yield pa.RecordBatch.from_arrays([b.column("l"), b.column("h"), pa.array(vs, pa.binary())], names=["l", "h", "v"])
 
-    rows = sorted(chosen.mapInArrow(run, "l string, h long, v binary").collect(), key=lambda r: (r["l"], r["h"] & ((1 << 30) - 1), r["h"], r["v"]))
-    seen: dict[str, int] = {}
-    rows = [r for r in rows if (seen.__setitem__(r["l"], seen.get(r["l"], 0) + 1) or seen[r["l"]]) <= per_lang]
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "v"))
+    kept = chosen.mapInArrow(run, "l string, h long, v binary").withColumn("place", place).where(F.col("place") <= per_lang)
+    rows = sorted(kept.select("l", "place", "v").collect(), key=lambda r: (r["l"], r["place"]))
     if not rows:
         return Model(dims)
     v = np.empty((len(rows), dims), np.float32)
