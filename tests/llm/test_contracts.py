@@ -47,6 +47,18 @@ def docs(request):
     return request.getfixturevalue(request.param)
 
 
+def test_spans_apart():
+    """In one pass the same as pair by pair, also where one base span holds others."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        base = sorted((s, 0, s + rng.randint(1, 40), "") for s in rng.sample(range(200), rng.randint(0, 8)))
+        cuts = sorted(rng.sample(range(240), 12))
+        wide = [(s, 3, e, "") for s, e in zip(cuts[::2], cuts[1::2], strict=True)]
+        assert list(secret_scan.apart(wide, base)) == [w for w in wide if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+
+
 def test_secret_spans(docs):
     out = secret_scan.scan_secrets(docs)
     got = _by_id(out.select("*", secret_scan.span_text("spans").alias("text")), "n_assign", "n_access", "n_hex", "base_sha256", "text")
@@ -190,6 +202,20 @@ def test_language_without_an_id_and_with_many_labels(spark):
     assert all(r.lang_pred == r.lang for r in got)
 
 
+def test_language_sample_is_bounded_where_one_row_repeats(spark):
+    """A third of the rows are the same one, without an id: no more than the bound is sent."""
+    rows = [(None, "the cat and the dog", "en")] * 300 + [(i, f"le chat et le chien {i}", "fr") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    seen = []
+    real, langid.fit = langid.fit, lambda x, y, *a: seen.extend(y) or real(x, y, *a)
+    try:
+        model = langid.train(df, langid.fold() != 9, per_lang=40)
+    finally:
+        langid.fit = real
+    assert {l: seen.count(l) for l in set(seen)} == {"en": 40, "fr": 40}
+    assert all(r.lang_pred == r.lang for r in langid.predict(df, model).collect())
+
+
 def test_language_of_odd_texts(odd):
     model = langid.train(odd, langid.fold() != 2)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(odd, model).collect()}
