@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, langid, line_dedup, minhash_dedup, packing, secret_scan, substring_dedup, url_filter
+from . import bpe, exact_dedup, fingerprints, langid, line_dedup, minhash_dedup, packing, parity_join, ranked_search, secret_scan, substring_dedup, url_filter
 
 
 
@@ -69,9 +69,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (langid.fold() == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.jaccard_join(_documents(spark, sf_dir), shingle=3, limit=(90, 100))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_bpe, op3_url_filter, op4_fingerprints, op5_line_dedup, op6_exact_dedup, op7_substring_dedup, op8_minhash, op9_packing, op10_language_id)
+    for f in (op1_secret_scan, op2_bpe, op3_url_filter, op4_fingerprints, op5_line_dedup, op6_exact_dedup, op7_substring_dedup, op8_minhash, op9_packing, op10_language_id, op11_ranked_search, op12_jaccard_join)
 }
 
 ORACLE_SQL = {
@@ -79,4 +87,5 @@ ORACLE_SQL = {
     "op5_line_dedup": line_dedup.lines_sql(),
     "op6_exact_dedup": exact_dedup.exact_sql(),
     "op7_substring_dedup": substring_dedup.passages_sql(),
+    "op11_ranked_search": ranked_search.ranked_sql(),
 }

@@ -4,7 +4,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -141,3 +141,23 @@ def near(docs, k=3, num=85, den=100):
 
 def crc(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, k=20):
+    """(item_id, rank, doc_id, score) of (doc_id, text) and (item_id, text) rows."""
+    counts = [(d, Counter(TERM.findall((t or "").translate(LOW)))) for d, t in docs]
+    n, total = sum(bool(c) for _, c in counts), sum(c.total() for _, c in counts)
+    df = Counter(w for _, c in counts for w in c)
+    out = []
+    for item, text in set(items):
+        asked, hits = Counter(TERM.findall((text or "").translate(LOW))), []
+        for d, c in counts:
+            m = 100 - 25 + 25 * c.total() * n // max(1, total)
+            score = sum(times * math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * (10**9 * c[w] // (1000 * c[w] + 12 * m)) for w, times in asked.items() if w in c)
+            if score > 0:
+                hits.append((-score, d))
+        out += [(item, i + 1, d, -s) for i, (s, d) in enumerate(sorted(hits)[:k])]
+    return sorted(out)
