@@ -29,8 +29,10 @@ their names; an empty table of documents or items gives an empty result.
 from __future__ import annotations
 
 import heapq
+from array import array
 from bisect import bisect_left
-from collections import Counter
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -53,11 +55,20 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_TERM).split()
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Whole numbers of at least 0, in the fewest bytes each that hold the largest; the first byte tells how many."""
-    top = int(x.max()) if len(x) else 0
-    w = next(i for i, t in enumerate(_WIDTHS) if top <= np.iinfo(t).max)
-    return bytes([w]) + x.astype(_WIDTHS[w]).tobytes()
+def packed(x: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """Runs of whole numbers of at least 0, each in the fewest bytes a number that hold its largest; the first byte tells how many."""
+    if not len(starts):
+        return []
+    width = np.searchsorted([1 << 8, 1 << 16, 1 << 32], np.maximum.reduceat(x, starts), side="right")
+    length, out = np.diff(np.append(starts, len(x))), [b""] * len(starts)
+    for w, kind in enumerate(_WIDTHS):
+        mine = np.flatnonzero(width == w)
+        if len(mine):
+            blob, mark = x[np.repeat(width == w, length)].astype(kind).tobytes(), bytes([w])
+            ends = np.cumsum(length[mine]) * kind.itemsize
+            for i, s, e in zip(mine.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                out[i] = mark + blob[s:e]
+    return out
 
 
 def unpacked(x: bytes) -> np.ndarray:
@@ -67,23 +78,21 @@ def unpacked(x: bytes) -> np.ndarray:
 def postings(keys: list[int], texts: list[bytes]):
     """A shard's rows (term, n, places, counts); the first, without a term, has its documents."""
     order = sorted(range(len(keys)), key=keys.__getitem__)
-    found: dict[bytes, tuple[list[int], list[int]]] = {}
-    sizes = []
-    for place, i in enumerate(order):
-        count = Counter(terms_of(texts[i]))
-        sizes.append(count.total())
-        for term, n in count.items():
-            at = found.get(term)
-            if at is None:
-                found[term] = ([place], [n])
-            else:
-                at[0].append(place)
-                at[1].append(n)
+    number: dict[bytes, int] = defaultdict(count().__next__)
+    seen, sizes = array("q"), []
+    for i in order:
+        terms = terms_of(texts[i])
+        sizes.append(len(terms))
+        seen.extend(map(number.__getitem__, terms))
     sizes = np.array(sizes, np.int64)
-    yield None, int((sizes > 0).sum()), np.array([keys[i] for i in order], np.int64).tobytes(), packed(sizes)
-    for term in sorted(found):
-        places, counts = found[term]
-        yield term, len(places), packed(np.diff(np.array(places), prepend=0)), packed(np.array(counts))
+    at = np.repeat(np.arange(len(order)), sizes)
+    both, times = np.unique(np.frombuffer(seen, np.int64) * len(order) + at, return_counts=True)  # by term, then place
+    term, place = np.divmod(both, len(order))
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    gaps = np.diff(place, prepend=0)
+    gaps[starts] = place[starts]
+    yield None, int((sizes > 0).sum()), np.array([keys[i] for i in order], np.int64).tobytes(), packed(sizes, np.zeros(1, np.int64))[0]
+    yield from zip(number, np.diff(np.append(starts, len(both))).tolist(), packed(gaps, starts), packed(times, starts), strict=True)
 
 
 def _indexed(shard_bytes: int, shard_docs: int):
@@ -135,16 +144,17 @@ def best(lists: list[tuple[int, _List]], k: int) -> list[tuple[int, int]]:
     bound = [0]
     for w, x in lists:
         bound.append(bound[-1] + w * x.most)  # of this list and all before
-    pos, first, worst = [0] * len(lists), 0, 0
-    heap = [(at[i][0], i) for i in range(len(lists))]
+    pos, first, worst, n = [0] * len(lists), 0, 0, len(lists)
+    heap = [at[i][0] * n + i for i in range(n)]  # place and list as one number
     heapq.heapify(heap)
     found: list[tuple[int, int]] = []  # (score, -place): the worst is on top
-    while first < len(lists) and bound[first + 1] <= worst:
+    while first < n and bound[first + 1] <= worst:
         first += 1
-    while heap and first < len(lists):
-        place, score, brought = heap[0][0], 0, False
-        while heap and heap[0][0] == place:
-            i = heap[0][1]
+    while heap and first < n:
+        place, score, brought = heap[0] // n, 0, False
+        end = (place + 1) * n
+        while heap and heap[0] < end:
+            i = heap[0] % n
             if i < first:  # has left the merge
                 heapq.heappop(heap)
                 continue
@@ -153,7 +163,7 @@ def best(lists: list[tuple[int, _List]], k: int) -> list[tuple[int, int]]:
             brought = True
             pos[i] = p = p + 1
             if p < len(at[i]):
-                heapq.heapreplace(heap, (at[i][p], i))
+                heapq.heapreplace(heap, at[i][p] * n + i)
             else:
                 heapq.heappop(heap)
         if not brought:
@@ -171,7 +181,7 @@ def best(lists: list[tuple[int, _List]], k: int) -> list[tuple[int, int]]:
                     heapq.heappop(found)
                 if len(found) == k:
                     worst = found[0][0]
-                    while first < len(lists) and bound[first + 1] <= worst:
+                    while first < n and bound[first + 1] <= worst:
                         first += 1
     return [(s, -p) for s, p in found]
 
@@ -217,7 +227,7 @@ def search(postings: DataFrame, items: DataFrame, k: int = 20, item_col: str = "
     blocks = max(1, -(-n_items // block_items))
     q = q.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
     terms = q.select("block", "item", F.explode("terms").alias("_t")).groupBy("block", "item", F.encode("_t", "UTF-8").alias("term")).agg(F.count("*").alias("times"))
-    wanted = terms.select("block", "term").distinct()
+    wanted = C.stash(terms.select("block", "term").distinct(), "item-terms")
     mine = C.stash(postings.join(wanted, "term"), "item-postings")
     df = mine.select("term", "shard", "n").distinct().groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.floor(1000 * F.log((F.lit(2.0) * sizes["n"] + 2) / (F.lit(2.0) * F.col("df") + 1)))
@@ -229,7 +239,9 @@ def search(postings: DataFrame, items: DataFrame, k: int = 20, item_col: str = "
     salted = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     asked = shards.select("shard", "block", "salt").join(salted, ["block", "salt"]).select("shard", "block", "item", "terms", "weights")
     held = mine.select("shard", "block", "term", "places", "counts").union(shards.select("shard", "block", F.lit(None).cast("binary"), "places", "counts"))
-    hits = asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInArrow(_searched(k, sizes["n"], sizes["terms"]), "item long, key long, score long")
+    # as many tasks as set: the rows are few, but each shard is work
+    asked, held = (x.repartition(salts, "shard", "block").groupBy("shard", "block") for x in (asked, held))
+    hits = asked.cogroup(held).applyInArrow(_searched(k, sizes["n"], sizes["terms"]), "item long, key long, score long")
     ids = q.select("item", "_id")
     order = Window.partitionBy("item").orderBy(F.col("score").desc(), "key")
     ranked = hits.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -51,8 +51,9 @@ def test_merge_by_place_equals_sums():
 
 
 def test_packed_numbers():
-    for x in ([], [0], [255], [256, 1], [1 << 40, 3]):
-        assert ranked_search.unpacked(ranked_search.packed(np.array(x, np.int64))).tolist() == x
+    runs = [[0], [255], [256, 1], [3, 1 << 40], [7, 8, 9], [1 << 16]]
+    starts = np.cumsum([0, *map(len, runs[:-1])])
+    assert [ranked_search.unpacked(x).tolist() for x in ranked_search.packed(np.array(sum(runs, [])), starts)] == runs
 
 
 def test_search_of_nothing(spark, table):  # noqa: F811
