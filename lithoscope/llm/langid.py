@@ -7,10 +7,11 @@ three-grams of the text, with A-Z lower-cased, white space run together and digi
 and punctuation left out, hashed to `dims` places, rooted and scaled to length one.
 
 The model is fitted on the driver with a bounded sample of labelled rows: at most
-`per_lang` rows of each language, those with the smallest hash of id and text, of at most
-`most_langs` languages, those with the most rows (the bounds are these parameters; the
-executors keep them, also where many rows have one hash because they are the same row).
-Everything else runs over whole texts, without a shuffle.
+`per_lang` rows of each language, those with the smallest hash of id and text, and at most
+`most_rows` in all, in equal shares; every language that occurs is learned (the bounds are
+these parameters; the executors keep them, also where many rows have one hash because they
+are the same row).  More languages than `most_rows` are an error.  Everything else runs over
+whole texts, without a shuffle.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; rows
 without a language are not learned from; if no row can be learned from, all texts
@@ -142,16 +143,19 @@ def fit(x: np.ndarray, y: list[str], families=FAMILIES) -> Model:
     return m
 
 
-def train(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, most_langs: int = 64, dims: int = 4096, families=FAMILIES) -> Model:
-    """Fit on at most `per_lang` rows, chosen by hash of id and text, of each of the
-    `most_langs` languages with the most rows: at most `per_lang * most_langs` sparse vectors
-    come to the driver, however many rows, labels or copies of a row there are."""
+def train(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, most_rows: int = 51_200, dims: int = 4096, families=FAMILIES) -> Model:
+    """Fit on at most `per_lang` rows, chosen by hash of id and text, of each language: at
+    most `most_rows` sparse vectors come to the driver, however many rows, labels or copies
+    of a row there are."""
     C.ship(docs.sparkSession)
     x = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     x = x.select(F.col(lang_col).cast("string").alias("l"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("x"))
-    counts = x.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).orderBy(F.desc("n"), "l").limit(most_langs).collect()
+    counts = x.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).limit(most_rows + 1).collect()
     if not counts:
         return Model(dims)
+    if len(counts) > most_rows:
+        raise ValueError(f"more than {most_rows} languages: raise most_rows")
+    per_lang = min(per_lang, most_rows // len(counts))
     # About one and a half times the bound by distinct hashes, as copies of a row come or
     # stay away together; then exactly the smallest: each task keeps its own `per_lang`
     # smallest before any is shuffled.

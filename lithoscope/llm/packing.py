@@ -1,13 +1,16 @@
 """Best-fit packing of documents into sequences by hierarchical residual packing.
 
-Each partition encodes its documents, cuts those longer than a sequence, and packs
-the pieces best-fit, longest first, in blocks of bounded size.  Nearly full bins (at most
-`slack` free places) are done.  The others are items themselves, as long as what they
-hold, of the next round, where neighbouring tasks are merged into one: a tree whose inner
-nodes hold about `most_items` items each, however large the input.  Rounds go on until
-one task has packed all that is left, or until a round lowers the number of bins by less
-than a hundredth: then what is left fits nowhere among its neighbours, and stays as it is.
-There is no other cap on rounds, and no piece is ever left out.
+Tasks encode the documents that they read and cut those longer than a sequence.  The
+pieces, a few bytes each, are dealt to blocks of about `most_items` by a hash of their
+place in the input: whatever the order of the corpus, by source or by length, each block
+is a sample of all lengths.  A block packs its pieces best-fit, longest first.  Nearly
+full bins (at most `slack` free places) are done.  Of the others the emptiest go on to the
+next round, up to `most_items / fan` items: a bin that is all but full as one item, what
+a less full one holds as items of their own, since two halves glued to three quarters
+would fit nothing.  The rest found nothing to be filled with among a sample of
+everything, and are done.  In the next round `fan` neighbouring blocks meet in one: a tree
+that ends in one block, each node of which holds about `most_items` items, however large
+the input.  No piece is ever left out.
 
 Defined cases: a null or empty text is the closing token alone; repeated rows are
 packed each on their own, and so are rows without an id; an id that is no number is
@@ -34,7 +37,10 @@ from . import _common as C
 #: What a bin carries of a piece.
 PIECE = np.dtype([("k", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4"), ("offset", "<i4")])
 _PIECE = struct.Struct("<qiqiIi")  # the same
-_OUT = "done boolean, bin long, load int, members binary, task int"
+_ITEMS = "pos long, load int, members binary"
+_OUT = "done boolean, bin long, load int, members binary, node int"
+#: A bin that holds this share of a sequence goes on as one item.
+_WHOLE = 0.97
 _RUN = re.compile(r"\s{500}")
 
 
@@ -124,60 +130,65 @@ def piece_row(k: int, piece: int, start: int, length: int, crc: int) -> bytes:
     return _PIECE.pack(k, piece, start, length, crc, 0)
 
 
-def _packed(items: list[tuple[int, bytes]], most: int, slack: int, last: bool, number):
+def _glued(items: list[tuple[int, bytes]], of: list[int]) -> bytes:
+    """The members of some items, one after the other."""
+    if len(of) == 1:
+        return items[of[0]][1]
+    rows = np.frombuffer(b"".join([items[i][1] for i in of]), PIECE).copy()
+    starts = np.cumsum([0, *[items[i][0] for i in of[:-1]]])
+    rows["offset"] += np.repeat(starts, [len(items[i][1]) // PIECE.itemsize for i in of]).astype(np.int32)
+    return rows.tobytes()
+
+
+def _packed(items: list[tuple[int, bytes]], node: int, level: int, most: int, slack: int, hand_on: int):
+    """A block's bins that are done, and the items that it hands on."""
     bins, full = best_fit(np.array([n for n, _ in items], np.int64), most)
-    done, ids, loads, members = [], [], [], []
-    for b, load in zip(bins, full, strict=True):
-        if len(b) == 1:
-            made = items[b[0]][1]
+    out = []  # done, load, members
+    for b in sorted(range(len(bins)), key=full.__getitem__):
+        own = bins[b]
+        parts = 1 if full[b] >= _WHOLE * most else len(own)
+        if full[b] < most - slack and parts <= hand_on:
+            hand_on -= parts
+            out += [(False, full[b], _glued(items, own))] if parts == 1 else [(False, *items[i]) for i in own]
         else:
-            lengths = [items[i][0] for i in b]
-            rows = np.frombuffer(b"".join([items[i][1] for i in b]), PIECE).copy()
-            starts = np.cumsum([0, *lengths[:-1]])
-            rows["offset"] += np.repeat(starts, [len(items[i][1]) // PIECE.itemsize for i in b]).astype(np.int32)
-            made = rows.tobytes()
-        done.append(last or load >= most - slack)
-        ids.append(next(number))
-        loads.append(load)
-        members.append(made)
-    task = np.full(len(bins), TaskContext.get().partitionId(), np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(done, pa.bool_()), pa.array(ids, pa.int64()), pa.array(loads, pa.int32()), pa.array(members, pa.binary()), pa.array(task)], names=["done", "bin", "load", "members", "task"])
-
-
-def _numbers(level: int):
-    n = (level << 56) | (TaskContext.get().partitionId() << 32)
-    while True:
-        yield n
-        n += 1
+            out.append((True, full[b], _glued(items, own)))
+    number = (level << 56) + (node << 28)
+    cols = [[r[0] for r in out], list(range(number, number + len(out))), [r[1] for r in out], [r[2] for r in out], [node] * len(out)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.int32()], strict=True)], names=["done", "bin", "load", "members", "node"])
 
 
-def _first_round(path: str, end_id: int, most: int, slack: int, most_items: int):
+def _pieces(path: str, end_id: int, most: int):
+    """The pieces of each text, as items with a place in the input."""
+
     def run(batches):
-        enc, end, number, items = Encoder(path), np.array([end_id], "<u4").tobytes(), _numbers(0), []
+        enc, end, pos = Encoder(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 40
         for b in C.slices(batches):
+            loads, members = [], []
             for k, text in zip(b.column("_k").to_pylist(), C.text_bytes(b.column("_x")), strict=True):
                 ids = enc.encode(text.decode("utf-8")) + end
                 for piece, (s, n) in enumerate(cut(len(ids) // 4, most)):
-                    items.append((n, piece_row(k, piece, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]))))
-                if len(items) >= most_items:
-                    yield _packed(items, most, slack, False, number)
-                    items = []
-        if items:
-            yield _packed(items, most, slack, False, number)
+                    loads.append(n)
+                    members.append(piece_row(k, piece, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
+            yield pa.RecordBatch.from_arrays([pa.array(range(pos, pos + len(loads)), pa.int64()), pa.array(loads, pa.int32()), pa.array(members, pa.binary())], names=["pos", "load", "members"])
+            pos += len(loads)
 
     return run
 
 
-def _next_round(level: int, most: int, slack: int, last: bool, most_items: int):
+def _round(level: int, most: int, slack: int, hand_on: int):
+    """Rows come sorted by node."""
+
     def run(batches):
-        number, items = _numbers(level), []
+        node, items = None, []
         for b in batches:
-            items += zip(b.column("load").to_pylist(), b.column("members").to_pylist(), strict=True)
-            if len(items) >= 2 * most_items:
-                yield _packed(items, most, slack, last, number)
-                items = []
+            for at, load, members in zip(*[b.column(c).to_pylist() for c in ("node", "load", "members")], strict=True):
+                if at != node and items:
+                    yield _packed(items, node, level, most, slack, hand_on)
+                    items = []
+                node = at
+                items.append((load, members))
         if items:
-            yield _packed(items, most, slack, last, number)
+            yield _packed(items, node, level, most, slack, hand_on)
 
     return run
 
@@ -193,28 +204,24 @@ def _unpack(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["_k", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, most: int = 1024, slack: int = 2, most_items: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, most: int = 1024, slack: int = 2, most_items: int = 50_000, fan: int = 8) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     C.ship(spark)
     x = docs.select(C.key(id_col).alias("_k"), F.col(text_col).alias("_x"))
-    bins = C.stash(x.mapInArrow(_first_round(path, end_id, most, slack, most_items), _OUT), "bins")
-    done, left, level, last = [bins.where("done")], bins.where("NOT done"), 0, False
-    size = left.agg(F.count("*").alias("n"), F.max("task").alias("t")).first()
-    while size["n"] and not last:
-        level, before = level + 1, size["n"]
-        tasks = -(-before // most_items)
-        last = tasks == 1
-        # Neighbours meet in one node of the next level.
-        node = F.floor(F.col("task") * F.lit(tasks) / F.lit(size["t"] + 1)).cast("int")
-        items = left.select("load", "members", node.alias("node")).repartition(tasks, "node") if tasks > 1 else left.select("load", "members").coalesce(1)
-        bins = C.stash(items.select("load", "members").mapInArrow(_next_round(level, most, slack, last, most_items), _OUT), "bins")
+    items = C.stash(x.mapInArrow(_pieces(path, end_id, most), _ITEMS), "pieces")
+    nodes = max(1, -(-items.count() // most_items))
+    left, done, level = items.withColumn("node", F.pmod(F.xxhash64("pos"), F.lit(nodes)).cast("int")), [], 0
+    while True:
+        hand_on = 0 if nodes == 1 else most_items // fan
+        dealt = left.select("node", "load", "members").repartition(min(nodes, C.n_parts(spark)), "node").sortWithinPartitions("node", "load", "members")
+        bins = C.stash(dealt.mapInArrow(_round(level, most, slack, hand_on), _OUT), "bins")
         done.append(bins.where("done"))
-        left = bins.where("NOT done")
-        size = left.agg(F.count("*").alias("n"), F.max("task").alias("t")).first()
-        if not last and size["n"] > 0.99 * before:
-            done.append(left)
+        if nodes == 1:
             break
+        # Neighbours meet in one node of the next level.
+        nodes, level = -(-nodes // fan), level + 1
+        left = bins.where("NOT done").withColumn("node", F.floor(F.col("node") / fan).cast("int"))
     all_bins = done[0]
     for d in done[1:]:
         all_bins = all_bins.unionByName(d)

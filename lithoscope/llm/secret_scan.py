@@ -3,16 +3,16 @@
 Every text is searched for credentials in three fixed shapes and, with a wider
 net, for any long mixed token.  The values found are hashed, and each hash is
 counted over the whole corpus by distinct repositories and distinct owners.  A
-value that many owners hold is a widely copied example; one that a single owner
-holds, and that looks random, is live-looking.  The wider net adds a span only
-where its value is not widely copied.
+value that many owners hold, or very many repositories of whatever owners, is a
+widely copied example; one that a single owner holds in fewer, and that looks random,
+is live-looking.  The wider net adds a span only where its value is not widely copied.
 
 The scan writes a table in which every row has a number of its own; what is found
 later comes back by that number, and only to rows that hold a candidate, so neither
 ids that are null or repeat nor copies of a row meet in one place.
 
-Defined cases: a null text is empty and has no spans; a null owner is one owner
-of its own; rows with equal id and text each get the same result; ids may be of any
+Defined cases: a null text is empty and has no spans; null owners are one owner, the
+same as one of an empty name, and so are null repositories; rows with equal id and text each get the same result; ids may be of any
 type that casts to long; a very long text is scanned whole, in one task; an empty
 table gives an empty result; other columns are ignored by the scan, whatever their
 names, and go through `redact` unchanged.
@@ -101,15 +101,15 @@ def _scan(text: int, keep: int, least_bits: float):
     return run
 
 
-def _candidates(scanned: DataFrame, example_owners: int) -> DataFrame:
-    """_row, start, kind, end, class of every span that counts."""
+def _candidates(scanned: DataFrame, example_owners: int, example_repos: int) -> DataFrame:
+    """_row, start, kind, end, class, owners, repos of every span that counts."""
     occ = scanned.where(F.size("found") > 0).select("_row", "owner", "repo", F.explode("found").alias("f")).select("_row", "owner", "repo", "f.*")
     freq = C.stash(ownership(occ), "owners")
     # A value that many rows hold meets one row: Spark splits such a join.
-    seen = occ.select("_row", "start", "kind", "end", "hash", "live").join(freq.select("hash", "owners"), "hash")
-    kind = F.when(F.col("owners") >= example_owners, "example").when((F.col("owners") == 1) & F.col("live"), "live").otherwise("shared")
+    seen = occ.select("_row", "start", "kind", "end", "hash", "live").join(freq.select("hash", "owners", "repos"), "hash")
+    kind = F.when((F.col("owners") >= example_owners) | (F.col("repos") >= example_repos), "example").when((F.col("owners") == 1) & F.col("live"), "live").otherwise("shared")
     seen = seen.withColumn("class", kind).where((F.col("kind") < 3) | (F.col("live") & (F.col("class") != "example")))
-    return seen.select("_row", "start", "kind", "end", "class")
+    return seen.select("_row", "start", "kind", "end", "class", "owners", "repos")
 
 
 def _named(owner_col: str, repo_col: str) -> list:
@@ -124,17 +124,18 @@ def ownership(found: DataFrame) -> DataFrame:
     return per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = 5, least_bits: float = 3.0) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = 5, example_repos: int = 1000, least_bits: float = 3.0) -> DataFrame:
     """One row per row of docs: `id_col`, n_assign, n_access, n_hex, base_sha256,
-    spans (array of start, kind, end, class) and n_live, n_shared, n_example.
+    spans (array of start, kind, end, class, owners, repos) and n_live, n_shared, n_example.
 
-    class: `example` if `example_owners` or more distinct owners hold the value,
-    `live` if one owner holds it and it looks random, else `shared`."""
+    class: `example` if `example_owners` or more distinct owners or `example_repos` or
+    more distinct repositories hold the value, `live` if one owner holds it and it looks
+    random, else `shared`; owners and repos are how many hold it."""
     C.ship(docs.sparkSession)
     src = docs.select(F.monotonically_increasing_id().alias("_row"), C.key(id_col).alias("_k"), *_named(owner_col, repo_col), F.col(text_col).alias("_x"))
     scanned = C.stash(src.mapInArrow(_scan(4, 4, least_bits), f"_row long, _k long, owner string, repo string, {_DDL}"), "secrets")  # without texts: a small table
-    per_row = _candidates(scanned, example_owners).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "class"))).alias("spans"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,class:string>>")
+    per_row = _candidates(scanned, example_owners, example_repos).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "class", "owners", "repos"))).alias("spans"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,class:string,owners:bigint,repos:bigint>>")
     some = scanned.where(F.size("found") > 0).join(per_row, "_row", "left").withColumn("spans", F.coalesce("spans", none))
     out = some.unionByName(scanned.where(F.size("found") == 0).withColumn("spans", none))
     n = lambda c: F.size(F.filter("spans", lambda s: s["class"] == c)).cast("long").alias(f"n_{c}")
@@ -146,7 +147,7 @@ def span_text(spans: str) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "<SECRET>", example_owners: int = 5, least_bits: float = 3.0) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "<SECRET>", example_owners: int = 5, example_repos: int = 1000, least_bits: float = 3.0) -> DataFrame:
     """docs with every span that is not a widely copied example replaced by
     `mark`; overlapping spans become one mark.  A null text stays null.
 
@@ -157,7 +158,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     src = docs.select(F.monotonically_increasing_id().alias("_row"), *_named(owner_col, repo_col), *[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
     scanned = C.stash(src.mapInArrow(_scan(3 + t, 3 + n, least_bits), f"_row long, owner string, repo string, {kinds}, {_DDL}"), "secrets")
-    spans = _candidates(scanned, example_owners).where("class <> 'example'").groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    spans = _candidates(scanned, example_owners, example_repos).where("class <> 'example'").groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     cols = [f"c{i}" for i in range(n)]
 
     def run(batches):

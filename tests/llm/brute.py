@@ -32,9 +32,9 @@ def secrets(docs):
     return out
 
 
-def classes(rows, example_owners=5, least_bits=3.0):
+def classes(rows, example_owners=5, least_bits=3.0, example_repos=1000):
     """doc_id to its spans (start, kind, end, class), from (doc_id, text, owner) rows."""
-    found, owners = {}, defaultdict(set)
+    found, owners, repos = {}, defaultdict(set), defaultdict(set)
     for d, t, o in rows:
         t = t or ""
         base = [(m.start(), 0, m.end(), m[2]) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
@@ -45,6 +45,7 @@ def classes(rows, example_owners=5, least_bits=3.0):
         found[d] = sorted(base + wide)
         for x in found[d]:
             owners[x[3]].add(o or "")
+            repos[x[3]].add(d)
 
     def random_looking(v):
         bits = -sum(v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in set(v))
@@ -55,7 +56,7 @@ def classes(rows, example_owners=5, least_bits=3.0):
         out[d] = []
         for s, k, e, v in xs:
             n, live = len(owners[v]), random_looking(v)
-            c = "example" if n >= example_owners else "live" if n == 1 and live else "shared"
+            c = "example" if n >= example_owners or len(repos[v]) >= example_repos else "live" if n == 1 and live else "shared"
             if k < 3 or (live and c != "example"):
                 out[d].append((s, k, e, c))
     return out

@@ -83,6 +83,15 @@ def test_widely_copied_example_adds_no_span(spark):
     assert sorted((r.doc_id, r.s, r.n_live) for r in got) == [*[(i, "", 0) for i in range(6)], *[(9, "token:4:26", 1)] * 2]
 
 
+def test_many_repositories_of_one_owner(spark):
+    """A value in many repositories is an example, whoever owns them; in few it is live."""
+    rows = [(i, "see Zx81kQp0aB72mNcL9dTu4V there", "owner") for i in range(7)] + [(20 + i, "see Qw93kQp0aB72mNcL9eRs5W there", "owner") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: [(x["class"], x.owners, x.repos) for x in r.spans] for r in secret_scan.scan_secrets(df, example_repos=7).collect()}
+    assert got == {**{i: [] for i in range(7)}, **{20 + i: [("live", 1, 6)] for i in range(6)}}
+    assert {r.doc_id: r.text for r in secret_scan.redact(df, example_repos=7).collect()} == {d: t if d < 20 else "see <SECRET> there" for d, t, _ in rows}
+
+
 def test_redact_masks_what_is_not_an_example(spark):
     rows = [(i, "password=hunter2hunter2 x", f"o{i}") for i in range(5)] + [(7, "a token = \"f00ba4f00ba4f00b\" b", "o1"), (None, None, None)]
     out = secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, source string"))
@@ -171,13 +180,38 @@ def test_packing(docs):
     assert len(bins) <= 1.01 * total / 1024 + 2
 
 
-def test_packing_in_many_rounds(table):
-    path = queries.tokenizer("byte_bpe_50k.json")
-    rows = packing.pack(table.repartition(6), path, most_items=16).collect()
+def _used(rows):
     used = defaultdict(int)
     for r in rows:
         used[r.sequence_id] += r.length
-    assert max(used.values()) <= 1024 and len(used) <= 1.2 * sum(used.values()) / 1024
+    return used
+
+
+def test_packing_in_many_rounds(table):
+    path = queries.tokenizer("byte_bpe_50k.json")
+    rows = packing.pack(table.repartition(6), path, most_items=16, fan=2).collect()
+    used, whole = _used(rows), len(_used(packing.pack(table, path).collect()))
+    assert max(used.values()) <= 1024 and len(used) <= 1.05 * whole
+
+
+@pytest.mark.parametrize("order", ["by length", "shuffled"])
+@pytest.mark.parametrize("kind", ["two lengths", "many lengths"])
+def test_packing_of_ordered_lengths(spark, order, kind):
+    """Corpora ordered by length, in small blocks and three levels of the tree."""
+    import random
+
+    rng = random.Random(2)
+    lengths = [600] * 2000 + [424] * 2000 if kind == "two lengths" else [rng.randint(20, 900) for _ in range(4000)]
+    least = -(-sum(lengths) // 1024)
+    lengths = sorted(lengths, reverse=True)
+    if order == "shuffled":
+        rng.shuffle(lengths)
+    # " a" is one token, and each text ends with one more
+    df = spark.createDataFrame([(i, " a" * (n - 1)) for i, n in enumerate(lengths)], "doc_id long, text string").repartitionByRange(8, "doc_id")
+    rows = packing.pack(df, queries.tokenizer("byte_bpe_50k.json"), most_items=250).collect()
+    used = _used(rows)
+    assert sorted(r.length for r in rows) == sorted(lengths) and max(used.values()) <= 1024
+    assert len(used) <= 1.02 * least
 
 
 def test_language_of_held_out_documents(spark, table):
@@ -190,16 +224,19 @@ def test_language_of_held_out_documents(spark, table):
 
 
 def test_language_without_an_id_and_with_many_labels(spark):
-    """No id: not held out, and learned from.  Of many labels those with the most rows count."""
+    """No id: not held out, and learned from.  Every label is learned, also of seventy."""
     from pyspark.sql import functions as F
 
-    rows = [(None, "the cat and the dog " * 3, "en")] * 3 + [(i, "le chat et le chien " * 3, "fr") for i in range(8)] + [(100 + i, "zz yy xx", f"label{i}") for i in range(20)]
+    rows = [(None, "the cat and the dog " * 3, "en")] * 3 + [(i, "le chat et le chien " * 3, "fr") for i in range(8)] + [(100 + 10 * i + j, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q " * 5, f"label{i:02}") for i in range(70) for j in range(4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r[0] for r in df.where("doc_id IS NULL").select(langid.fold() == 2).collect()} == {False}
-    model = langid.train(df, langid.fold() != 2, most_langs=2)
-    assert sorted(l for ls in model.languages.values() for l in ls) == ["en", "fr"]
-    got = langid.predict(df, model).where(F.col("lang").isin("en", "fr")).collect()
-    assert all(r.lang_pred == r.lang for r in got)
+    learned = {r[0] for r in df.where(langid.fold() != 2).select("lang").distinct().collect()}
+    model = langid.train(df, langid.fold() != 2, most_rows=150)
+    assert {l for ls in model.languages.values() for l in ls} == learned and len(learned) > 60
+    got = langid.predict(df, model).where(F.col("lang").isin(*learned)).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(df, langid.fold() != 2, most_rows=20)
 
 
 def test_language_sample_is_bounded_where_one_row_repeats(spark):

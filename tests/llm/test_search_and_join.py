@@ -116,8 +116,8 @@ def test_pigeonhole_holds():
             (a, x), (b, y) = parity_join.keys_of(s, bands), parity_join.keys_of(t, bands)
             if not np.array_equal(s, t):
                 assert len(np.intersect1d(x, y)), (n, most)
-            far = parity_join._shared(bands, (len(s), len(t)), tuple(k[0].tobytes() for k in (a, b)), tuple((k + [np.zeros(0)])[1].tobytes() for k in (a, b)))
-            assert far is not None and far[1] <= len(s) + len(t) - 2 * both <= bands.apart(len(s) + len(t))
+            far = parity_join.distance(bands, (len(s), len(t)), tuple(k[0].tobytes() for k in (a, b)), tuple((k + [np.zeros(0)])[1].tobytes() for k in (a, b)))
+            assert far is not None and far <= len(s) + len(t) - 2 * both <= bands.apart(len(s) + len(t))
             rare += 1
     assert rare > 2000
 
