@@ -4,7 +4,10 @@ Each stage works on all rows the one before kept.  A stage reads `docs` more tha
 once, which is why run() writes what a stage returns and reads it again.  A table
 needs `doc_id` and `text`; of the other columns of documents what is missing is null,
 and further columns are dropped.  Ids may be null or repeat: where a stage needs to
-tell rows apart, it makes keys of its own, so that no row is lost for its id."""
+tell rows apart, it makes keys of its own, so that no row is lost for its id.  A very
+long text is one row of one task in every stage, read whole; of equal texts, and of
+equally near ones, the smallest key stays, so that ties are decided alike on every run;
+an empty table gives empty stages."""
 
 from __future__ import annotations
 
@@ -13,7 +16,8 @@ from pyspark.sql import functions as F
 
 from lithoscope.llm import _common, exact_dedup, langid, minhash_dedup, packing, queries, secret_scan
 
-#: Below it the predicted language is less likely than another one.
+#: Documents whose prediction scores less are rejected.  A score is the product of two
+#: logistic values, of the family's margin and of the language's within it, and no probability.
 LEAST_SCORE = 0.5
 _TYPES = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 COLUMNS = tuple(_TYPES)

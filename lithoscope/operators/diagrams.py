@@ -239,6 +239,12 @@ def handlers(endpoints: DataFrame, functions: DataFrame, width: int = 16) -> Dat
     return near.unionByName(wide).select(*cols, "h.name", "h.parent_class")
 
 
+def shown_methods(nodes: DataFrame, most: int = 10) -> DataFrame:
+    """Nodes of the class diagram with the methods that are shown, and how many more there are."""
+    m = F.coalesce(F.from_json(F.col("data")["methods"], "array<string>"), F.array().cast("array<string>"))
+    return nodes.select("job_id", "id", F.slice(m, 1, most).alias("shown"), F.greatest(F.lit(0), F.size(m) - most).alias("more"))
+
+
 def walk(start: str, calls: dict[str, list[str]], depth: int = V.FLOW_DEPTH) -> list[tuple[str, str, int]]:
     """(from, to, step) depth first; a function is entered once."""
     out, seen = [], {start}

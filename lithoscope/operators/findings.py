@@ -38,6 +38,13 @@ def by_category(findings: DataFrame) -> DataFrame:
     return findings.groupBy("job_id", "analyzer", "category").agg(F.count("*").alias("n"))
 
 
+def tab_counts(matches: DataFrame, violations: DataFrame, findings: DataFrame) -> DataFrame:
+    """job_id, tab, n: how many rows each list of results has, in the order they are shown."""
+    count = lambda df, tab: df.groupBy("job_id").agg(F.count("*").alias("n")).select("job_id", F.lit(tab).alias("tab"), "n")
+    tabs = [count(matches, "patterns"), count(violations, "solid"), *[count(findings.where(F.col("analyzer") == a), a) for a in ("quality", "security", "performance")]]
+    return _union(tabs)
+
+
 def with_method_counts(code: Code) -> DataFrame:
     """Classes with the number, and the lower-case names, of their file's methods."""
     m = code.functions.where("parent_class IS NOT NULL").groupBy("job_id", "path", F.col("parent_class").alias("name")).agg(F.count("*").alias("methods"), F.collect_set(F.lower("name")).alias("method_names"))
@@ -105,7 +112,6 @@ def duplicate_blocks(sources: DataFrame, lines: int = V.BLOCK_LINES) -> DataFram
     stands in two or more.  Places are pre-aggregated by file before the shuffle, and
     only three are kept, however many files share a block."""
     b = blocks(sources, lines)
-    place = F.struct(F.col("path").alias("file"), "line")
     g = b.groupBy("job_id", "digest", "path").agg(F.count("*").alias("n"), F.min(F.struct("file_seq", "line")).alias("first"), F.slice(F.array_sort(F.collect_list("line")), 1, 3).alias("ls"))
     g = g.select("job_id", "digest", "n", "first", F.transform("ls", lambda l: F.struct(F.col("path").alias("file"), l.alias("line"))).alias("ps"))
     # Two steps by salt: no task gathers the places of a block that very many files share.
@@ -113,7 +119,6 @@ def duplicate_blocks(sources: DataFrame, lines: int = V.BLOCK_LINES) -> DataFram
     cut = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, 3)
     once = salted.groupBy("job_id", "digest", "s").agg(F.sum("n").alias("n"), F.min("first").alias("first"), cut("ps").alias("ps"))
     out = once.groupBy("job_id", "digest").agg(F.sum("n").alias("n"), F.min("first").alias("first_seen"), cut("ps").alias("at"))
-    del place
     return out.where("n > 1")
 
 

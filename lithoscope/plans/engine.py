@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.udf import ship
-from ..operators import api_surface, architecture, database, design, diagrams, ecosystem, findings, graph, parsing, report, retrieval, scoring, summary
-from ..sources import repo
+from ..operators import api_surface, architecture, database, design, diagrams, ecosystem, findings, graph, parsing, report, retrieval, scoring, semantic, summary
+from ..sources import archive, repo
 from ..sources.store import Store
 
 
@@ -26,11 +26,12 @@ class Settings:
     max_file_bytes: int = 1_000_000
     top_k: int = 6
     workers: int = 2  # jobs at a time of those submitted
+    semantic: bool = False  # vectors of each job's own latent semantic space
 
 #: Tables that hold a job's results.
 TABLES = (
     "parsed", "files", "symbols", "imports", "nodes", "edges", "tables", "relationships", "endpoints", "architecture", "findings", "metrics", "violations", "patterns",
-    "summary", "folders", "api_surface", "scores", "diagram_nodes", "diagram_edges", "chunks", "reports",
+    "summary", "folders", "api_surface", "scores", "diagram_nodes", "diagram_edges", "chunks", "reports", "words", "vectors",
 )
 
 
@@ -133,10 +134,14 @@ class Engine:
         log("running", "ingest")
         workspace, staging = tempfile.mkdtemp(prefix="lithoscope"), None
         try:
-            root = repo.open_repo(source, workspace)
-            if self._kind(source) != "local":  # the driver's own files
+            limits = {"max_files": self.settings.max_files, "max_bytes": self.settings.max_file_bytes}
+            if self._kind(source) == "local":
+                raw = repo.read_files(self.spark, repo.local_dir(source), job, **limits)
+            else:  # the driver's own: one archive, which the executors unpack
+                packed = Path(source) if self._kind(source) == "zip" else repo.pack_clone(repo.clone_git(source, Path(workspace)), Path(workspace) / "clone.zip")
                 staging = self.store.path(f"staging/{job}")
-            raw = repo.read_files(self.spark, root, job, max_files=self.settings.max_files, max_bytes=self.settings.max_file_bytes, staging=staging)
+                repo.stage(self.spark, packed, f"{staging}/{job}.zip")
+                raw = archive.read_archives(self.spark, staging, job, **limits).repartition("path")
             log("running", "parse")
             self.store.write("parsed", parsing.parse_files(repo.files(raw)), job)
             parsed = self.store.read("parsed", job)
@@ -146,7 +151,10 @@ class Engine:
                 self.store.write(table, df, job)
                 return self.store.read(table, job)
 
-            analyze(parsed, keep, self.embedder)
+            chunks = analyze(parsed, keep, self.embedder)["chunks"]
+            if self.settings.semantic:
+                log("running", "embed")
+                keep("vectors", semantic.embed(chunks, keep("words", semantic.fit(chunks))))
             log("running", "report")
             text = report.synthesize(self._name(source, name), self._facts(job), self.model)
             self.store.write("reports", self.spark.createDataFrame([(job, text)], "job_id string, report_markdown string"), job)
@@ -220,8 +228,14 @@ class Engine:
     def ask(self, job: str, question: str, history: list[dict] | None = None) -> tuple[str, list[dict]]:
         """(answer, sources): a model's answer about the nearest chunks, or the chunks."""
         row = self.store.done_job(job)
-        q = self.embedder.embed([question])[0].tolist()
-        hits = [r.asDict() for r in retrieval.nearest(self.store.read("chunks", job), q, self.settings.top_k).collect()]
+        chunks = self.store.read("chunks", job)
+        if self.settings.semantic:
+            chunks = chunks.drop("embedding").join(self.store.read("vectors", job).drop("job_id"), "chunk_id").where("embedding IS NOT NULL")
+            asked = self.spark.createDataFrame([("question", question)], "chunk_id string, text string")
+            q = semantic.embed(asked, self.store.read("words", job)).first().embedding
+        else:
+            q = self.embedder.embed([question])[0].tolist()
+        hits = [r.asDict() for r in retrieval.nearest(chunks, q, self.settings.top_k).collect()] if q else []
         sources = [{k: h[k] for k in ("file", "start_line", "end_line", "symbol")} for h in hits]
         if self.model is None or not self.model.is_available:
             return retrieval.fallback_answer(hits), sources

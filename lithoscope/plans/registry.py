@@ -613,4 +613,4 @@ def _(spark, sf_dir):
     return scoring.bands(x).select("job_id", "score", "band")
 
 
-from . import checks  # noqa: E402, F401  (adds its queries)
+from . import cases, checks  # noqa: E402, F401  (add their queries)

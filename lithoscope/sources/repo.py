@@ -1,10 +1,9 @@
 """Repositories as tables: a directory, a ZIP archive or a git URL.
 
-The driver lists names only and prunes ignored directories before descending; the
-executors read the contents and leave out binary ones.  A directory must be one that the
-executors see too; what the driver unpacks or clones is first copied, under numbers
-for names, to a folder that Spark reads (`stage`): its file source hides names that
-begin with a dot or an underscore."""
+Of a directory the driver lists names only and prunes ignored directories before
+descending; the executors, which must see it too, read the contents and leave out binary
+ones.  Archives are read by the executors (archive.py); a clone, which is the driver's
+own, is packed into one by git."""
 
 from __future__ import annotations
 
@@ -98,13 +97,24 @@ def list_files(root: Path, max_files: int | None = None, max_bytes: int = V.MAX_
     return sorted(found)[:max_files]
 
 
-def stage(spark: SparkSession, listed: list[tuple[str, str, int]], folder: str) -> None:
-    """Copies the driver's files to a shared folder, each under its number."""
+def pack_clone(clone: Path, to: Path) -> Path:
+    """The files of a clone as one archive."""
+    try:
+        subprocess.run(["git", "-C", str(clone), "archive", "--format=zip", "-o", str(to), "HEAD"], check=True, capture_output=True, text=True)
+    except (OSError, subprocess.CalledProcessError) as e:
+        raise IngestError(f"can't pack {clone}: {getattr(e, 'stderr', '') or e}") from e
+    return to
+
+
+def stage(spark: SparkSession, archive: Path, to: str) -> None:
+    """Copies one archive of the driver's to a folder that the executors read."""
+    if not archive.is_file():
+        raise IngestError(f"no such archive: {archive}")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop.Path(folder))
-    for i, (_, at, _) in enumerate(listed):
-        fs.copyFromLocalFile(False, True, hadoop.Path(f"file://{os.path.abspath(at)}"), hadoop.Path(f"{folder}/{i}.raw"))
+    path = hadoop.Path(to)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path.getParent())
+    fs.copyFromLocalFile(False, True, hadoop.Path(f"file://{archive.absolute()}"), path)
 
 
 def unstage(spark: SparkSession, folder: str) -> None:
@@ -113,9 +123,9 @@ def unstage(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def read_files(spark: SparkSession, root: Path, job_id: str, max_files: int = V.MAX_FILES, max_bytes: int = V.MAX_FILE_BYTES, staging: str | None = None) -> DataFrame:
-    """RAW rows: of a directory that driver and executors share or, with `staging`, of the
-    driver's own, copied to that folder first.  The first `max_files` text files count."""
+def read_files(spark: SparkSession, root: Path, job_id: str, max_files: int = V.MAX_FILES, max_bytes: int = V.MAX_FILE_BYTES) -> DataFrame:
+    """RAW rows of a directory that driver and executors share.  The first `max_files`
+    text files count."""
     rows = [(job_id, i, p, a, n) for i, (p, a, n) in enumerate(list_files(root, max_bytes=max_bytes))]
     names = spark.createDataFrame(rows, "job_id string, file_seq long, path string, abs_path string, size_bytes long")
 
@@ -125,12 +135,7 @@ def read_files(spark: SparkSession, root: Path, job_id: str, max_files: int = V.
                 part = b.slice(i, 64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([Path(p).read_bytes() for p in part.column("abs_path").to_pylist()], pa.binary())], names=[*part.schema.names, "content"])
 
-    if staging and rows:
-        stage(spark, [r[2:] for r in rows], staging)
-        number = F.regexp_extract(F.col("path"), r"(\d+)\.raw$", 1).cast("long")
-        raw = names.join(spark.read.format("binaryFile").load(staging).select(number.alias("file_seq"), "content"), "file_seq").select("job_id", "file_seq", "path", "abs_path", "size_bytes", "content")
-    else:
-        raw = names.repartition(max(1, min(len(rows) // 200 + 1, 200))).mapInArrow(read, RAW)
+    raw = names.repartition(max(1, min(len(rows) // 200 + 1, 200))).mapInArrow(read, RAW)
     return raw if len(rows) <= max_files else raw.where(T.is_text(F.col("content"))).orderBy("file_seq").limit(max_files)
 
 

@@ -4,6 +4,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 from lithoscope.errors import ExportFormatError, IngestError, NotFound, NotReady
 from lithoscope.operators import diagrams, parsing, report, retrieval, summary
 from lithoscope.plans.engine import Engine, Settings
@@ -261,10 +262,33 @@ def test_binary_files_are_left_out_where_they_are_read(spark, root):
     assert [r.path for r in few.orderBy("file_seq").collect()] == [r.path for r in repo.files(raw).orderBy("file_seq").limit(4).collect()]
 
 
-def test_staged_files_are_the_same(spark, root, tmp_path):
+def test_archives_are_the_same_as_directories(spark, root, tmp_path):
+    """Also where one folder wraps all, and with a cap on files."""
+    from lithoscope.functions import text as T
+    from lithoscope.sources import archive
+
     cols = ["file_seq", "path", "size_bytes", "content"]
-    plain, staged = (sorted(map(tuple, repo.read_files(spark, root, "j", staging=s).select(cols).collect())) for s in (None, f"file://{tmp_path}/staging"))
-    assert plain == staged and any(r[1].startswith(".github/") for r in staged)
+    for wrap in ("", "top/"):
+        with zipfile.ZipFile(tmp_path / "a b.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*")):
+                z.write(p, wrap + p.relative_to(root).as_posix())
+        read = archive.read_archives(spark, f"file://{tmp_path}/*.zip")
+        plain = sorted(map(tuple, repo.read_files(spark, root, "j").where(T.is_text(F.col("content"))).select(cols).collect()))
+        assert sorted(map(tuple, read.select(cols).collect())) == plain and any(r[1].startswith(".github/") for r in plain)
+        assert {r.job_id for r in read.collect()} == {"a b"}
+        few = archive.read_archives(spark, f"file://{tmp_path}/*.zip", "j", max_files=3, max_bytes=5000)
+        assert [r.path for r in few.orderBy("path").collect()] == [r[1] for r in plain if r[2] <= 5000][:3]
+
+
+def test_archives_that_cannot_be_read(spark, tmp_path):
+    from lithoscope.sources import archive
+
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    with zipfile.ZipFile(tmp_path / "evil.zip", "w") as z:
+        z.writestr("../repo-evil/x", "1")
+    for name, why in (("bad", "not a ZIP"), ("evil", "unsafe path")):
+        with pytest.raises(Exception, match=why):
+            archive.read_archives(spark, f"file://{tmp_path}/{name}.zip").collect()
 
 
 class Lengths:
