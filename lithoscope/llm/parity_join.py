@@ -19,12 +19,18 @@
    any length is cut over partitions.  A list of at most `LONG` members within a
    partition gives its pairs; members of a longer one are paired with its least and
    its largest node.
-6. A candidate passes if the Hamming distance allows the limit, and is then verified on
-   the full sets, made again from the texts.  First each node's least partner is tried;
-   then pairs whose ends are not yet connected; then, of long lists, who is not in the
-   component of most of the list, with the members of other components whose distance
-   from the list's pivot allows the limit (the distance is a metric).  Pairs within a
-   component need no test: the result is components.
+6. A candidate passes if the Hamming distances allow the limit, of a small sketch first,
+   so that few large ones are sent, and is then verified on the full sets, made again from
+   the texts.  First each node's least partner is tried,
+   then pairs whose ends are not yet connected.  Pairs within a component need no test:
+   the result is components.
+7. Long lists whose members are still in several components hold templates with too many
+   differences.  Their members are searched once more, exactly: shingles that none other of
+   them holds use up the differences that a node may have, and who has too many has no
+   partner.  So each goes, rarest shingle first, on the lists of its prefix, where partners
+   must meet; of these again short lists give their pairs, and of long ones who is not
+   in the component of most of the list is compared with the members of others, where
+   sizes and places allow the limit.
 
 Defined cases: without a word or text a set is empty, linked with nothing; with fewer
 words than a shingle the whole sequence is the one shingle; rows that repeat an id are
@@ -45,10 +51,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
-from .minhash_dedup import _contract, _digest, _runs, _Search, _verify, sets_of
+from .minhash_dedup import _contract, _digest, _placed_pairs, _runs, _Search, _verify, sets_of
 
-#: Least shingles of a block that is keyed, and most members of a list that gives all pairs.
-FEW, LONG = 2, 32
+#: Least shingles of a block that is keyed, most members of a list that gives all pairs, and
+#: words of a small sketch of the whole set, the same for all bands.
+FEW, LONG, SMALL = 2, 16, 8
 _ROWS = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 _UPPER = [np.triu_indices(k, 1) for k in range(LONG + 1)]
 
@@ -114,6 +121,13 @@ def parity(s: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return cut_xor(np.uint64(1) << (s & np.uint64(63)), ends), ends
 
 
+def small(s: np.ndarray) -> np.ndarray:
+    """A parity sketch of `SMALL` words, whatever the size of the set."""
+    out = np.zeros(SMALL, np.uint64)
+    np.bitwise_xor.at(out, (s >> np.uint64(8)) % np.uint64(SMALL), np.uint64(1) << (s & np.uint64(63)))
+    return out
+
+
 def keys_of(s: np.ndarray, bands: Bands) -> tuple[list[np.ndarray], np.ndarray]:
     """A set's sketch for each of its bands, and the keys by which partners meet it."""
     n, sketches, keys, rare = len(s), [], [], False
@@ -145,11 +159,11 @@ def _sketches(shingle: int, bands: Bands):
                 for s in sets_of(texts[i:j], shingle):
                     made, keys = keys_of(s, bands) if len(s) else ([], s)
                     home, visit = [*(x.tobytes() for x in made), b"", b""][:2]
-                    rows.append((len(s), *_digest(s), home, visit, keys.tobytes()))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64()] * 3 + [pa.binary()] * 3
+                    rows.append((len(s), *_digest(s), small(s).tobytes(), home, visit, keys.tobytes()))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = [pa.int64()] * 3 + [pa.binary()] * 4
             made = [pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("_k"), *made], names=["_k", "n", "d1", "d2", "home", "visit", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("_k"), *made], names=["_k", "n", "d1", "d2", "small", "home", "visit", "keys"])
 
     return run
 
@@ -204,29 +218,31 @@ def _listed(num: int, den: int):
     return run
 
 
-def _shared(bands: Bands, n: tuple[int, int], home: tuple[bytes, bytes], visit: tuple[bytes, bytes]) -> tuple[int, int] | None:
-    """The larger band of two nodes and the Hamming distance of their sketches there;
-    None if one has no sketch there."""
+def distance(bands: Bands, n: tuple[int, int], home: tuple[bytes, bytes], visit: tuple[bytes, bytes]) -> int | None:
+    """The Hamming distance of two nodes' sketches of the larger one's band; None if one
+    has no sketch there."""
     own = [bands.of(x) for x in n]
     x, y = (home[i] if own[i] == max(own) else visit[i] if own[i] + 1 == max(own) else b"" for i in (0, 1))
-    if not x or not y:
-        return None
-    return max(own), int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum())
+    return int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()) if x and y else None
+
 
+def _allowed(bands: Bands, whole: bool):
+    """Pairs whose Hamming distance allows them to pass: that of the sketches of their band
+    or, unless whole, of the small ones."""
 
-def _allowed(bands: Bands, keep_all: bool):
-    """Pairs with their Hamming distance, and in which band it is; unless keep_all, only
-    those that it allows to pass."""
+    def near(n: int, m: int, *sketches: bytes) -> bool:
+        if whole:
+            far = distance(bands, (n, m), sketches[:2], sketches[2:])
+        else:
+            far = int(np.bitwise_count(np.frombuffer(sketches[0], np.uint64) ^ np.frombuffer(sketches[1], np.uint64)).sum())
+        return far is not None and far <= bands.apart(n + m)
+
+    names = ["n_a", "n_b", *(("home_a", "home_b", "visit_a", "visit_b") if whole else ("small_a", "small_b"))]
 
     def run(batches):
         for b in C.slices(batches):
-            cols = [b.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "home_a", "home_b", "visit_a", "visit_b")]
-            out = []
-            for x, y, n, m, *sketches in zip(*cols, strict=True):
-                far = _shared(bands, (n, m), tuple(sketches[:2]), tuple(sketches[2:]))
-                if far and (keep_all or far[1] <= bands.apart(n + m)):
-                    out.append((x, y, *far))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["a", "b", "band", "h"])
+            keep = [near(*x) for x in zip(*[b.column(c).to_pylist() for c in names], strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -237,21 +253,24 @@ class _Join:
     def __init__(self, docs: DataFrame, nodes: DataFrame, shingle: int, bands: Bands):
         self.docs, self.nodes, self.shingle, self.bands = docs, nodes, shingle, bands
         self.parts = C.n_parts(docs.sparkSession)
-        self.components = _Search(docs, nodes, shingle, bands.num, bands.den).components
+        self.search = _Search(docs, nodes, shingle, bands.num, bands.den)
+
+    def allowed(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes and sketches allow the limit."""
+        x = self._with(pairs, "n", "small").where(F.least("n_a", "n_b") * self.bands.den >= F.greatest("n_a", "n_b") * self.bands.num)
+        x = x.mapInArrow(_allowed(self.bands, False), "a long, b long").distinct()
+        return self._with(x, "n", "home", "visit").mapInArrow(_allowed(self.bands, True), "a long, b long")
 
-    def distances(self, pairs: DataFrame, keep_all: bool = False) -> DataFrame:
-        """a, b, band, h of pairs whose sizes and sketches allow the limit."""
-        x = pairs
+    def _with(self, pairs: DataFrame, *cols: str) -> DataFrame:
         for c in ("a", "b"):
-            x = x.join(self.nodes.select(F.col("node").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in ("n", "home", "visit")]), c)
-        x = x.where(F.least("n_a", "n_b") * self.bands.den >= F.greatest("n_a", "n_b") * self.bands.num)
-        return x.mapInArrow(_allowed(self.bands, keep_all), "a long, b long, band long, h long")
+            pairs = pairs.join(self.nodes.select(F.col("node").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in cols]), c)
+        return pairs
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Stars (hi, lo) of what the pairs that pass on their full sets connect."""
-        x = self.distances(pairs).select("a", "b")
+        x = self.allowed(pairs)
         for c in ("a", "b"):
-            x = x.join(self.texts.select(F.col("_k").alias(c), F.col("_x").alias(f"x{c}")), c)
+            x = x.join(self.search.texts.select(F.col("_k").alias(c), F.col("_x").alias(f"x{c}")), c)
         verify, contract = _verify(self.shingle, self.bands.num, self.bands.den), _contract(False)
         return C.stash(x.select("a", "b", "xa", "xb").mapInArrow(lambda rows: contract(verify(rows)), "hi long, lo long, many boolean"), name).select("hi", "lo")
 
@@ -270,30 +289,35 @@ class _Join:
         pairs = found.where("b IS NOT NULL").select("a", "b").union(star.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")))
         pairs = C.stash(pairs.distinct(), "pairs")
         wanted = pairs.select(F.col("a").alias("_k")).union(pairs.select("b")).distinct()
-        self.texts = C.stash(self.docs.join(wanted, "_k", "left_semi"), "texts")
+        self.search.texts = C.stash(self.docs.join(wanted, "_k", "left_semi"), "texts")
         links = self.verified(pairs.groupBy("b").agg(F.min("a").alias("a")), "least-links")
-        comps = self.components(links)
+        comps = self.search.components(links)
         rest = self.named(self.named(pairs, comps, "a"), comps, "b").where("c_a <> c_b").select("a", "b")
         links = links.union(self.verified(rest, "more-links"))
-        if not members.limit(1).count():
-            return links
-        return links.union(self.verified(self.scattered(members, self.components(links)), "last-links"))
-
-    def scattered(self, members: DataFrame, comps: DataFrame) -> DataFrame:
-        """Of long lists the pairs that no component holds and the pivot's distances allow."""
-        m = self.named(members.where("size > 2"), comps, "node").withColumnRenamed("c_node", "comp")
-        most = m.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
-        m = m.join(most.select("key", F.col("m.comp").alias("most")), "key")
-        far = self.distances(m.where("node <> p1").select(F.col("p1").alias("a"), F.col("node").alias("b")).distinct(), keep_all=True)
-        m = C.stash(m.join(far.select(F.col("a").alias("p1"), F.col("b").alias("node"), "band", "h"), ["p1", "node"], "left").select("key", "node", "n", "comp", "most", "band", "h"), "scattered")
-        side = lambda x, c: x.select("key", *[F.col(v).alias(f"{v}_{c}") for v in ("node", "n", "comp", "band", "h")])
-        n, k = F.col("n_x"), F.col("n_y")
-        most_apart = F.floor((n + k) * (self.bands.den - self.bands.num) / (self.bands.den + self.bands.num))
-        # a metric only within one band's sketches; null for the pivot and for who has no sketch there
-        metric = (F.col("band_x") != F.col("band_y")) | (F.abs(F.col("h_x") - F.col("h_y")) <= most_apart)
-        fits = (F.col("comp_x") != F.col("comp_y")) & (F.least(n, k) * self.bands.den >= F.greatest(n, k) * self.bands.num)
-        x = side(m.where("comp <> most"), "x").join(side(m, "y"), "key").where(fits & F.coalesce(metric, F.lit(True)))
-        return x.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+        more = self.scattered(members, self.search.components(links))
+        return links if more is None else links.union(self.verified(more, "last-links"))
+
+    def scattered(self, members: DataFrame, comps: DataFrame) -> DataFrame | None:
+        """Pairs of different components from long lists that hold several of them."""
+        m = self.named(members.where("size > 2"), comps, "node")
+        split = m.groupBy("key").agg(F.min("c_node").alias("lo"), F.max("c_node").alias("hi")).where("lo <> hi").select("key")
+        crowded = C.stash(members.join(split, "key", "left_semi").select("node").distinct(), "crowded")
+        if not crowded.limit(1).count():
+            return None
+        x = self.named(C.stash(self.search.prefix_keys(crowded), "places"), comps, "node").withColumnRenamed("c_node", "comp")
+        lists = x.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        x = C.stash(x.join(lists.select("key", "size"), "key"), "split-lists")
+        short = x.where(F.col("size") <= LONG).select("key", "node", "n", "pos")
+        short = short.repartition(self.parts, "key").sortWithinPartitions("key").mapInArrow(_placed_pairs(self.bands.num, self.bands.den), "a long, b long")
+        short = self.named(self.named(short.distinct(), comps, "a"), comps, "b").where("c_a <> c_b").select("a", "b")
+        long = x.where(F.col("size") > LONG)
+        most = long.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("most"))
+        side = lambda x, c: x.select("key", *[F.col(v).alias(f"{v}_{c}") for v in ("node", "n", "comp", "pos")])
+        num, den, n, k = self.bands.num, self.bands.den, F.col("n_x"), F.col("n_y")
+        reach = F.least(n - F.col("pos_x"), k - F.col("pos_y")) * (num + den) >= (n + k) * num
+        fits = (F.col("comp_x") != F.col("comp_y")) & (F.least(n, k) * den >= F.greatest(n, k) * num) & reach
+        rest = side(long.join(most, "key").where("comp <> most"), "x").join(side(long, "y"), "key").where(fits)
+        return short.union(rest.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))).distinct()
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, limit: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -302,7 +326,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     C.ship(docs.sparkSession)
     bands = Bands(*limit)
     x = docs.select(C.key(id_col).alias("_k"), F.col(text_col).alias("_x"))
-    base = C.stash(x.mapInArrow(_sketches(shingle, bands), "_k long, n long, d1 long, d2 long, home binary, visit binary, keys binary"), "parity")
+    base = C.stash(x.mapInArrow(_sketches(shingle, bands), "_k long, n long, d1 long, d2 long, small binary, home binary, visit binary, keys binary"), "parity")
     full = base.where("n > 0")
     about = full.groupBy("d1", "d2").agg(F.min("_k").alias("node"))
     # A node's sketches are its row's own: no sketch is shuffled to find the class's least id.
@@ -316,7 +340,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if repeated.limit(1).count():
         ties = full.join(repeated, "_k").select("_k", "d1", "d2").distinct().join(about, ["d1", "d2"])
         links = links.union(ties.select("_k", "node").mapInArrow(_contract(False), "hi long, lo long, many boolean").select("hi", "lo"))
-    comps = join.components(links)
+    comps = join.search.components(links)
     named = about.join(comps, "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("comp"))
     out = full.select("_k", "n", "d1", "d2").join(named, ["d1", "d2"]).select("_k", "n", "comp")
     out = out.unionByName(base.where("n = 0").select("_k", "n", F.col("_k").alias("comp")))

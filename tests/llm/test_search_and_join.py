@@ -64,7 +64,7 @@ def test_search_of_nothing(spark, table):  # noqa: F811
     assert [(r.rank, r.doc_id) for r in sorted(got) if r.item_id == 1] == [(1, 7), (2, 7)]
 
 
-@pytest.mark.parametrize(("limit", "long"), [((90, 100), 32), ((90, 100), 3), ((80, 100), 2), ((50, 100), 2)])
+@pytest.mark.parametrize(("limit", "long"), [((90, 100), 16), ((90, 100), 3), ((80, 100), 2), ((50, 100), 2)])
 def test_join(docs, limit, long, monkeypatch):  # noqa: F811
     monkeypatch.setattr(parity_join, "LONG", long)
     out = parity_join.jaccard_join(docs, shingle=3, limit=limit)
@@ -85,7 +85,7 @@ def _near_texts(rng, groups, size, copies):
     return out
 
 
-@pytest.mark.parametrize("long", [2, 32])
+@pytest.mark.parametrize("long", [2, 16])
 def test_join_of_chains(spark, long, monkeypatch):
     """Chains of near copies of many sizes, also of few words, in short and long lists."""
     monkeypatch.setattr(parity_join, "LONG", long)
