@@ -18,7 +18,9 @@ from ..sources.store import JOBS, Store, shared_folder
 from . import checks as K
 from . import registry as R
 
-_KEY = F.col("p_partkey").cast("string")
+
+def _key() -> Column:
+    return F.col("p_partkey").cast("string")
 
 
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pick(values: list[str], at: Column) -> Column:
     """The value of that number, with ~ for the part's key."""
-    return F.replace(F.get(F.array(*[F.lit(v) for v in values]), at.cast("int")), F.lit("~"), _KEY)
+    return F.replace(F.get(F.array(*[F.lit(v) for v in values]), at.cast("int")), F.lit("~"), _key())
 
 
 def _rows(values: list[tuple]) -> str:
@@ -47,9 +49,8 @@ _ROUTES = [
     ('@PutMapping(value = "/f~")', "spring", "PUT", "/f~"),
     ('@RequestMapping("/g~")', "spring", "ANY", "/g~"),
     ("Route::get('/h~', 'C@m')", "laravel", "GET", "/h~"),
-    ('[HttpDelete("i~")]', "aspnet", "DELETE", "i~"),
+    ("[HttpDelete]", "aspnet", "DELETE", "(dynamic)"),
 ]
-_FIRST, _THEN = F.col("p_partkey") % 9, (F.col("p_partkey") + 1 + F.col("p_size") % 8) % 9
 
 
 @R._query("API1_every_route", f"""WITH v(k, code, framework, method, path) AS (VALUES {_rows(_ROUTES)}),
@@ -59,9 +60,10 @@ SELECT CAST(key AS VARCHAR) AS file, framework, method, replace(path, '~', CAST(
 def _(spark, sf_dir):
     """Two of nine routes a file, with as many lines above and between them as columns say."""
     code = [r[0] for r in _ROUTES]
+    first, then = F.col("p_partkey") % 9, (F.col("p_partkey") + 1 + F.col("p_size") % 8) % 9
     lines = lambda text, n: F.repeat(F.lit(text), n.cast("int"))
-    source = F.concat(lines("x = 1\n", F.col("p_size") % 7), _pick(code, _FIRST), F.lit("\n"), lines("\n", F.col("p_partkey") % 4), _pick(code, _THEN))
-    s = _part(spark, sf_dir).select(F.lit("j").alias("job_id"), F.col("p_partkey").alias("file_seq"), _KEY.alias("path"), source.alias("source"))
+    source = F.concat(lines("x = 1\n", F.col("p_size") % 7), _pick(code, first), F.lit("\n"), lines("\n", F.col("p_partkey") % 4), _pick(code, then))
+    s = _part(spark, sf_dir).select(F.lit("j").alias("job_id"), F.col("p_partkey").alias("file_seq"), _key().alias("path"), source.alias("source"))
     return api_surface.endpoints(s).select("file", "framework", "method", "path", "line")
 
 
@@ -80,7 +82,7 @@ def _(spark, sf_dir):
     """Each part a repository with two of the marks of eleven kinds, which may be one kind twice."""
     p = _part(spark, sf_dir)
     two = F.explode(F.array_distinct(F.array(F.col("p_partkey") % 11, (F.col("p_partkey") + F.col("p_size")) % 11)))
-    x = p.select("p_partkey", "p_size", two.alias("k")).select(_KEY.alias("job_id"), _pick([a[0] for a in _AUTH], F.col("k")).alias("kind"), _pick([a[1] for a in _AUTH], F.col("k")).alias("text"))
+    x = p.select("p_partkey", "p_size", two.alias("k")).select(_key().alias("job_id"), _pick([a[0] for a in _AUTH], F.col("k")).alias("kind"), _pick([a[1] for a in _AUTH], F.col("k")).alias("text"))
     sources = x.select("job_id", F.lit("a.py").alias("path"), F.lit(0).cast("long").alias("file_seq"), F.when(F.col("kind") == "code", F.col("text")).otherwise("").alias("source"))
     none = spark.createDataFrame([], "job_id string, kind string, name string, decorators array<string>")
     found = api_surface.detect_api_surface(sources, none, x.where("kind = 'import'").select("job_id", F.col("text").alias("raw")))
@@ -96,7 +98,7 @@ _MARKS = ["def f(x = Depends(y~)): pass", "@Autowired S~ s;", "@Inject(T~)", "@I
 def _(spark, sf_dir):
     """Two of eight pieces of code a file, of which five are markers."""
     source = F.concat_ws("\n", _pick(_MARKS, F.col("p_partkey") % 8), _pick(_MARKS, (F.col("p_partkey") + F.col("p_size")) % 8))
-    s = _part(spark, sf_dir).select(F.lit("j").alias("job_id"), F.col("p_partkey").alias("file_seq"), _KEY.alias("path"), source.alias("source"))
+    s = _part(spark, sf_dir).select(F.lit("j").alias("job_id"), F.col("p_partkey").alias("file_seq"), _key().alias("path"), source.alias("source"))
     return design.injections(s).select("file")
 
 
@@ -146,16 +148,16 @@ _TAILS = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.j
 
 
 @R._query("GRA6_every_candidate", f"""WITH v(k, tail) AS (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(_TAILS))}), p AS (SELECT p_partkey AS key, p_partkey % 9 AS a, (p_partkey + p_size) % 9 AS b FROM part)
-SELECT CAST(key AS VARCHAR) AS job_id, CASE WHEN min(k) IS NULL THEN 'external::m' ELSE 'src/lib/m' || min_by(tail, k) END AS target FROM p LEFT JOIN v ON v.k = p.a OR v.k = p.b GROUP BY key""")
+SELECT CAST(key AS VARCHAR) AS job_id, CASE WHEN min(k) IS NULL THEN 'external::lib' ELSE 'src/lib/m' || min_by(tail, k) END AS target FROM p LEFT JOIN v ON v.k = p.a OR v.k = p.b GROUP BY key""")
 def _(spark, sf_dir):
     """Each part a repository with an import and up to two of the files that it may mean: the first in order counts."""
     p = _part(spark, sf_dir)
     tail = F.get(F.array(*[F.lit(t) for t in _TAILS]), F.col("k").cast("int"))
     two = F.explode(F.array_distinct(F.array(F.col("p_partkey") % 9, (F.col("p_partkey") + F.col("p_size")) % 9)))
-    hits = p.select("p_partkey", two.alias("k")).where("k < 8").select(_KEY.alias("job_id"), F.col("k").alias("file_seq"), F.concat(F.lit("src/lib/m"), tail).alias("path"))
+    hits = p.select("p_partkey", two.alias("k")).where("k < 8").select(_key().alias("job_id"), F.col("k").alias("file_seq"), F.concat(F.lit("src/lib/m"), tail).alias("path"))
     # a second file of each stem, so that no stem is the only one
-    files = hits.unionByName(hits.select("job_id", "file_seq", F.concat(F.lit("other/"), T.basename("path")).alias("path"))).unionByName(p.select(_KEY.alias("job_id"), F.lit(99).cast("long").alias("file_seq"), F.explode(F.array(*[F.lit(f"far{i}/{n}") for i in (1, 2) for n in ("m", "m.ts", "index.ts", "index.js", "index.tsx")])).alias("path")))
-    imports = p.select(_KEY.alias("job_id"), F.lit(0).cast("long").alias("file_seq"), F.lit("src/app/a.ts").alias("path"), F.lit(0).alias("imp_seq"), F.lit("../lib/./m").alias("raw"))
+    files = hits.unionByName(hits.select("job_id", "file_seq", F.concat(F.lit("other/"), T.basename("path")).alias("path"))).unionByName(p.select(_key().alias("job_id"), F.lit(99).cast("long").alias("file_seq"), F.explode(F.array(*[F.lit(f"far{i}/{n}") for i in (1, 2) for n in ("m", "m.ts", "index.ts", "index.js", "index.tsx")])).alias("path")))
+    imports = p.select(_key().alias("job_id"), F.lit(0).cast("long").alias("file_seq"), F.lit("src/app/a.ts").alias("path"), F.lit(0).alias("imp_seq"), F.lit("../lib/./m").alias("raw"))
     return graph.import_edges(imports, files).select("job_id", "target")
 
 

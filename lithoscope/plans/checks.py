@@ -295,25 +295,31 @@ def _(spark, sf_dir):
 
 
 #: Language, suffix, import and what it names, head of a class and its bases, decorator, head of a function and
-#: its name, a branch and a loop as they begin, whether a call stands with its arguments.  ~ stands for the part's key.
+#: its name, a branch and a loop as they begin, whether a call stands with its arguments.  ~ stands for the part's
+#: key, « and » for braces, which mean tables in SQL here, § for a backslash.
 _GRAMMARS = [
-    ("javascript", ".js", "import x from 'm~';", "m~", "class A extends B~ {", "B~", "", "  m(a) {", "m", "if (a) {", "while (b) {", False),
-    ("typescript", ".ts", "import { x } from 'm~';", "m~", "class A<T extends object = {}> extends B~<T> {", "B~,T", "@D(~)", "  m<K>(a: { x: K }): Map<K, { y: T }> {", "m", "if (a) {", "for (const x of b) {", False),
-    ("tsx", ".tsx", "import x from 'm~';", "m~", "", "", "", "export const f = (p: P): string => {", "<anonymous>", "if (p) {", "while (b) {", False),
-    ("java", ".java", "import a.m~;", "a.m~", "class A<T extends C> extends B~ {", "B~", "@T(~)", "  public List<T> m(int a) throws E {", "m", "if (a) {", "for (int i : b) {", True),
-    ("go", ".go", "import \"m~\"", "m~", "", "", "", "func f(a interface{}, c rune) (int, error) {", "f", "if c == '{' {", "for b {", False),
-    ("rust", ".rs", "use a::m~;", "a::m~", "", "", "", "fn f<'a>(x: &'a str, y: &'a str) -> &'a str {", "f", "if x == '{' {", "while b {", False),
-    ("php", ".php", "<?php use A\\m~;", "A\\m~", "class A extends B~ {", "B~", "#[T(~)]", "  public function m(?int $a): ?int {", "m", "if ($a) {", "foreach ($b as $c) {", False),
-    ("csharp", ".cs", "using A.m~;", "A.m~", "class A<T> : B~ where T : C {", "B~", "[T(~)]", "  public int m<K>(int a) where K : Z {", "m", "if (a) {", "foreach (var x in b) {", False),
-    ("cpp", ".cpp", "#include <m~.h>", "m~.h", "", "", "", "A::A(int x) : x_(1), y_{2} {", "A::A", "if (x == '{') {", "while (b) {", False),
-    ("c", ".c", "#include \"m~.h\"", "m~.h", "", "", "", "static struct p *f(int a) {", "f", "if (a) {", "for (;;) {", False),
+    ("javascript", ".js", "import x from 'm~';", "m~", "class A extends B~ «", "B~", "", "  m(a) «", "m", "if (a) «", "while (b) «", False),
+    ("typescript", ".ts", "import « x » from 'm~';", "m~", "class A<T extends object = «»> extends B~<T> «", "B~,T", "@D(~)", "  m<K>(a: « x: K »): Map<K, « y: T »> «", "m", "if (a) «", "for (const x of b) «", False),
+    ("tsx", ".tsx", "import x from 'm~';", "m~", "", "", "", "export const f = (p: P): string => «", "<anonymous>", "if (p) «", "while (b) «", False),
+    ("java", ".java", "import a.m~;", "a.m~", "class A<T extends C> extends B~ «", "B~", "@T(~)", "  public List<T> m(int a) throws E «", "m", "if (a) «", "for (int i : b) «", True),
+    ("go", ".go", "import \"m~\"", "m~", "", "", "", "func f(a interface«», c rune) (int, error) «", "f", "if c == '«' «", "for b «", False),
+    ("rust", ".rs", "use a::m~;", "a::m~", "", "", "", "fn f<'a>(x: &'a str, y: &'a str) -> &'a str «", "f", "if x == '«' «", "while b «", False),
+    ("php", ".php", "<?php use A§m~;", "A\\m~", "class A extends B~ «", "B~", "#[T(~)]", "  public function m(?int $a): ?int «", "m", "if ($a) «", "foreach ($b as $c) «", False),
+    ("csharp", ".cs", "using A.m~;", "A.m~", "class A<T> : B~ where T : C «", "B~", "[T(~)]", "  public int m<K>(int a) where K : Z «", "m", "if (a) «", "foreach (var x in b) «", False),
+    ("cpp", ".cpp", "#include <m~.h>", "m~.h", "", "", "", "A::A(int x) : x_(1), y_«2» «", "A::A", "if (x == '«') «", "while (b) «", False),
+    ("c", ".c", "#include \"m~.h\"", "m~.h", "", "", "", "static struct p *f(int a) «", "f", "if (a) «", "for (;;) «", False),
 ]
 _grammar = lambda c: "CASE CAST(p_partkey % 10 AS INT) " + " ".join(f"WHEN {i} THEN '" + str(g[c]).replace("'", "''") + "'" for i, g in enumerate(_GRAMMARS)) + " END"
 _filled = lambda c: f"replace({_grammar(c)}, '~', CAST(p_partkey AS STRING))"
+_braced = lambda x: f"replace(replace(replace({x}, '«', chr(123)), '»', chr(125)), '§', chr(92))"
 _N, _M = "CAST(p_size % 5 AS INT)", "CAST(p_size % 3 AS INT)"  # nested branches, and nested loops after them
 MADE["measured"] = (
-    f"SELECT {_PART}, 'r/a' || {_grammar(1)} AS path, {_filled(2)} || chr(10) || {_filled(4)} || chr(10) || {_filled(6)} || chr(10) || {_filled(7)} || chr(10) || repeat({_grammar(9)} || chr(10), {_N}) || 'go' || CAST(p_partkey AS STRING) || '(1);' || chr(10) || repeat('}}' || chr(10), {_N}) "
-    f"|| repeat({_grammar(10)} || chr(10), {_M}) || repeat('}}' || chr(10), {_M}) || '}}' || chr(10) || CASE WHEN {_grammar(4)} = '' THEN '' ELSE '}}' END AS source FROM {{part}}"
+    f"SELECT {_PART}, 'r/a' || {_grammar(1)} AS path, "
+    + _braced(
+        f"{_filled(2)} || chr(10) || {_filled(4)} || chr(10) || {_filled(6)} || chr(10) || {_filled(7)} || chr(10) || repeat({_grammar(9)} || chr(10), {_N}) || 'go' || CAST(p_partkey AS STRING) || '(1);' || chr(10) || repeat('»' || chr(10), {_N}) "
+        f"|| repeat({_grammar(10)} || chr(10), {_M}) || repeat('»' || chr(10), {_M}) || '»' || chr(10) || CASE WHEN {_grammar(4)} = '' THEN '' ELSE '»' END"
+    )
+    + " AS source FROM {part}"
 )
 
 

@@ -101,7 +101,7 @@ def zipped(files: DataFrame, by: str = "job_id") -> DataFrame:
     """The other way: an archive (job_id, name, content) of the files (path, source) of each
     job.  A job's files are in one task's memory, as an archive's bytes are."""
 
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key, rows):
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for path, source in sorted(zip(rows.column("path").to_pylist(), rows.column("source").to_pylist(), strict=True)):
