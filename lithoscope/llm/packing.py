@@ -204,7 +204,7 @@ def _unpack(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["_k", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, most: int = 1024, slack: int = 2, most_items: int = 50_000, fan: int = 8) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, most: int = 1024, slack: int = 2, most_items: int = 50_000, fan: int = 4) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     C.ship(spark)

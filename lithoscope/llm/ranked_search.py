@@ -233,11 +233,12 @@ def search(postings: DataFrame, items: DataFrame, k: int = 20, item_col: str = "
     weight = F.floor(1000 * F.log((F.lit(2.0) * sizes["n"] + 2) / (F.lit(2.0) * F.col("df") + 1)))
     weighted = terms.join(df, "term").groupBy("block", "item").agg(F.collect_list(F.struct("term", (F.col("times") * weight).cast("long").alias("w"))).alias("t"))
     weighted = C.stash(weighted.select("block", "item", F.col("t.term").alias("terms"), F.col("t.w").alias("weights")), "weighted-items")
-    # each item goes to every shard; salted, for all shards of a block share its number
+    # each item goes to every shard; salted, for all shards of a block share its number; not
+    # broadcast, as there are the more salts the more shards
     salts = C.n_parts(postings.sparkSession)
     shards = about.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(salts)).cast("int"))
     salted = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    asked = shards.select("shard", "block", "salt").join(salted, ["block", "salt"]).select("shard", "block", "item", "terms", "weights")
+    asked = shards.select("shard", "block", "salt").join(salted.hint("merge"), ["block", "salt"]).select("shard", "block", "item", "terms", "weights")
     held = mine.select("shard", "block", "term", "places", "counts").union(shards.select("shard", "block", F.lit(None).cast("binary"), "places", "counts"))
     # as many tasks as set: the rows are few, but each shard is work
     asked, held = (x.repartition(salts, "shard", "block").groupBy("shard", "block") for x in (asked, held))

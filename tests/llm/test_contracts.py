@@ -197,7 +197,7 @@ def test_packing_in_many_rounds(table):
 @pytest.mark.parametrize("order", ["by length", "shuffled"])
 @pytest.mark.parametrize("kind", ["two lengths", "many lengths"])
 def test_packing_of_ordered_lengths(spark, order, kind):
-    """Corpora ordered by length, in small blocks and three levels of the tree."""
+    """Corpora ordered by length, in small blocks and five levels of the tree."""
     import random
 
     rng = random.Random(2)
@@ -208,7 +208,7 @@ def test_packing_of_ordered_lengths(spark, order, kind):
         rng.shuffle(lengths)
     # " a" is one token, and each text ends with one more
     df = spark.createDataFrame([(i, " a" * (n - 1)) for i, n in enumerate(lengths)], "doc_id long, text string").repartitionByRange(8, "doc_id")
-    rows = packing.pack(df, queries.tokenizer("byte_bpe_50k.json"), most_items=250).collect()
+    rows = packing.pack(df, queries.tokenizer("byte_bpe_50k.json"), most_items=250, fan=2).collect()
     used = _used(rows)
     assert sorted(r.length for r in rows) == sorted(lengths) and max(used.values()) <= 1024
     assert len(used) <= 1.02 * least
