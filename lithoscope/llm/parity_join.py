@@ -255,24 +255,26 @@ class _Join:
         self.parts = C.n_parts(docs.sparkSession)
         self.search = _Search(docs, nodes, shingle, bands.num, bands.den)
 
-    def allowed(self, pairs: DataFrame) -> DataFrame:
+    def allowed(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose sizes and sketches allow the limit."""
-        x = self._with(pairs, "n", "small").where(F.least("n_a", "n_b") * self.bands.den >= F.greatest("n_a", "n_b") * self.bands.num)
-        x = x.mapInArrow(_allowed(self.bands, False), "a long, b long").distinct()
-        return self._with(x, "n", "home", "visit").mapInArrow(_allowed(self.bands, True), "a long, b long")
-
-    def _with(self, pairs: DataFrame, *cols: str) -> DataFrame:
-        for c in ("a", "b"):
-            pairs = pairs.join(self.nodes.select(F.col("node").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in cols]), c)
-        return pairs
+        x = self._with(pairs, self.nodes, "node", "n", "small").where(F.least("n_a", "n_b") * self.bands.den >= F.greatest("n_a", "n_b") * self.bands.num)
+        x = C.stash(x.mapInArrow(_allowed(self.bands, False), "a long, b long").distinct(), f"{name}-small")
+        x = self._with(x, self.nodes, "node", "n", "home", "visit").mapInArrow(_allowed(self.bands, True), "a long, b long")
+        return C.stash(x.distinct(), f"{name}-allowed")
+
+    @staticmethod
+    def _with(pairs: DataFrame, table: DataFrame, key: str, *cols: str) -> DataFrame:
+        """Pairs with columns of both ends.  Each end takes its own, then they meet: where
+        pairs are few, Spark sends them and not the table."""
+        end = lambda c: table.select(F.col(key).alias(c), *[F.col(v).alias(f"{v}_{c}") for v in cols]).join(pairs, c)
+        return end("a").join(end("b"), ["a", "b"])
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Stars (hi, lo) of what the pairs that pass on their full sets connect."""
-        x = self.allowed(pairs)
-        for c in ("a", "b"):
-            x = x.join(self.search.texts.select(F.col("_k").alias(c), F.col("_x").alias(f"x{c}")), c)
+        x = self._with(self.allowed(pairs, name), self.search.texts, "_k", "_x")
         verify, contract = _verify(self.shingle, self.bands.num, self.bands.den), _contract(False)
-        return C.stash(x.select("a", "b", "xa", "xb").mapInArrow(lambda rows: contract(verify(rows)), "hi long, lo long, many boolean"), name).select("hi", "lo")
+        x = x.select("a", "b", F.col("_x_a").alias("xa"), F.col("_x_b").alias("xb"))
+        return C.stash(x.mapInArrow(lambda rows: contract(verify(rows)), "hi long, lo long, many boolean"), name).select("hi", "lo")
 
     def named(self, x: DataFrame, comps: DataFrame, col: str) -> DataFrame:
         """x with the component of a column's node as c_<col>."""
@@ -290,6 +292,9 @@ class _Join:
         pairs = C.stash(pairs.distinct(), "pairs")
         wanted = pairs.select(F.col("a").alias("_k")).union(pairs.select("b")).distinct()
         self.search.texts = C.stash(self.docs.join(wanted, "_k", "left_semi"), "texts")
+        # few nodes have a candidate: the others' sketches are sent no more
+        slim = self.nodes.select("node", "n", "small", "home", "visit")
+        self.nodes = C.stash(slim.join(wanted.withColumnRenamed("_k", "node"), "node", "left_semi"), "near-nodes")
         links = self.verified(pairs.groupBy("b").agg(F.min("a").alias("a")), "least-links")
         comps = self.search.components(links)
         rest = self.named(self.named(pairs, comps, "a"), comps, "b").where("c_a <> c_b").select("a", "b")
