@@ -19,11 +19,14 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def job1_audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The findings after two runs into one folder; the second finds nothing new."""
+    """The findings after two runs into one folder, of which the second finds nothing new,
+    and how many documents (seq) and lines (message) of each source were scanned."""
     to = _folder(spark, "audit")
     for _ in range(2):
         audit_stream.run(spark, f"{sf_dir}/documents.parquet", f"{to}/tables", f"{to}/checkpoint")
-    return audit_stream.read(spark, f"{to}/tables").drop("batch")
+    found = audit_stream.read(spark, f"{to}/tables").drop("batch")
+    totals = audit_stream.scanned(spark, f"{to}/tables").groupBy("source").agg(F.sum("documents").alias("seq"), F.sum("lines").cast("string").alias("message"))
+    return found.unionByName(totals.withColumns({"category": F.lit("scanned"), "severity": F.lit("info")}), allowMissingColumns=True)
 
 
 def job2_clone_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +49,14 @@ def _rows(where: str, seq: int, category: str, severity: str, message: str, tabl
     return f"SELECT source, doc_id, line, {seq} AS seq, '{category}' AS category, '{severity}' AS severity, {message} AS message FROM {table} WHERE {where}"
 
 
+_named = audit_stream.assigned(audit_stream.SECRET_NAMES).replace("'", "''")
 _AUDIT = f"""WITH a AS ({_LINES}), t AS (SELECT source, doc_id, unnest(l) AS text, CAST(unnest(range(1, len(l) + 1)) AS INT) AS line FROM a), s AS (SELECT * FROM t WHERE {R._env}),
 k AS (SELECT source, doc_id, line, unnest(regexp_extract_all(text, '{R._secret}', 1, 'i')) AS k, unnest(regexp_extract_all(text, '{R._secret}', 2, 'i')) AS v, unnest(range(len(regexp_extract_all(text, '{R._secret}', 2, 'i')))) AS i FROM s),
+m AS (SELECT source, doc_id, line, unnest(regexp_extract_all(text, '{_named}', 1, 'i')) AS k, unnest(regexp_extract_all(text, '{_named}', 2, 'i')) AS v, unnest(range(len(regexp_extract_all(text, '{_named}', 2, 'i')))) AS i FROM s),
 d AS (SELECT *, {R._why} AS w FROM t)
 SELECT source, doc_id, line, i AS seq, 'hardcoded_secret' AS category, 'critical' AS severity, 'possible hardcoded ' || k AS message FROM k WHERE NOT lower(v) IN ({R._quote(V.PLACEHOLDERS)}) AND NOT starts_with(v, '${{') AND NOT starts_with(v, '{{{{')
+UNION ALL SELECT source, doc_id, line, 1000 + i, 'named_secret', 'critical', 'possible hardcoded ' || k FROM m WHERE NOT lower(v) IN ({R._quote(V.PLACEHOLDERS)}) AND NOT starts_with(v, '${{') AND NOT starts_with(v, '{{{{')
+UNION ALL SELECT source, NULL, NULL, count(*), 'scanned', 'info', CAST(CAST(sum(len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END) AS BIGINT) AS VARCHAR) FROM a GROUP BY source
 UNION ALL {_rows(R._m(V.AWS_KEY), 900, "hardcoded_secret", "critical", "'AWS access key ID literal found'", "s")}
 UNION ALL {_rows(R._m(V.PRIVATE_KEY), 901, "hardcoded_secret", "critical", "'private key material committed to source'", "s")}
 UNION ALL {_rows(" OR ".join(R._m(p) for p in V.SQL_INJECTION), 910, "sql_injection", "high", "'user input may be interpolated directly into a SQL query — use parameterized queries'")}

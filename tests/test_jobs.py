@@ -59,6 +59,16 @@ def test_a_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == "STATIC"
 
 
+def test_names_of_the_users_own(spark, tmp_path):
+    rows = [(1, "a", 'Token = "0123456789"; client_secret: \'abcdefgh\' token="short"'), (2, "a", 'token = "changeme" token = "${from_env}"'), (3, "a", 'os.environ token = "0123456789"'), (4, "a", 'mytoken = "0123456789"')]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    audit_stream.audit(df, 0, f"{tmp_path}/out", ["critical"], ["token", "client_secret"])
+    got = sorted((r.doc_id, r.line, r.seq, r.message) for r in audit_stream.read(spark, f"{tmp_path}/out").collect())
+    assert got == [(1, 1, 1000, "possible hardcoded Token"), (1, 1, 1001, "possible hardcoded client_secret")]
+    with pytest.raises(ValueError, match="names of letters"):
+        audit_stream.assigned(["a|b"])
+
+
 def test_every_detector_sees_its_lines(spark):
     """The filter before the detectors loses nothing."""
     df = spark.read.parquet(f"{SF}/orders.parquet").select(F.lit(1).alias("doc_id"), F.lit("s").alias("source"), F.lit("").alias("text")).limit(1)
