@@ -5,11 +5,11 @@ pieces, a few bytes each, are dealt to blocks of about `most_items` by a hash of
 place in the input: whatever the order of the corpus, by source or by length, each block
 is a sample of all lengths.  A block packs its pieces best-fit, longest first.  Nearly
 full bins (at most `slack` free places) are done.  Of the others the emptiest go on to the
-next round, up to `most_items / fan` items: a bin that is all but full as one item, what
+next round, up to `2 * most_items / fan` items: a bin that is all but full as one item, what
 a less full one holds as items of their own, since two halves glued to three quarters
 would fit nothing.  The rest found nothing to be filled with among a sample of
 everything, and are done.  In the next round `fan` neighbouring blocks meet in one: a tree
-that ends in one block, each node of which holds about `most_items` items, however large
+that ends in one block, each node of which holds twice `most_items` items at most, however large
 the input.  No piece is ever left out.
 
 Defined cases: a null or empty text is the closing token alone; repeated rows are
@@ -40,7 +40,7 @@ _PIECE = struct.Struct("<qiqiIi")  # the same
 _ITEMS = "pos long, load int, members binary"
 _OUT = "done boolean, bin long, load int, members binary, node int"
 #: A bin that holds this share of a sequence goes on as one item.
-_WHOLE = 0.97
+_WHOLE = 0.995
 _RUN = re.compile(r"\s{500}")
 
 
@@ -213,7 +213,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     nodes = max(1, -(-items.count() // most_items))
     left, done, level = items.withColumn("node", F.pmod(F.xxhash64("pos"), F.lit(nodes)).cast("int")), [], 0
     while True:
-        hand_on = 0 if nodes == 1 else most_items // fan
+        hand_on = 0 if nodes == 1 else 2 * most_items // fan
         dealt = left.select("node", "load", "members").repartition(min(nodes, C.n_parts(spark)), "node").sortWithinPartitions("node", "load", "members")
         bins = C.stash(dealt.mapInArrow(_round(level, most, slack, hand_on), _OUT), "bins")
         done.append(bins.where("done"))
