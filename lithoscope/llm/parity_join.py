@@ -56,6 +56,8 @@ from .minhash_dedup import _contract, _digest, _placed_pairs, _runs, _Search, _v
 #: Least shingles of a block that is keyed, most members of a list that gives all pairs, and
 #: words of a small sketch of the whole set, the same for all bands.
 FEW, LONG, SMALL = 2, 16, 8
+#: Ids that are broadcast at most, of eight bytes each.
+MOST_SENT = 1_000_000
 _ROWS = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 _UPPER = [np.triu_indices(k, 1) for k in range(LONG + 1)]
 
@@ -290,7 +292,9 @@ class _Join:
         star = members.select("node", F.explode(F.array("p1", "p2")).alias("p")).where("node <> p")
         pairs = found.where("b IS NOT NULL").select("a", "b").union(star.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")))
         pairs = C.stash(pairs.distinct(), "pairs")
-        wanted = pairs.select(F.col("a").alias("_k")).union(pairs.select("b")).distinct()
+        wanted = C.stash(pairs.select(F.col("a").alias("_k")).union(pairs.select("b")).distinct(), "wanted")
+        if wanted.count() <= MOST_SENT:  # so many ids are sent, and no text is shuffled to meet them
+            wanted = F.broadcast(wanted)
         self.search.texts = C.stash(self.docs.join(wanted, "_k", "left_semi"), "texts")
         # few nodes have a candidate: the others' sketches are sent no more
         slim = self.nodes.select("node", "n", "small", "home", "visit")
