@@ -1,6 +1,6 @@
 """Rows that plans make while they run: no more than the input and the answer need."""
 
-from lithoscope.operators import diagrams
+from lithoscope.operators import diagrams, graph
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,16 @@ def test_handlers_meet_by_line_and_span(spark):
     got = h.collect()
     assert len(got) == n and {r["name"] for r in got} == {f"f{n // 2}"}
     assert most_rows(h) <= 4 * n
+
+
+def test_candidates_of_imports_are_few_and_not_broadcast(spark, tmp_path):
+    n = 2000
+    spark.range(n).write.parquet(str(tmp_path / "k"))
+    k = spark.read.parquet(str(tmp_path / "k"))
+    job = F.col("id").cast("string").alias("job_id")
+    imports = k.select(job, F.lit(0).cast("long").alias("file_seq"), F.lit("src/a.ts").alias("path"), F.lit(0).alias("imp_seq"), F.lit("./m").alias("raw"))
+    files = k.select(job, F.explode(F.array(*[F.lit(f"src/m{t}") for t in (".js", ".ts", ".x", ".y")])).alias("path"))
+    e = graph.import_edges(imports, files)
+    assert {r["target"] for r in e.collect()} == {"src/m.ts"}
+    assert "BroadcastExchange" not in [name for name, _ in _nodes(e)]
+    assert most_rows(e) <= 8 * n
