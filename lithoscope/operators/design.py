@@ -120,15 +120,20 @@ def lsp(bodies: DataFrame) -> DataFrame:
     return _violation(x, "LSP", F.concat("cls", F.lit("."), "method"), F.format_string("'%s.%s' overrides a base-class method but only raises/stubs — callers substituting '%s' for its base will break", "cls", "method", "cls"))
 
 
-def dip(classes: DataFrame, functions: DataFrame) -> DataFrame:
-    """Methods, but for constructors, that call the name of a class of the repository:
-    the first such call."""
-    owners = classes.select("job_id", "path", F.col("name").alias("parent_class"), F.col("sym_seq").alias("cls_seq"))
+def dip_counts(classes: DataFrame, functions: DataFrame) -> DataFrame:
+    """Methods, but for constructors, that call the name of a class of the repository: the
+    first such call, and `owners`, how many classes of the file bear the name of its class."""
+    owners = classes.groupBy("job_id", "path", F.col("name").alias("parent_class")).agg(F.count("*").alias("owners"))
     names = classes.select("job_id", F.col("name").alias("short")).distinct()
     m = functions.where((F.col("parent_class") != "") & ~F.col("name").isin("__init__", "constructor") & (F.col("name") != F.col("parent_class")))
     c = m.select("job_id", "path", "file_seq", "sym_seq", "parent_class", "name", "start_line", F.posexplode("calls").alias("pos", "call")).withColumn("short", T.last_part(F.col("call"))).join(names, ["job_id", "short"], "left_semi")
     c = c.groupBy("job_id", "path", "file_seq", "sym_seq", "parent_class", "name", "start_line").agg(F.min_by("call", "pos").alias("call"))
-    x = c.join(owners, ["job_id", "path", "parent_class"])
+    return c.join(owners, ["job_id", "path", "parent_class"])
+
+
+def dip(classes: DataFrame, functions: DataFrame) -> DataFrame:
+    """A violation for each of the method's owners."""
+    x = dip_counts(classes, functions).withColumn("_o", F.explode(F.sequence(F.lit(1), F.col("owners").cast("int"))))
     return _violation(x, "DIP", F.concat("parent_class", F.lit("."), "name"), F.format_string("'%s.%s' directly constructs '%s' instead of receiving it as a dependency", "parent_class", "name", "call"))
 
 

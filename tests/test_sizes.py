@@ -1,6 +1,6 @@
 """Rows that plans make while they run: no more than the input and the answer need."""
 
-from lithoscope.operators import diagrams, graph
+from lithoscope.operators import design, diagrams, graph
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,15 @@ def test_candidates_of_imports_are_few_and_not_broadcast(spark, tmp_path):
     assert {r["target"] for r in e.collect()} == {"src/m.ts"}
     assert "BroadcastExchange" not in [name for name, _ in _nodes(e)]
     assert most_rows(e) <= 8 * n
+
+
+def test_methods_are_counted_with_owners_not_paired(spark):
+    n = 300
+    ids = spark.range(n)
+    classes = ids.select(F.lit("j").alias("job_id"), F.lit("a.py").alias("path"), F.lit("K").alias("name"), F.col("id").alias("sym_seq"))
+    methods = ids.select(F.lit("j").alias("job_id"), F.lit("a.py").alias("path"), F.lit(0).alias("file_seq"), (F.col("id") + n).alias("sym_seq"), F.lit("K").alias("parent_class"), F.lit("m").alias("name"), F.lit(1).alias("start_line"), F.array(F.lit("x"), F.lit("a.K")).alias("calls"))
+    x = design.dip_counts(classes, methods)
+    got = x.collect()
+    assert len(got) == n and {(r["call"], r["owners"]) for r in got} == {("a.K", n)}
+    assert most_rows(x) <= 2 * n
+    assert design.dip(classes, methods).count() == n * n
