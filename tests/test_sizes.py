@@ -1,6 +1,6 @@
 """Rows that plans make while they run: no more than the input and the answer need."""
 
-from lithoscope.operators import design, diagrams, graph
+from lithoscope.operators import design, diagrams, graph, parsing
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,9 @@ def test_methods_are_counted_with_owners_not_paired(spark):
     assert len(got) == n and {(r["call"], r["owners"]) for r in got} == {("a.K", n)}
     assert most_rows(x) <= 2 * n
     assert design.dip(classes, methods).count() == n * n
+
+
+def test_a_small_split_is_parsed_by_many_tasks(spark):
+    x = spark.range(64).coalesce(1).select(F.lit("j").alias("job_id"), F.col("id").alias("file_seq"), F.col("id").cast("string").alias("path"), F.lit("python").alias("language"), F.lit(1).cast("long").alias("size_bytes"), F.lit(1).alias("loc"), F.lit("def f(): pass").alias("source"))
+    parsed = parsing.parse_files(x)
+    assert parsed.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and parsed.count() == 64
