@@ -1,6 +1,7 @@
 """Rows that plans make while they run: no more than the input and the answer need."""
 
 from lithoscope.operators import design, diagrams, graph, parsing
+from lithoscope.plans import registry
 from pyspark.sql import functions as F
 
 
@@ -66,3 +67,9 @@ def test_a_small_split_is_parsed_by_many_tasks(spark):
     x = spark.range(64).coalesce(1).select(F.lit("j").alias("job_id"), F.col("id").alias("file_seq"), F.col("id").cast("string").alias("path"), F.lit("python").alias("language"), F.lit(1).cast("long").alias("size_bytes"), F.lit(1).alias("loc"), F.lit("def f(): pass").alias("source"))
     parsed = parsing.parse_files(x)
     assert parsed.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and parsed.count() == 64
+
+
+def test_sources_are_parsed_once(spark):
+    for name in ("GRA1_GRA2_nodes", "SRC16_graph_json", "DB0_all_tables", "DIA12_DIA14_sequence"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "symbols" in plan and "MapInArrow" not in plan, name
