@@ -25,7 +25,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.udf import ship
@@ -51,24 +51,45 @@ def vocabulary(counted: DataFrame, most_share: float = 0.5) -> DataFrame:
     return df.select("word", (F.log((F.lit(1.0) + n) / (1.0 + F.col("df"))) + 1).alias("idf"))
 
 
-def weights(counted: DataFrame, known: DataFrame) -> DataFrame:
-    """id, word, a: each chunk's row, of length one."""
-    x = counted.join(known.select("word", "idf"), "word").select("id", "word", ((F.log("tf") + 1) * F.col("idf")).alias("w"))
-    length = x.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return x.join(length, "id").select("id", "word", (F.col("w") / F.col("length")).alias("a"))
+def weights(counted: DataFrame, known: DataFrame, name: str = "word") -> DataFrame:
+    """id, word, a: each chunk's row, of length one; `name` is the column of known that
+    stands for the word."""
+    x = counted.join(known.select("word", "idf", F.col(name).alias("_name")), "word").select("id", F.col("_name").alias("word"), ((F.log("tf") + 1) * F.col("idf")).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return x.select("id", "word", (F.col("w") / length).alias("a"))
 
 
-def _stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Written and read again, so that several readers compute it once."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _gathered(rows: DataFrame, vectors: DataFrame, on: str, by: str, dims: int) -> DataFrame:
-    """For each `by` the sum of a * v over its rows, v being the vector of `on`."""
-    x = rows.join(vectors, on)
-    sums = [F.sum(F.col("a") * F.get("v", F.lit(j))).alias(f"s{j}") for j in range(dims)]
-    return x.groupBy(by).agg(*sums).select(by, F.array(*[F.col(f"s{j}") for j in range(dims)]).alias("v"))
+def _round(rows: DataFrame, needed: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
+    """The words' vectors times the rows' matrix and its transpose.
+
+    A chunk of rows meets the vectors of its words once, as arrays, and hands on one sum a
+    word: what is shuffled is a vector for each word of each chunk, not one for each of
+    the words of each row."""
+
+    def run(_, rows: pa.Table, vectors: pa.Table) -> pa.Table:
+        word, a = vectors.column("word").to_numpy(), rows.column("a").to_numpy()
+        order = np.argsort(word)
+        at = order[np.searchsorted(word, rows.column("word").to_numpy(), sorter=order)]
+        docs, doc = np.unique(rows.column("id").to_numpy(), return_inverse=True)
+        v = vectors.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims)
+        out = np.empty_like(v)
+        for j in range(dims):
+            seen = np.bincount(doc, a * v[at, j], len(docs))
+            out[:, j] = np.bincount(at, a * seen[doc], len(word))
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dims), pa.int32()), pa.array(out.reshape(-1)))
+        return pa.table({"word": word, "v": flat})
+
+    asked = needed.join(vectors, "word")
+    parts = rows.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, "word long, v array<double>")
+    sums = [F.sum(F.get("v", F.lit(j))).alias(f"s{j}") for j in range(dims)]
+    return parts.groupBy("word").agg(*sums).select("word", F.array(*[F.col(f"s{j}") for j in range(dims)]).alias("v"))
 
 
 def _gram(vectors: DataFrame, dims: int) -> np.ndarray:
@@ -99,23 +120,26 @@ def _turned(vectors: DataFrame, key: str, by: np.ndarray) -> DataFrame:
     return vectors.select(key, "v").mapInArrow(run, f"{key} {vectors.schema[key].dataType.simpleString()}, v array<double>")
 
 
-def fit(chunks: DataFrame, dims: int = 48, rounds: int = 3, most_share: float = 0.5, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+def fit(chunks: DataFrame, dims: int = 48, rounds: int = 3, most_share: float = 0.5, id_col: str = "chunk_id", text_col: str = "text", chunk_rows: int = 1_000_000) -> DataFrame:
     """The model: word, idf, v (dims numbers)."""
     spark = chunks.sparkSession
     ship(spark)
-    counted = _stash(counts(chunks, id_col, text_col), "words")
-    known = _stash(vocabulary(counted, most_share), "vocabulary")
-    rows = _stash(weights(counted, known), "weights")
+    counted = stash(counts(chunks, id_col, text_col), "words")
+    known = stash(vocabulary(counted, most_share), "vocabulary")
+    numbered = stash(known.withColumn("n", F.monotonically_increasing_id()), "numbers")
+    parts = max(1, -(-counted.count() // chunk_rows))
+    id_ = F.xxhash64("id")
+    rows = stash(weights(counted, numbered, "n").select(F.pmod(id_, F.lit(parts)).cast("int").alias("chunk"), id_.alias("id"), "word", "a"), "weights")
+    needed = stash(rows.select("chunk", "word").distinct(), "needed")
     start = F.array(*[(F.xxhash64("word", F.lit(j)) / F.lit(float(1 << 63))) for j in range(dims)])
-    v = known.select("word", start.alias("v"))
+    v = numbered.select(F.col("n").alias("number"), start.alias("v")).select(F.col("number").alias("word"), "v")
     for _ in range(rounds):
-        seen = _stash(_gathered(rows, v, "word", "id", dims), "rows")
-        v = _stash(_gathered(rows, seen, "id", "word", dims), "vectors")
+        v = stash(_round(rows, needed, v, dims), "vectors")
         size, axes = np.linalg.eigh(_gram(v, dims))
         keep = size > max(size.max(), 0) * 1e-12
         turn = np.where(keep, axes / np.sqrt(np.where(keep, size, 1)), 0)[:, ::-1]  # the strongest first
         v = _turned(v, "word", np.ascontiguousarray(turn))
-    return _stash(known.join(v, "word").select("word", "idf", "v"), "model")
+    return stash(numbered.join(v.withColumnRenamed("word", "n"), "n").select("word", "idf", "v"), "model")
 
 
 def embed(chunks: DataFrame, model: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:

@@ -264,7 +264,7 @@ w AS (SELECT id, word, (ln(tf) + 1) * idf AS w FROM c JOIN k USING (word)), l AS
 SELECT id AS doc_id, count(*) AS words, round(max(w / l), 6) AS heaviest, round(sum(w / l), 4) AS total FROM w JOIN l USING (id) GROUP BY id""")
 def _(spark, sf_dir):
     """The rows that semantic vectors are made of, each document a chunk."""
-    counted = semantic.counts(R._table(spark, sf_dir, "documents"), "doc_id")
+    counted = semantic.stash(semantic.counts(R._table(spark, sf_dir, "documents"), "doc_id"), "words")
     a = semantic.weights(counted, semantic.vocabulary(counted))
     return a.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("words"), F.round(F.max("a"), 6).alias("heaviest"), F.round(F.sum("a"), 4).alias("total"))
 
@@ -275,5 +275,5 @@ def _(spark, sf_dir):
     docs = R._table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     items = R._table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), "text")
     model = semantic.fit(docs)
-    vectors, asked = (semantic.embed(x, model) for x in (docs, items))
+    vectors, asked = (semantic.stash(semantic.embed(x, model), "embedded") for x in (docs, items))
     return vector_index.exact(vectors, asked, V.TOP_K, "chunk_id").select("query", "rank", "id")
