@@ -47,16 +47,18 @@ SOURCES = "source string, documents long, lines long, copied_documents long, cop
 
 def shared_blocks(blocks: DataFrame, least_documents: int) -> DataFrame:
     """digest, holders, repositories, first_doc of blocks that several texts hold."""
-    texts = blocks.groupBy("digest", "job_id", "file_seq").agg(F.lit(1).alias("one"))
-    repos = texts.groupBy("digest", "job_id").agg(F.count("*").alias("holders"), F.min("file_seq").alias("first_doc"))
+    texts = blocks.groupBy("digest", "job_id", "file_seq").agg(F.count("*").alias("places"))
+    # All texts have places; but if their number were not read, the shuffle of the places would not be shared.
+    repos = texts.groupBy("digest", "job_id").agg(F.count_if(F.col("places") > 0).alias("holders"), F.min("file_seq").alias("first_doc"))
     all_ = repos.groupBy("digest").agg(F.sum("holders").alias("holders"), F.count("*").alias("repositories"), F.min("first_doc").alias("first_doc"))
     return all_.where(F.col("holders") >= least_documents)
 
 
 def passages(files: DataFrame, block_lines: int, least_documents: int) -> DataFrame:
     """Blocks that overlap or touch, as one row each."""
-    blocks = findings.blocks(files, block_lines).drop("path")
-    x = blocks.distinct().join(shared_blocks(blocks, least_documents), "digest")
+    # Counts and places read one shuffle of the places: texts are cut and hashed once.
+    places = findings.blocks(files, block_lines).select("job_id", F.unhex("digest").alias("digest"), "file_seq", "line").distinct()
+    x = places.join(shared_blocks(places, least_documents), "digest")
     text = W.partitionBy("job_id", "file_seq").orderBy("line")
     gap = F.col("line") > F.coalesce(F.lag("line").over(text), F.lit(-block_lines)) + block_lines
     x = x.withColumn("passage", F.sum(gap.cast("int")).over(text))

@@ -99,12 +99,19 @@ def magic_numbers(bodies: DataFrame, most: int = 5) -> DataFrame:
 
 def blocks(sources: DataFrame, lines: int = V.BLOCK_LINES) -> DataFrame:
     """job_id, digest, path, line of every window of `lines` stripped lines that is not
-    trivial, outside tests.  Windows are slices of the file's own lines: no shuffle."""
-    x = sources.where(~T.is_test("path")).select("job_id", "file_seq", "path", F.transform(T.lines("source"), T.strip).alias("l"))
-    x = x.where(F.size("l") >= lines).select("job_id", "file_seq", "path", "l", F.explode(F.sequence(F.lit(1), F.size("l") - (lines - 1))).alias("line"))
-    x = x.select("job_id", "file_seq", "path", "line", F.slice("l", F.col("line"), lines).alias("w"))
-    x = x.withColumn("text", F.array_join("w", "\n")).where((F.size(F.filter("w", lambda s: s != "")) >= lines - 1) & (F.length("text") >= 40))
-    return x.select("job_id", F.sha1("text").alias("digest"), "file_seq", "path", "line")
+    trivial, outside tests.  Windows are slices of the file's own lines, made and hashed
+    within its row: no shuffle, and no row has the file's lines beside a window."""
+    def window(l, i):
+        w = F.slice(l, i, lines)
+        digest = T.let(F.array_join(w, "\n"), lambda t: F.when((F.length(t) >= 40) & (F.size(F.filter(w, lambda s: s != "")) >= lines - 1), F.sha1(t)))
+        return F.struct(digest.alias("digest"), i.alias("line"))
+
+    def windows(l):
+        return F.when(F.size(l) >= lines, F.transform(F.sequence(F.lit(1), F.size(l) - (lines - 1)), lambda i: window(l, i)))
+
+    stripped = T.let(F.split("source", T.LINE_END, -1), lambda a: F.transform(T.without_last(a), T.strip))
+    x = sources.where(~T.is_test("path")).select("job_id", "file_seq", "path", F.explode(T.let(stripped, windows)).alias("b"))
+    return x.where("b.digest IS NOT NULL").select("job_id", "b.digest", "file_seq", "path", "b.line")
 
 
 def duplicate_blocks(sources: DataFrame, lines: int = V.BLOCK_LINES) -> DataFrame:

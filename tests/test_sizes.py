@@ -1,5 +1,7 @@
 """Rows that plans make while they run: no more than the input and the answer need."""
 
+from jobs import clone_report
+from lithoscope.functions import text as T
 from lithoscope.operators import design, diagrams, graph, parsing
 from lithoscope.plans import registry
 from pyspark.sql import functions as F
@@ -73,3 +75,24 @@ def test_sources_are_parsed_once(spark):
     for name in ("GRA1_GRA2_nodes", "SRC16_graph_json", "DB0_all_tables", "DIA12_DIA14_sequence"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "symbols" in plan and "MapInArrow" not in plan, name
+
+
+def test_texts_of_clones_are_cut_once(spark, tmp_path):
+    """Counts and places of blocks read the same shuffle."""
+    shared = "\n".join(f"a line that several texts hold, number {i}" for i in range(6))
+    rows = spark.range(40).select(F.lit("s").alias("job_id"), F.col("id").alias("file_seq"), F.lit("s/1.md").alias("path"), F.lit("markdown").alias("language"), F.concat(F.lit(f"{shared}\n"), F.col("id").cast("string")).alias("source"))
+    rows.write.parquet(str(tmp_path / "files"))
+    made = clone_report.passages(spark.read.parquet(str(tmp_path / "files")), 3, 2)
+    assert {tuple(r)[1:] for r in made.collect()} == {(1, 6, 40, 1, 0, "s")}
+    assert "ReusedExchange" in [name for name, _ in _nodes(made)]
+
+
+def test_lines_and_white_space_are_those_of_python(spark):
+    """At every character that is one, also beside others; \\r\\n ends one line."""
+    ends = ["\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    texts = [f"a{x}{y}{z}b{x}" for x in ends for y in (*ends, "") for z in (*ends, "c")] + ["", "\n", "\r\n", "a\r\n\r\nb", "a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.lines("t").alias("l"))
+    assert all(r.l == (r.t.splitlines() or []) for r in df.collect())
+    chars = spark.range(0x3100).where("id > 0").select(F.col("id").cast("int").alias("n"), F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    got = chars.select("n", "c", T.strip(F.concat("c", "c", F.lit("x"), "c", F.lit("y"), "c")).alias("s")).collect()
+    assert len(got) == 0x30FF and all(r.s == f"{r.c}{r.c}x{r.c}y{r.c}".strip() for r in got if not 0xD800 <= r.n < 0xE000)
