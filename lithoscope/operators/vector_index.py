@@ -8,7 +8,8 @@ centres by a join; members are ranked by their code words, and the best of them
 own vectors.  The exact search compares every question with every vector, in blocks.
 
 Lists are as long as they come: both searches deal rows to tasks by list and a salt, so
-that a list that a third of all vectors fall into is searched by many tasks.
+that a list that a third of all vectors fall into is searched by many tasks.  The questions
+of a list are dealt to blocks as well: what a task holds does not grow with either.
 
 Defined cases: vectors that are null or of another length than most are left out of the
 sample, the index and the searches; equal distances are in order of id; repeated rows
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from ..functions.udf import ship
 
 _HITS = "query long, id long, distance double"
+#: About so many rows leave a function at a time.
+_ROWS = 10_000
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
@@ -33,6 +36,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return a.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims)
 
 
+def _cut(batch: pa.RecordBatch, rows: int):
+    """A batch in pieces of `rows` rows, one at least."""
+    rows = max(1, rows)
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """k centres of the rows of x; a centre that loses all rows takes the row that is worst off."""
     k = min(k, len(x))
@@ -164,13 +173,14 @@ def _salted(rows: DataFrame, chunk_rows: int, *keys: str) -> tuple[DataFrame, Da
     return rows.join(sizes, list(keys)).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts"), sizes
 
 
-def search(index: DataFrame, vectors: DataFrame, questions: DataFrame, book: Codebook, k: int = 6, probes: int = 8, keep: int = 20, id_col: str = "vec_id", embedding: str = "embedding", chunk_rows: int = 50_000) -> DataFrame:
+def search(index: DataFrame, vectors: DataFrame, questions: DataFrame, book: Codebook, k: int = 6, probes: int = 8, keep: int = 20, id_col: str = "vec_id", embedding: str = "embedding", chunk_rows: int = 50_000, block_questions: int = 1000) -> DataFrame:
     """query, rank, id, distance: for each question the k best of the `keep * k` members of
-    its lists whose codes are nearest, by their vectors' own distances."""
+    its lists whose codes are nearest, by their vectors' own distances.  A group holds about
+    `block_questions` questions and `chunk_rows` members of a list at most."""
     ship(vectors.sparkSession)
 
     def probed(batches):
-        for b in batches:
+        for b in (x for whole in batches for x in _cut(whole, _ROWS // probes)):
             q = _matrix(b.column("v"), book.dims)
             at = book.probes(q, probes)
             n = at.shape[1]
@@ -178,6 +188,8 @@ def search(index: DataFrame, vectors: DataFrame, questions: DataFrame, book: Cod
 
     def ranked(key, asked: pa.Table, members: pa.Table) -> pa.Table:
         ids, out = members.column("id").to_numpy(), []
+        if not len(ids):
+            return _hits(out)
         codes = np.frombuffer(b"".join(members.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
         for query, q in zip(asked.column("query").to_pylist(), _matrix(asked.column("q"), book.dims), strict=True):
             far = book.distances(q, key[0].as_py(), codes)
@@ -187,8 +199,12 @@ def search(index: DataFrame, vectors: DataFrame, questions: DataFrame, book: Cod
 
     q = _clean(questions, id_col, embedding, book.dims).distinct()
     members, sizes = _salted(index, chunk_rows, "list")
-    asked = q.mapInArrow(probed, "query long, q array<float>, list int").join(sizes, "list").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    hits = asked.groupBy("list", "salt").cogroup(members.groupBy("list", "salt")).applyInArrow(ranked, _HITS)
+    asked = q.mapInArrow(probed, "query long, q array<float>, list int")
+    blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / block_questions).cast("int").alias("blocks"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asked = asked.join(sizes.join(blocks, "list"), "list").withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int")).withColumn("salt", every("salts")).drop("salts", "blocks")
+    members = members.join(blocks, "list").withColumn("block", every("blocks")).drop("blocks")
+    hits = asked.groupBy("list", "salt", "block").cogroup(members.groupBy("list", "salt", "block")).applyInArrow(ranked, _HITS)
     near = _top(hits, keep * k).select("query", "id")
     own = _clean(vectors, id_col, embedding, book.dims)
     near = near.join(own.distinct(), "id").join(q.select(F.col("id").alias("query"), F.col("v").alias("q")), "query")

@@ -64,6 +64,23 @@ def test_clusters_a_hot_list_and_odd_rows(spark):
     assert vector_index.fit(df.limit(0), "id", "v") is None and vector_index.exact(df.limit(0), questions, 5, "id", "v").count() == 0
 
 
+def test_probes_and_hits_are_made_in_pieces(spark, vectors):
+    """Questions are probed a few at a time, and dealt to blocks with the same answers."""
+
+    class Book(vector_index.Codebook):
+        def probes(self, q, most):
+            assert len(q) * most <= 10_000
+            return super().probes(q, most)
+
+    book = vector_index.fit(vectors, parts=16, words=64)
+    book = Book(book.centres, book.words)
+    ix = vector_index.index(vectors, book).cache()
+    big = vectors.unionByName(vectors.withColumn("vec_id", F.col("vec_id") + 10_000)).coalesce(1)
+    every = lambda **kw: sorted(map(tuple, vector_index.search(ix, vectors, big, book, 6, probes=len(book.centres), keep=3, **kw).collect()))
+    got = every(block_questions=70)
+    assert len(got) == 12 * vectors.count() and got == every()
+
+
 def test_words():
     want = {"getHTTPResponse_code x2": ["get", "http", "response", "code", "x2"], "Ünï-ΣΑ": ["ünï", "σα"], None: []}
     from pyspark.sql import SparkSession
