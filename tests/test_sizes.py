@@ -96,3 +96,13 @@ def test_lines_and_white_space_are_those_of_python(spark):
     chars = spark.range(0x3100).where("id > 0").select(F.col("id").cast("int").alias("n"), F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
     got = chars.select("n", "c", T.strip(F.concat("c", "c", F.lit("x"), "c", F.lit("y"), "c")).alias("s")).collect()
     assert len(got) == 0x30FF and all(r.s == f"{r.c}{r.c}x{r.c}y{r.c}".strip() for r in got if not 0xD800 <= r.n < 0xE000)
+
+
+def test_walks_are_not_made_of_pandas_objects(spark):
+    """Calls and steps of many flows: Python holds those of a few rows."""
+    rows = [(f"f{i}", [(f"f{i}", "a"), ("a", "b"), (f"f{i}", "b"), ("b", f"f{i}")] if i % 3 else None) for i in range(250)]
+    df = spark.createDataFrame(rows, "start string, c array<struct<source:string,target:string>>").coalesce(1)
+    x = df.select("start", diagrams.walked("start", "c").alias("w"))
+    assert "ArrowEvalPython" in x._jdf.queryExecution().executedPlan().toString()
+    got = {r.start: [tuple(s) for s in r.w] for r in x.collect()}
+    assert got == {s: [(s, "a", 2), ("a", "b", 3)] if c else [] for s, c in rows}
