@@ -210,11 +210,28 @@ def blocking_calls(lines: DataFrame) -> DataFrame:
     return _finding(x, "performance", "blocking_call", "medium", F.concat(F.lit("blocking call '"), F.col("call"), F.lit("' inside an async function — use its async equivalent")), "line", None, F.col("_i"))
 
 
+def runs(calls: Column) -> Column:
+    """call, n, first: the calls of an array, how often each stands there and at what place
+    first.  Sorted, equal ones are neighbours: a run's length is the distance of its ends."""
+    n = F.size(calls)
+    pairs = F.array_sort(F.transform(calls, lambda c, i: F.struct(c.alias("call"), i.alias("at"))))
+
+    def cut(s):
+        last = F.size(s) - 1
+        other = lambda i, j: ~F.get(s, i)["call"].eqNullSafe(F.get(s, j)["call"])
+        ends = lambda at_end: F.filter(F.sequence(F.lit(0), last), at_end)
+        starts = ends(lambda i: (i == 0) | other(i, i - 1))
+        stops = ends(lambda i: (i == last) | other(i, i + 1))
+        return F.zip_with(starts, stops, lambda i, j: F.struct(F.get(s, i)["call"].alias("call"), (j - i + 1).alias("n"), F.get(s, i)["at"].alias("first")))
+
+    return F.when(n > 0, T.let(pairs, cut))
+
+
 def missing_cache(bodies: DataFrame) -> DataFrame:
+    """Calls are counted within the function's row: no shuffle."""
     x = bodies.where("kind <> 'class'").where(~T.has(F.array_join("body", "\n"), V.CACHE_HINT, True))
-    x = x.select("job_id", "file_seq", "path", "sym_seq", "name", "start_line", F.posexplode("calls").alias("_p", "call"))
-    x = x.groupBy("job_id", "file_seq", "path", "sym_seq", "name", "start_line", "call").agg(F.count("*").alias("_n"), F.min("_p").alias("_p")).where("_n >= 3")
-    return _finding(x, "performance", "missing_cache", "low", F.format_string("'%s' is called %d times in '%s' with no visible caching/memoization", "call", "_n", "name"), "start_line", "name", F.col("sym_seq") * 1000 + F.col("_p"))
+    x = x.select("job_id", "file_seq", "path", "sym_seq", "name", "start_line", F.explode(F.filter(runs(F.col("calls")), lambda r: r["n"] >= 3)).alias("r"))
+    return _finding(x, "performance", "missing_cache", "low", F.format_string("'%s' is called %d times in '%s' with no visible caching/memoization", "r.call", "r.n", "name"), "start_line", "name", F.col("sym_seq") * 1000 + F.col("r.first"))
 
 
 def expensive_loops(functions: DataFrame) -> DataFrame:

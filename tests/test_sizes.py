@@ -4,7 +4,7 @@ import random
 
 from jobs import clone_report
 from lithoscope.functions import text as T
-from lithoscope.operators import database, design, diagrams, graph, parsing
+from lithoscope.operators import database, design, diagrams, findings, graph, parsing
 from lithoscope.plans import registry
 from pyspark.sql import functions as F
 
@@ -132,3 +132,12 @@ def test_decorated_fields_are_found_without_a_shuffle(spark):
     x = database.decorated_fields(df, "ts")
     assert {r.sym_seq: [tuple(f) for f in r["_f"]] for r in x.collect()} == {i: plain(b) for i, b in enumerate(bodies)}
     assert not [name for name, _ in _nodes(x) if "Exchange" in name]
+
+
+def test_calls_are_counted_without_a_shuffle(spark):
+    rows = [("a", ["x", "y", "x", None, "x", "y", "y", "y"]), ("b", []), ("c", None), ("d", ["x", "x"]), ("e", [None] * 3), ("f", ["q"] * 7)]
+    df = spark.createDataFrame(rows, "name string, calls array<string>").select(F.lit("j").alias("job_id"), F.lit(0).cast("long").alias("file_seq"), F.lit("a.py").alias("path"), F.lit("function").alias("kind"), F.ascii("name").alias("sym_seq"), "name", F.lit(1).alias("start_line"), "calls", F.array(F.lit("b")).alias("body"))
+    x = findings.missing_cache(df)
+    got = sorted((r.symbol, r.message.split(" with")[0], r.seq % 1000) for r in x.collect())
+    assert got == [("a", "'x' is called 3 times in 'a'", 0), ("a", "'y' is called 4 times in 'a'", 1), ("e", "'null' is called 3 times in 'e'", 0), ("f", "'q' is called 7 times in 'f'", 0)]
+    assert not [name for name, _ in _nodes(x) if "Exchange" in name]
