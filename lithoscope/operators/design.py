@@ -104,19 +104,66 @@ def ocp(bodies: DataFrame) -> DataFrame:
     return _violation(x, "OCP", F.col("name"), F.format_string("'%s' branches %d times on a type/kind/status field — adding a new case means editing this function; consider polymorphism instead", "name", "_n"))
 
 
-def lsp(bodies: DataFrame) -> DataFrame:
-    """Overrides, of a base class in the same file, that only raise or do nothing.  Of
-    classes with one name the first gives the bases; of methods the last counts."""
-    classes = bodies.where("kind = 'class'").groupBy("job_id", "path", "name").agg(F.min_by("base_classes", "sym_seq").alias("base_classes"))
-    m = bodies.where("kind <> 'class' AND parent_class IS NOT NULL AND parent_class <> ''")
-    m = m.groupBy("job_id", "path", F.col("parent_class").alias("cls"), F.col("name").alias("method")).agg(F.max_by(F.struct("sym_seq", "start_line", "file_seq", "body"), "sym_seq").alias("m"))
-    bases = classes.select("job_id", "path", F.col("name").alias("cls"), F.explode("base_classes").alias("b")).withColumn("base", T.last_part(F.col("b")))
-    known = classes.select("job_id", "path", F.col("name").alias("base"))
-    base_methods = m.select("job_id", "path", F.col("cls").alias("base"), "method").join(known, ["job_id", "path", "base"], "left_semi")
-    over = bases.join(base_methods, ["job_id", "path", "base"]).select("job_id", "path", "cls", "method").distinct()
-    x = m.join(over, ["job_id", "path", "cls", "method"]).select("job_id", "path", "cls", "method", "m.*")
-    rest = F.filter(F.slice("body", F.lit(2), F.greatest(F.size("body") - 1, F.lit(0))), lambda l: T.strip(l) != "")
-    x = x.withColumn("_r", rest).where((F.size("_r") > 0) & F.forall("_r", lambda l: F.rlike(l, F.lit(T.rx(V.STUB)))))
+def _runs(rows: Column) -> Column:
+    """The structs of an array, sorted, in arrays of those whose first field, `key`, is equal."""
+
+    def cut(a):
+        starts = F.filter(F.transform(a, lambda _, i: i), lambda i: (i == 0) | ~F.get(a, i)["key"].eqNullSafe(F.get(a, i - 1)["key"]))
+        return T.let(starts, lambda s: F.transform(s, lambda i, n: F.slice(a, i + 1, F.coalesce(F.get(s, n + 1), F.size(a)) - i)))
+
+    return T.let(F.sort_array(rows), cut)
+
+
+def _members(symbols: Column) -> Column:
+    """name, bases, methods and their names, of a file's classes.  Of classes with one name the first gives the
+    bases; of methods the last counts."""
+    is_class = lambda s: s["kind"] == "class"
+    own = F.filter(symbols, lambda s: (is_class(s) | (s["parent_class"] != "")) & s["name"].isNotNull())
+    rows = F.transform(own, lambda s: F.struct(F.when(is_class(s), s["name"]).otherwise(s["parent_class"]).alias("key"), (~is_class(s)).alias("is_method"), s["name"].alias("name"), s["sym_seq"].alias("sym_seq"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), s["base_classes"].alias("bases")))
+
+    def member(r):
+        bases = F.array_distinct(F.transform(F.coalesce(F.get(r, F.lit(0))["bases"], F.array().cast("array<string>")), T.last_part))
+        last = F.filter(r, lambda m, i: m["is_method"] & ~F.get(r, i + 1)["name"].eqNullSafe(m["name"]))
+        methods = F.transform(last, lambda m: F.struct(m["key"].alias("cls"), m["name"].alias("method"), m["sym_seq"].alias("sym_seq"), m["start_line"].alias("start_line"), m["end_line"].alias("end_line")))
+        return F.struct(F.get(r, F.lit(0))["key"].alias("name"), bases.alias("bases"), methods.alias("methods"), F.transform(last, lambda m: m["name"]).alias("names"))
+
+    return F.transform(F.filter(_runs(rows), lambda r: ~F.get(r, F.lit(0))["is_method"]), member)
+
+
+def overrides(symbols: Column) -> Column:
+    """cls, method, sym_seq, start_line, end_line: the methods of a file that a base class in the
+    file has too.  Classes meet their bases as neighbours in a sorted array, methods their names
+    as keys of maps: nothing is shuffled, and what is held at once is a part of the file's row."""
+
+    def of(cs):
+        asked = F.flatten(F.transform(cs, lambda c, i: F.transform(c["bases"], lambda b: F.struct(b.alias("key"), i.alias("by"), i.alias("at")))))
+        met = F.filter(_runs(F.concat(F.transform(cs, lambda c, i: F.struct(c["name"].alias("key"), F.lit(-1).alias("by"), i.alias("at"))), asked)), lambda r: F.get(r, F.lit(0))["by"] == -1)
+        pairs = F.flatten(F.transform(met, lambda r: F.transform(F.slice(r, F.lit(2), F.size(r)), lambda x: F.struct(x["by"].alias("key"), F.get(r, F.lit(0))["at"].alias("base")))))
+
+        def shared(r):
+            own = F.get(cs, F.get(r, F.lit(0))["key"])
+            both = F.flatten(F.transform(r, lambda x: F.array_intersect(own["names"], F.get(cs, x["base"])["names"])))
+            found = T.let(F.array_distinct(both), lambda n: F.map_from_arrays(n, n))
+            return F.map_values(F.map_zip_with(F.map_from_arrays(own["names"], own["methods"]), found, lambda _, m, n: F.when(n.isNotNull(), m)))
+
+        return F.array_compact(F.flatten(F.transform(_runs(pairs), shared)))
+
+    return T.let(_members(symbols), of)
+
+
+def lsp(parsed: DataFrame) -> DataFrame:
+    """Overrides, of a base class in the same file, that only raise or do nothing: all within
+    the file's row."""
+
+    def is_stub(body):
+        rest = F.filter(F.slice(body, F.lit(2), F.greatest(F.size(body) - 1, F.lit(0))), lambda l: T.strip(l) != "")
+        return T.let(rest, lambda r: (F.size(r) > 0) & F.forall(r, lambda l: F.rlike(l, F.lit(T.rx(V.STUB)))))
+
+    body = lambda ls, m: F.slice(ls, F.greatest(F.lit(1), m["start_line"]), F.greatest(F.lit(0), m["end_line"] - m["start_line"] + 1))
+    stubs = T.let(T.lines("source"), lambda ls: F.filter(overrides(F.col("symbols")), lambda m: is_stub(body(ls, m))))
+    x = parsed.where(F.exists("symbols", lambda s: (s["kind"] == "class") & (F.size(s["base_classes"]) > 0)))
+    # Before explode() Spark would make the array once more, to see that it is not empty.
+    x = x.select("job_id", "path", "file_seq", F.explode_outer(stubs).alias("m")).where("m IS NOT NULL").select("job_id", "path", "file_seq", "m.*")
     return _violation(x, "LSP", F.concat("cls", F.lit("."), "method"), F.format_string("'%s.%s' overrides a base-class method but only raises/stubs — callers substituting '%s' for its base will break", "cls", "method", "cls"))
 
 
@@ -140,7 +187,7 @@ def dip(classes: DataFrame, functions: DataFrame) -> DataFrame:
 def analyze_solid(code: Code) -> DataFrame:
     """job_id, principle, file, symbol, line, message, file_seq, seq."""
     counted, bodies = with_method_counts(code), code.bodies
-    return reduce(DataFrame.unionByName, [srp(counted), isp(counted), ocp(bodies), lsp(bodies), dip(code.classes, code.functions)])
+    return reduce(DataFrame.unionByName, [srp(counted), isp(counted), ocp(bodies), lsp(code.parsed), dip(code.classes, code.functions)])
 
 
 def count_by(df: DataFrame, column: str) -> DataFrame:

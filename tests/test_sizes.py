@@ -141,3 +141,60 @@ def test_calls_are_counted_without_a_shuffle(spark):
     got = sorted((r.symbol, r.message.split(" with")[0], r.seq % 1000) for r in x.collect())
     assert got == [("a", "'x' is called 3 times in 'a'", 0), ("a", "'y' is called 4 times in 'a'", 1), ("e", "'null' is called 3 times in 'e'", 0), ("f", "'q' is called 7 times in 'f'", 0)]
     assert not [name for name, _ in _nodes(x) if "Exchange" in name]
+
+
+SYMBOLS = "array<struct<sym_seq:int,kind:string,name:string,parent_class:string,base_classes:array<string>,start_line:int,end_line:int>>"
+
+
+def test_stub_overrides_are_found_without_a_shuffle(spark):
+    """Against the plain loop, over files of symbols and lines dealt at random."""
+    rng = random.Random(7)
+    lines = ["    pass", "    raise  NotImplementedError()", "    return 1", "", " \u2003", "  throw new XError()"]
+    bases = [None, [], ["A"], ["x.B", "A"], ["A", "x.y.A", "C"], ["Z"], [None, "B"], ["D"]]
+
+    def symbol(n):
+        kind = rng.choice(["class", "method", "method"])
+        start = rng.randrange(1, 13)
+        return (n, kind, rng.choice("ABCD") if kind == "class" else rng.choice("mno"), rng.choice([None, "", "A", "B", "C", "D", "Z"]), rng.choice(bases) if kind == "class" else [], start, start + rng.randrange(-1, 4))
+
+    files = [("\n".join(rng.choices(lines, (4, 4, 1, 2, 1, 2), k=rng.randrange(15))), [symbol(n) for n in range(rng.randrange(14))]) for _ in range(600)]
+    files += [(None, files[0][1]), (files[0][0], None), ("", [])]
+
+    def plain(source, symbols):
+        classes = {}
+        for s in symbols or ():
+            if s[1] == "class":
+                classes.setdefault(s[2], (s[4] or [], {}))
+        for s in symbols or ():
+            if s[1] != "class" and s[3] in classes:
+                classes[s[3]][1][s[2]] = s
+        for c, (above, methods) in classes.items():
+            for m, s in methods.items():
+                if any(m in classes.get((b or "").split(".")[-1], ((), ()))[1] for b in above):
+                    rest = [x for x in (source or "").splitlines()[s[5] : s[6]] if x.strip()]
+                    if rest and all("return" not in x for x in rest):
+                        yield f"{c}.{m}", s[5], s[0]
+
+    rows = [(i, source, s and rng.sample(s, len(s))) for i, (source, s) in enumerate(files)]
+    df = spark.createDataFrame(rows, f"file_seq long, source string, symbols {SYMBOLS}").select(F.lit("j").alias("job_id"), F.col("file_seq").cast("string").alias("path"), "*")
+    x = design.lsp(df)
+    got = sorted((r.file_seq, r.symbol, r.line, r.seq) for r in x.collect())
+    assert got == sorted((i, *v) for i, (source, s) in enumerate(files) for v in plain(source, s)) and len(got) > 30
+    assert not [name for name, _ in _nodes(x) if "Exchange" in name]
+
+
+def test_overrides_of_a_large_file(spark):
+    """Many methods of one class, many classes of one base, many bases of one class: no pairs are made of them."""
+    n = 3000
+    s = lambda k, kind, name, cls, above: F.struct(k.cast("int").alias("sym_seq"), F.lit(kind).alias("kind"), name.alias("name"), cls.cast("string").alias("parent_class"), above.cast("array<string>").alias("base_classes"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))
+    each = lambda f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), f)
+    name = lambda a, i: F.concat(F.lit(a), i.cast("string"))
+    none, nobody = F.array(), F.lit(None)
+    symbols = F.concat(
+        F.array(s(F.lit(0), "class", F.lit("A"), nobody, none), s(F.lit(1), "class", F.lit("B"), nobody, F.concat(F.array(F.lit("A")), each(lambda i: name("K", i))))),
+        each(lambda i: s(i, "method", name("m", i), F.lit("A"), none)), each(lambda i: s(i + n, "method", name("m", i), F.lit("B"), none)),
+        each(lambda i: s(i + 2 * n, "class", name("K", i), nobody, F.array(F.lit("A")))), each(lambda i: s(i + 3 * n, "method", F.lit("m0"), name("K", i), none)),
+    )
+    df = spark.range(1).select(F.lit("j").alias("job_id"), F.lit("a.py").alias("path"), F.lit(0).cast("long").alias("file_seq"), F.lit("def m():\n  pass").alias("source"), symbols.alias("symbols"))
+    got = {r.symbol for r in design.lsp(df).collect()}
+    assert got == {f"B.m{i}" for i in range(n)} | {f"K{i}.m0" for i in range(n)}
