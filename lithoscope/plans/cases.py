@@ -274,6 +274,6 @@ def _(spark, sf_dir):
     """Benchmark items as questions: the six documents nearest to each by meaning."""
     docs = R._table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     items = R._table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), "text")
-    model = semantic.fit(docs)
-    vectors, asked = (semantic.stash(semantic.embed(x, model), "embedded") for x in (docs, items))
+    model, vectors = semantic.fit_embed(docs)
+    vectors, asked = (semantic.stash(x, "embedded") for x in (vectors, semantic.embed(items, model)))
     return vector_index.exact(vectors, asked, V.TOP_K, "chunk_id").select("query", "rank", "id")

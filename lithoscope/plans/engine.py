@@ -154,7 +154,9 @@ class Engine:
             chunks = analyze(parsed, keep, self.embedder)["chunks"]
             if self.settings.semantic:
                 log("running", "embed")
-                keep("vectors", semantic.embed(chunks, keep("words", semantic.fit(chunks))))
+                words, vectors = semantic.fit_embed(chunks)
+                keep("words", words)
+                keep("vectors", vectors)
             log("running", "report")
             text = report.synthesize(self._name(source, name), self._facts(job), self.model)
             self.store.write("reports", self.spark.createDataFrame([(job, text)], "job_id string, report_markdown string"), job)

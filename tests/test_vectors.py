@@ -156,3 +156,47 @@ def test_semantic_edges(spark):
     got = {r.chunk_id: r.embedding for r in semantic.embed(df, model).collect()}
     assert got.keys() == {1, 2, 3, 4} and got[1] is None and got[3] is None and abs(sum(x * x for x in got[2]) - 1) < 1e-6
     assert semantic.embed(df, semantic.fit(df.limit(0), dims=4)).where("embedding IS NOT NULL").count() == 0
+
+
+def test_blocks_and_parts_do_not_show(spark):
+    """Small blocks and parts, ids that repeat over many batches: the same vectors as at once, up to a turn."""
+    rows = [*_corpus(), *[(7, f"disk{i % 12} user{i % 5}") for i in range(1200)]]
+    df = spark.createDataFrame(rows, "chunk_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    cut = semantic.blocks(df, block_rows=50).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(i for r in cut for i in r.ids) == list(range(300)) and sum(r.full for r in cut) == 300
+    assert all(r.words == sorted(r.words) for r in cut) and len(cut) > spark.sparkContext.defaultParallelism * 2
+    df7 = {w: n for r in cut if 7 in r.ids for w, n in zip(r.words, r.df, strict=True)}
+    assert {w for w in df7 if w[:4] in ("disk", "user")} >= {f"disk{i}" for i in range(12)}
+    found = []
+    for kw in ({}, {"block_rows": 50, "part_rows": 40}):
+        model, own = semantic.fit_embed(df, dims=8, **kw)
+        own = {r.chunk_id: r.embedding for r in own.collect()}
+        asked = {r.chunk_id: r.embedding for r in semantic.embed(df, model).collect()}
+        assert own.keys() == asked.keys() and np.allclose([own[i] for i in sorted(own)], [asked[i] for i in sorted(own)], atol=1e-5)
+        x = np.array([own[i] for i in sorted(own)])
+        found.append(x @ x.T)
+    assert np.allclose(*found, atol=1e-4)
+
+
+def _most_shuffled(spark, since):
+    """The rows that a stage from that number on has shuffled, at most; the number of the next."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty(30_000)
+    empty = jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), empty)
+    rows = [(s.stageId(), s.shuffleWriteRecords()) for s in (stages.apply(i) for i in range(stages.size()))]
+    return max([0, *(n for i, n in rows if i >= since)]), max(i for i, _ in rows) + 1
+
+
+def test_words_are_not_shuffled_for_each_chunk(spark):
+    """40 of 150 words in each of 2000 chunks: what moves is chunks, and words of blocks."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{j}" for j in rng.choice(150, 40, replace=False))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "chunk_id long, text string").cache()
+    df.count()
+    _, since = _most_shuffled(spark, 0)
+    model = semantic.fit(df, dims=4)
+    assert semantic.embed(df, model).where("embedding IS NOT NULL").count() == 2000
+    assert 0 < _most_shuffled(spark, since)[0] <= 2 * spark.sparkContext.defaultParallelism * 150
