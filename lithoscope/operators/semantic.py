@@ -100,8 +100,8 @@ def _counted(texts: pa.Array, chunk: np.ndarray) -> tuple[pa.Array, np.ndarray,
     return coded.dictionary, pair // n, pair % n, tf
 
 
-def _block(ids: list[pa.Array], pieces: list[tuple]) -> pa.RecordBatch:
-    """One row: the pieces under one numbering of their words, in the order of the words."""
+def _merged(pieces: list[tuple]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces under one numbering of their words, in the order of the words."""
     coded = pa.concat_arrays([x[0] for x in pieces]).dictionary_encode()
     order = pc.array_sort_indices(coded.dictionary).to_numpy()
     place = np.empty_like(order)
@@ -116,13 +116,18 @@ def _block(ids: list[pa.Array], pieces: list[tuple]) -> pa.RecordBatch:
     pair, tf = pair[by], np.concatenate([x[3] for x in pieces])[by]
     first = np.flatnonzero(np.diff(pair, prepend=-1))  # a chunk of several rows can have a word in two pieces
     pair, tf = pair[first], np.add.reduceat(tf, first) if len(first) else tf
-    ids = pa.concat_arrays(ids)
-    has = np.bincount(pair // n, minlength=len(ids))
-    word = (pair % n).astype(np.int32)
+    return coded.dictionary.take(pa.array(order)), pair // n, pair % n, tf
+
+
+def _block(ids: list[pa.Array], pieces: list[tuple]) -> pa.RecordBatch:
+    """One row."""
+    words, chunk, word, tf = _merged(pieces)
+    ids, word = pa.concat_arrays(ids), word.astype(np.int32)
+    has = np.bincount(chunk, minlength=len(ids))
     one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
     packed = [pa.array([x.tobytes()], pa.binary()) for x in (np.cumsum(has), word, tf.astype(np.int32))]
-    df = pa.array(np.bincount(word, minlength=len(order)).astype(np.int32))
-    return pa.RecordBatch.from_arrays([one(ids), *packed, one(coded.dictionary.take(pa.array(order))), one(df), pa.array([np.count_nonzero(has)], pa.int64())], names=["ids", "ends", "word", "tf", "words", "df", "full"])
+    df = pa.array(np.bincount(word, minlength=len(words)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([one(ids), *packed, one(words), one(df), pa.array([np.count_nonzero(has)], pa.int64())], names=["ids", "ends", "word", "tf", "words", "df", "full"])
 
 
 def blocks(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", block_rows: int = 3_000_000) -> DataFrame:
@@ -133,13 +138,17 @@ def blocks(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
     ship(spark)
 
     def run(batches):
-        ids, pieces, last, held, n = [], [], None, 0, 0
+        ids, pieces, last, held, n, most = [], [], None, 0, 0, block_rows
         for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             key = b.column("id")
             again = last is not None and bool(_same(pa.concat_arrays([last, key.slice(0, 1)]))[0])
             if held >= block_rows and not again:
                 yield _block(ids, pieces)
-                ids, pieces, held, n = [], [], 0, 0
+                ids, pieces, held, n, most = [], [], 0, 0, block_rows
+            elif held >= most:  # a chunk of many rows
+                pieces = [_merged(pieces)]
+                held = len(pieces[0][3])
+                most = max(block_rows, 2 * held)
             new = np.concatenate([[not again], ~_same(key)])
             pieces.append(_counted(b.column("text"), n - 1 + np.cumsum(new)))
             ids.append(key.filter(pa.array(new)))
